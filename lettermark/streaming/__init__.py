@@ -1,0 +1 @@
+"""Deliberately empty: every stage of this workload is a batch step over whole tables."""
