@@ -227,3 +227,344 @@ SELECT id, venue, period, year, type, avg(impact_2year) AS raw_impact, avg(impac
 FROM m GROUP BY id, venue, period, year, type HAVING avg(impact_2year) > 0""")
 query("cell_normalised_impact", f"""
 SELECT id, venue, period, year, type, {r6('raw_impact')} AS raw_impact, {r6('norm_impact')} AS norm_impact FROM o_cell_norm""")
+
+
+# --- ranks and attention --------------------------------------------------------------------------------
+def percent_rank(keys: str, value: str) -> str:
+    """Among non-null values only; NULL in a one-row cell."""
+    return (f"CASE WHEN {value} IS NOT NULL AND count({value}) OVER (PARTITION BY {keys}) > 1 THEN "
+            f"(rank() OVER (PARTITION BY {keys}, {value} IS NULL ORDER BY {value}) - 1)::DOUBLE "
+            f"/ (count({value}) OVER (PARTITION BY {keys}) - 1) END")
+
+
+ALL_OR_NOTHING = "CASE WHEN count(pr) = count(*) THEN avg(pr) END"
+
+part("o_hist_rank", f"""
+WITH c AS (SELECT *, {cut('year', 'min(year) OVER ()', 'max(year) OVER ()', 4)} AS period FROM o_cells),
+r AS (SELECT *, {percent_rank('venue, period, field', 'impact_3year')} AS pr FROM c)
+SELECT venue, type, period, id, {ALL_OR_NOTHING} AS mu_rank FROM r GROUP BY venue, type, period, id""")
+query("cell_percentile_rank", f"SELECT venue, type, period, id, {r6('mu_rank')} AS mu_rank FROM o_hist_rank")
+
+part("o_panel_cells", f"""
+SELECT f.id, f.field, c.venue, c.type, c.year, c.impact_3year, c.period
+FROM (SELECT DISTINCT id, field_level0 AS field FROM rollup_fields) f
+JOIN (SELECT *, {cut('year', 'min(year) OVER ()', 'max(year) OVER ()', 4)} AS period FROM stack_cohorts) c ON c.id = f.id""")
+
+
+def panel_rank(scores: str, value: str, agg: str) -> str:
+    join = f"LEFT JOIN {scores} s ON s.id = c.id" if scores else ""
+    return f"""
+WITH v AS (SELECT c.*, {value} AS v FROM o_panel_cells c {join}),
+r AS (SELECT *, {percent_rank('venue, period, field', 'v')} AS pr FROM v)
+SELECT venue, type, id, {agg} AS rank FROM r GROUP BY venue, type, id"""
+
+
+part("o_rank_impact", panel_rank("", "c.impact_3year", "avg(pr)"))
+part("o_rank_ref", panel_rank("o_ref_simpson", "s.simpson", "avg(pr)"))
+part("o_rank_cite", panel_rank("o_cite_simpson", "s.simpson", "avg(pr)"))
+part("o_rank_novelty", panel_rank(
+    "o_novelty", "CASE WHEN NOT isnan(s.zscore_10th) THEN -s.zscore_10th END", ALL_OR_NOTHING))
+query("rank_reference_diversity", f"SELECT venue, type, id, {r6('rank')} AS rank FROM o_rank_ref")
+query("rank_citation_diversity", f"SELECT venue, type, id, {r6('rank')} AS rank FROM o_rank_cite")
+query("rank_novelty", f"SELECT venue, type, id, {r6('rank')} AS rank FROM o_rank_novelty")
+
+query("rank_histogram", f"""
+WITH b AS (SELECT venue, CASE WHEN m <= 0.2 THEN 1 WHEN m <= 0.4 THEN 2 WHEN m <= 0.6 THEN 3 WHEN m <= 0.8 THEN 4
+             WHEN m <= 1.0 THEN 5 END AS category
+           FROM (SELECT venue, round(mu_rank, 9) AS m FROM o_hist_rank WHERE type = 'letter')),
+c AS (SELECT venue, category, count(*) AS n, sum(count(*)) OVER (PARTITION BY venue) AS total FROM b GROUP BY venue, category)
+SELECT venue, category, {r6('n / total')} AS prop FROM c WHERE category IS NOT NULL""")
+
+part("o_likelihood", """
+WITH e AS (SELECT min(j) AS j, v FROM (SELECT j, CAST(floor(pow(1.2, j)) AS BIGINT) AS v FROM range(1, 119) t(j)) GROUP BY v),
+x AS (SELECT j, lead(v) OVER (ORDER BY v) AS nxt, lead(j) OVER (ORDER BY v) AS power, v FROM e),
+m AS (SELECT power, sqrt(v * (nxt - 1)) AS mid FROM x WHERE nxt IS NOT NULL),
+bins AS (SELECT lag(mid) OVER (ORDER BY mid) AS lo, mid AS hi, power FROM m),
+top AS (SELECT ceil(round(ln(max(impact_3year)::DOUBLE) / ln(1.2), 9)) AS p FROM collapse_venues),
+t AS (SELECT venue, count(*) FILTER (type = 'letter') AS tl, count(*) FILTER (type = 'article') AS ta
+      FROM collapse_venues GROUP BY venue),
+g AS (SELECT c.venue, b.hi AS binedge, count(*) FILTER (type = 'letter') AS nl, count(*) FILTER (type = 'article') AS na,
+             count(*) AS n
+      FROM collapse_venues c JOIN bins b ON c.impact_3year > b.lo AND c.impact_3year <= b.hi
+      WHERE b.power <= (SELECT p FROM top) GROUP BY c.venue, b.hi)
+SELECT g.venue, binedge, nl / nullif(tl, 0) AS p_with_letter, na / nullif(ta, 0) AS p_no_letter,
+       (nl / nullif(tl, 0)) / nullif(na / nullif(ta, 0), 0) AS p_ratio, n AS count
+FROM g JOIN t ON t.venue = g.venue WHERE (nl / nullif(tl, 0)) / nullif(na / nullif(ta, 0), 0) > 0""")
+query("binned_likelihood", f"""
+SELECT venue, {r6('binedge')} AS binedge, {r6('p_with_letter')} AS p_with_letter, {r6('p_no_letter')} AS p_no_letter,
+       {r6('p_ratio')} AS p_ratio, count FROM o_likelihood""")
+query("loglog_corr", f"""
+SELECT venue, {r6('rho')} AS rho, printf('%s, ρ = %.2f', venue, round(rho, 2)) AS label
+FROM (SELECT venue, corr(log10(p_ratio), log10(binedge)) AS rho FROM o_likelihood GROUP BY venue)""")
+
+part("o_panel", """
+SELECT CASE WHEN venue LIKE 'PR-_' THEN 'Other APS' ELSE venue END AS venue, type, id, rank, metric FROM (
+  SELECT venue, type, id, rank, 'Impact' AS metric FROM o_rank_impact
+  UNION ALL SELECT venue, type, id, rank, 'Ref. Diversity' FROM o_rank_ref
+  UNION ALL SELECT venue, type, id, rank, 'Cite. Diversity' FROM o_rank_cite
+  UNION ALL SELECT venue, type, id, rank, 'Novelty' FROM o_rank_novelty)
+WHERE venue IS NOT NULL""")
+query("metric_panel", f"SELECT venue, type, id, {r6('rank')} AS rank, metric FROM o_panel")
+query("matched_panel", f"""
+SELECT venue, type, id, {r6('rank')} AS rank, metric FROM o_panel
+WHERE type = 'article' AND metric <> 'Impact' AND id IN (SELECT id FROM o_pairs)""")
+
+query("top_share", f"""
+WITH j AS (SELECT f.tweet_count, c.venue, c.type FROM attention_features f JOIN collapse_venues c ON c.id = f.id
+           WHERE f.tweet_count > 0),
+q AS (SELECT venue, quantile_cont(tweet_count, 0.9) AS q90, quantile_cont(tweet_count, 0.95) AS q95,
+             quantile_cont(tweet_count, 0.99) AS q99 FROM j GROUP BY venue),
+s AS (SELECT j.venue, j.type, avg((tweet_count >= q90)::INT) AS a, avg((tweet_count >= q95)::INT) AS b,
+             avg((tweet_count >= q99)::INT) AS c FROM j JOIN q ON q.venue = j.venue WHERE j.type = 'letter'
+      GROUP BY j.venue, j.type)
+SELECT venue, type, 'top_10pct' AS metric, {r6('round(a, 3)')} AS prop_hit FROM s
+UNION ALL SELECT venue, type, 'top_05pct', {r6('round(b, 3)')} FROM s
+UNION ALL SELECT venue, type, 'top_01pct', {r6('round(c, 3)')} FROM s""")
+
+query("attention_share", f"""
+WITH j AS (SELECT m.venue, m.type, f.tweet_count, f.newsfeed_count FROM o_pairs m LEFT JOIN attention_features f ON f.id = m.id),
+s AS (SELECT venue, type, count(*) FILTER (tweet_count > 0) / count(*) AS t, count(*) FILTER (newsfeed_count > 0) / count(*) AS n
+      FROM j GROUP BY venue, type)
+SELECT venue, type, 'has_tweet' AS metric, {r6('t')} AS prop FROM s
+UNION ALL SELECT venue, type, 'has_news', {r6('n')} FROM s""")
+
+
+def ladder(col: str, breaks, labels) -> str:
+    steps = " ".join(f"WHEN {col} <= {hi} THEN '{label}'" for hi, label in zip(breaks[1:], labels))
+    return f"CASE WHEN {col} < {breaks[0]} THEN NULL {steps} END"
+
+
+def crosstab(metric: str, breaks, labels) -> str:
+    return f"""
+WITH b AS (SELECT {ladder('o.' + metric, breaks, labels)} AS original_bucket, {ladder('l.' + metric, breaks, labels)} AS letter_bucket
+  FROM resolve_links r LEFT JOIN attention o ON o.id = r.original_id LEFT JOIN attention l ON l.id = r.letter_id),
+c AS (SELECT original_bucket, letter_bucket, count(*) AS count, sum(count(*)) OVER (PARTITION BY original_bucket) AS total
+  FROM b GROUP BY original_bucket, letter_bucket)
+SELECT original_bucket, letter_bucket, count, {r6('count / total')} AS prop FROM c
+WHERE original_bucket IS NOT NULL AND letter_bucket IS NOT NULL"""
+
+
+query("attention_crosstab_tweets", crosstab("tweet_count", (0, 0.1, 1, 10, 50, 100, 1000), ("0", "1", "1-10", "10-50", "50-100", "100-1000")))
+query("attention_crosstab_news", crosstab("newsfeed_count", (0, 0.1, 1, 5, 10, 20, 100), ("0", "1", "1-5", "5-10", "10-20", "20-100")))
+
+# --- trajectories ---------------------------------------------------------------------------------------
+part("o_cites", """
+SELECT r.paper_reference_id AS id, r.paper_id AS citing_id, 'letter' AS type, m.venue
+FROM union_refs r JOIN resolve_links m ON m.letter_id = r.paper_reference_id
+UNION ALL
+SELECT r.paper_reference_id, r.paper_id, 'original', m.venue
+FROM refs r JOIN resolve_links m ON m.original_id = r.paper_reference_id""")
+SELF = """EXISTS (SELECT 1 FROM authorships a JOIN authorships b ON a.author_id = b.author_id
+  WHERE a.paper_id = c.id AND b.paper_id = c.citing_id)"""
+part("o_self", """
+SELECT DISTINCT c.id, c.citing_id FROM (SELECT id, citing_id FROM o_cites UNION SELECT paper_reference_id, paper_id FROM refs) c
+JOIN authorships a ON a.paper_id = c.id JOIN authorships b ON b.paper_id = c.citing_id AND b.author_id = a.author_id""")
+query("dual_trajectories", """
+SELECT c.id, c.citing_id, c.type, p.year AS citing_year, c.venue, s.id IS NOT NULL AS is_self_cite
+FROM o_cites c LEFT JOIN papers p ON p.paper_id = c.citing_id
+LEFT JOIN o_self s ON s.id = c.id AND s.citing_id = c.citing_id""")
+query("self_cite_flag", """
+SELECT r.paper_reference_id AS id, r.paper_id AS citing_id, s.id IS NOT NULL AS is_self_cite
+FROM refs r LEFT JOIN o_self s ON s.id = r.paper_reference_id AND s.citing_id = r.paper_id""")
+query("citing_titles", """
+SELECT DISTINCT r.paper_reference_id AS cited_paper_id, r.paper_id AS citing_paper_id, a.title AS cited_title, b.title AS citing_title
+FROM union_refs r JOIN resolve_links m ON m.original_id = r.paper_reference_id
+LEFT JOIN papers a ON a.paper_id = r.paper_reference_id LEFT JOIN papers b ON b.paper_id = r.paper_id""")
+query("drop_replies", """
+SELECT id, citing_id, type, citing_year, CASE WHEN venue LIKE 'PR-_' THEN 'Other APS' ELSE venue END AS venue, is_self_cite
+FROM dual_trajectories WHERE venue <> 'Geology' AND NOT is_self_cite
+  AND citing_id NOT IN (SELECT citing_paper_id FROM citing_titles WHERE contains(citing_title, 'reply'))""")
+query("annual_citations", """
+SELECT id, type, citing_year, venue, count(DISTINCT citing_id) AS cites FROM drop_replies GROUP BY id, type, citing_year, venue""")
+query("citation_ratio", f"""
+WITH l AS (SELECT t.original_id AS id, a.citing_year, a.venue, a.cites AS cites_letter, t.letter_year
+  FROM annual_citations a LEFT JOIN treated_cohort t ON t.letter_id = a.id WHERE a.type = 'letter'),
+j AS (SELECT a.id, a.venue, a.citing_year, a.cites, l.cites_letter,
+        last_value(l.letter_year IGNORE NULLS) OVER (PARTITION BY a.id, a.venue ORDER BY a.citing_year, l.cites_letter NULLS FIRST
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS letter_year
+  FROM annual_citations a LEFT JOIN l ON l.id = a.id AND l.citing_year = a.citing_year AND l.venue = a.venue
+  WHERE a.type = 'original'),
+f AS (SELECT *, citing_year - min(citing_year) OVER (PARTITION BY id, venue) AS delta_year FROM j WHERE citing_year >= letter_year)
+SELECT venue, delta_year, {r6('avg(coalesce(cites_letter, 0) / cites)')} AS mu, 'ratio' AS metric FROM f GROUP BY venue, delta_year""")
+query("cocitation", """
+SELECT d.venue, d.citing_id, d.citing_year, coalesce(l.original_id, d.id) AS group_id, count(*) > 1 AS cocite
+FROM drop_replies d LEFT JOIN (SELECT DISTINCT original_id, letter_id FROM treated_cohort) l ON l.letter_id = d.id
+GROUP BY d.venue, d.citing_id, d.citing_year, coalesce(l.original_id, d.id)""")
+part("o_cocite_traj", """
+SELECT venue, delta_year, avg(prop) AS mu, 'cocite' AS metric FROM (
+  SELECT c.venue, c.group_id, c.citing_year - t.letter_year AS delta_year, count(*) FILTER (c.cocite) / count(*) AS prop
+  FROM cocitation c LEFT JOIN treated_cohort t ON t.original_id = c.group_id
+  GROUP BY c.venue, c.group_id, c.citing_year - t.letter_year) GROUP BY venue, delta_year""")
+part("o_raw_traj", """
+SELECT venue, delta_year, avg(n) AS mu, 'raw' AS metric FROM (
+  SELECT d.venue, d.id, d.citing_year - t.letter_year AS delta_year, count(*) AS n
+  FROM drop_replies d LEFT JOIN treated_cohort t ON t.original_id = d.id WHERE d.type = 'original'
+  GROUP BY d.venue, d.id, d.citing_year - t.letter_year) GROUP BY venue, delta_year""")
+query("cocite_trajectory", f"SELECT venue, delta_year, {r6('mu')} AS mu, metric FROM o_cocite_traj")
+query("raw_trajectory", f"SELECT venue, delta_year, {r6('mu')} AS mu, metric FROM o_raw_traj")
+query("trajectory_slope", f"""
+WITH u AS (SELECT * FROM (SELECT * FROM o_cocite_traj UNION ALL SELECT * FROM o_raw_traj) WHERE delta_year BETWEEN 1 AND 8),
+s AS (SELECT *, (mu - lag(mu) OVER w) / (delta_year - lag(delta_year) OVER w) AS slope FROM u
+      WINDOW w AS (PARTITION BY venue, metric ORDER BY delta_year)),
+g AS (SELECT venue, metric, round(avg(slope), 3) + 0.0::DOUBLE AS avg_slope, arg_max(mu, delta_year) AS last_val FROM s GROUP BY venue, metric)
+SELECT venue, metric, avg_slope,
+       CASE WHEN avg_slope IS NOT NULL THEN (CASE WHEN avg_slope < 0 THEN 'm = ' ELSE 'm = +' END)
+         || regexp_replace(CAST(avg_slope AS VARCHAR), '\\.0$', '') END AS slope_lab, {r6('last_val')} AS last_val FROM g""")
+
+# --- novelty --------------------------------------------------------------------------------------------
+part("o_cited_journals", """
+SELECT paper_id, journal_id, year FROM papers
+WHERE doi IS NOT NULL AND doc_type = 'Journal' AND journal_id IN (SELECT journal_id FROM journals WHERE paper_count > 100)""")
+query("journal_refs", """
+SELECT p.paper_id AS citing_paper_id, c.journal_id AS reference_journal_id, c.year AS reference_year, p.year AS citing_year,
+       c.paper_id AS row_key
+FROM union_refs r JOIN papers p ON p.paper_id = r.paper_id JOIN o_cited_journals c ON c.paper_id = r.paper_reference_id
+WHERE p.doc_type = 'Journal' AND p.doi IS NOT NULL AND p.reference_count >= 5 AND p.doc_sub_types = ''
+  AND p.journal_id IN (SELECT journal_id FROM journals WHERE paper_count > 100)""")
+query("target_journal_refs", """
+SELECT t.paper_id AS citing_paper_id, c.journal_id AS reference_journal_id
+FROM refs r JOIN o_target t ON t.paper_id = r.paper_id JOIN o_cited_journals c ON c.paper_id = r.paper_reference_id""")
+query("shuffle_within", """
+WITH slots AS (SELECT citing_year, reference_year, citing_paper_id,
+    row_number() OVER (PARTITION BY citing_year, reference_year ORDER BY md5(concat_ws('|', '0', 'slot', citing_paper_id, row_key))) AS pos
+  FROM brand_refs),
+draws AS (SELECT citing_year, reference_year, CAST(i AS INT) AS iteration, reference_journal_id,
+    row_number() OVER (PARTITION BY citing_year, reference_year, i ORDER BY md5(concat_ws('|', '0', i, citing_paper_id, row_key))) AS pos
+  FROM brand_refs, range(1, 6) t(i))
+SELECT d.citing_year, d.reference_year, d.iteration, s.citing_paper_id, d.reference_journal_id
+FROM draws d JOIN slots s USING (citing_year, reference_year, pos)""")
+
+
+def combos(src: str, keys: str, paper: str) -> str:
+    """Every 2-combination of a paper's rows, written out."""
+    on = " AND ".join(f"a.{k} = b.{k}" for k in [*keys.split(", "), paper])
+    cols = ", ".join(f"a.{k}" for k in keys.split(", "))
+    return f"""
+SELECT {cols}, a.{paper}, least(a.reference_journal_id, b.reference_journal_id) AS j1,
+       greatest(a.reference_journal_id, b.reference_journal_id) AS j2
+FROM (SELECT *, row_number() OVER (PARTITION BY {keys}, {paper} ORDER BY reference_journal_id) AS k FROM {src}) a
+JOIN (SELECT *, row_number() OVER (PARTITION BY {keys}, {paper} ORDER BY reference_journal_id) AS k FROM {src}) b
+  ON {on} AND a.k < b.k"""
+
+
+query("pair_counts", f"""
+SELECT citing_year, j1, j2, count(*) AS n FROM ({combos('brand_refs', 'citing_year', 'citing_paper_id')})
+GROUP BY citing_year, j1, j2""")
+query("pair_counts_null", f"""
+SELECT citing_year, iteration, j1, j2, count(*) AS n FROM ({combos('shuffle_within', 'citing_year, iteration', 'citing_paper_id')})
+GROUP BY citing_year, iteration, j1, j2""")
+query("merge_pair_counts", """
+SELECT j1, j2, CAST(sum(n) AS BIGINT) AS n FROM (SELECT j1, j2, n FROM pair_counts UNION ALL SELECT j1, j2, n FROM pair_counts_null)
+GROUP BY j1, j2""")
+part("o_z", """
+WITH g AS (SELECT citing_year, j1, j2, CAST(sum(n) AS BIGINT) AS s, CAST(sum(n * n) AS BIGINT) AS q FROM pair_counts_null GROUP BY ALL),
+m AS (SELECT o.citing_year AS year, o.j1, o.j2, 5 * o.n - coalesce(s, 0) AS gap, 5 * coalesce(q, 0) - coalesce(s, 0) * coalesce(s, 0) AS spread
+  FROM pair_counts o LEFT JOIN g ON g.citing_year = o.citing_year AND g.j1 = o.j1 AND g.j2 = o.j2)
+SELECT year, j1, j2, CASE WHEN spread > 0 THEN gap / sqrt(spread::DOUBLE) WHEN gap > 0 THEN 'inf'::DOUBLE
+  WHEN gap < 0 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END AS z FROM m""")
+
+
+def kind(col: str) -> str:
+    return (f"CASE WHEN isfinite({col}) THEN {r6(col)} END AS {col}, CASE WHEN isnan({col}) THEN 'nan' "
+            f"WHEN {col} = 'inf'::DOUBLE THEN 'inf' WHEN {col} = '-inf'::DOUBLE THEN '-inf' ELSE 'finite' END AS {col}_kind")
+
+
+query("pair_zscores", f"SELECT year, j1, j2, {kind('z')} FROM o_z")
+query("stack_zscores", f"SELECT year, j1, j2, {kind('z')} FROM o_z WHERE year IN (1996, 1997)")
+part("o_novelty", f"""
+WITH f AS (SELECT b.citing_paper_id, b.reference_journal_id, c.year FROM brand_refs b JOIN stack_cohorts c ON c.id = b.citing_paper_id
+  WHERE c.year BETWEEN {START} AND {END - 1}),
+p AS ({combos('f', 'year', 'citing_paper_id')}),
+s AS (SELECT p.citing_paper_id AS id, coalesce(z.z, 0) AS z FROM p LEFT JOIN o_z z ON z.year = p.year AND z.j1 = p.j1 AND z.j2 = p.j2),
+g AS (SELECT id, count(*) AS pairs, bool_or(isnan(z)) AS bad, quantile_cont(z, 0.5) AS m, quantile_cont(z, 0.1) AS t FROM s GROUP BY id)
+SELECT id, CASE WHEN bad THEN 'nan'::DOUBLE ELSE m END AS zscore_median, CASE WHEN bad THEN 'nan'::DOUBLE ELSE t END AS zscore_10th, pairs
+FROM g WHERE bad OR t <> 'inf'::DOUBLE""")
+query("paper_novelty", f"SELECT id, {kind('zscore_median')}, {kind('zscore_10th')}, pairs FROM o_novelty")
+
+# --- people ---------------------------------------------------------------------------------------------
+query("author_positions", """
+SELECT DISTINCT a.paper_id, a.author_id, CASE a.seq WHEN 1 THEN 'f' WHEN s.num_authors THEN 'l' ELSE 'm' END AS author_position, s.num_authors
+FROM authorships a LEFT JOIN (SELECT paper_id, max(seq) AS num_authors FROM authorships GROUP BY paper_id) s ON s.paper_id = a.paper_id""")
+query("target_authors", f"""
+SELECT DISTINCT a.author_id, a.affiliation_id, a.paper_id FROM authorships a JOIN papers p ON p.paper_id = a.paper_id
+WHERE p.journal_id IN ({V}) AND p.year BETWEEN {START} AND {END} AND p.doc_type = 'Journal' AND p.doc_sub_types = ''""")
+part("o_histories", """
+SELECT h.author_id, h.paper_id, h.year, o.author_position, o.num_authors, i.impact_3year_norm, f.field
+FROM (SELECT DISTINCT a.author_id, p.paper_id, p.year FROM authorships a
+      JOIN (SELECT DISTINCT author_id FROM target_authors) t ON t.author_id = a.author_id
+      LEFT JOIN papers p ON p.paper_id = a.paper_id WHERE p.doc_type = 'Journal' AND p.year BETWEEN 1980 AND 2020) h
+LEFT JOIN author_positions o ON o.paper_id = h.paper_id AND o.author_id = h.author_id
+LEFT JOIN o_field_norm i ON i.paper_id = h.paper_id LEFT JOIN dominant_field f ON f.paper_id = h.paper_id""")
+query("career_histories", f"""
+SELECT author_id, paper_id, year, author_position, num_authors, {r6('impact_3year_norm')} AS impact_3year_norm, field FROM o_histories""")
+query("author_profiles", """
+SELECT DISTINCT t.author_id, t.affiliation_id, t.paper_id, o.author_position, o.num_authors, f.grid_id,
+       f.name AS affiliation_name, f.country AS affiliation_country, g.gender
+FROM target_authors t LEFT JOIN affiliations f ON f.affiliation_id = t.affiliation_id
+LEFT JOIN author_positions o ON o.paper_id = t.paper_id AND o.author_id = t.author_id
+LEFT JOIN authors n ON n.author_id = t.author_id LEFT JOIN gender_names g ON g.name = n.name
+WHERE o.author_position IN ('f', 'l')""")
+query("first_year", """
+SELECT author_id, min(year) AS first_year FROM o_histories
+WHERE author_position = 'f' AND author_id IN (SELECT author_id FROM author_profiles) GROUP BY author_id""")
+query("author_covariates", f"""
+WITH a AS (SELECT p.*, y.first_year, e.grid_id IS NOT NULL AS is_elite FROM author_profiles p
+  LEFT JOIN first_year y ON y.author_id = p.author_id LEFT JOIN elite e ON e.grid_id = p.grid_id
+  WHERE p.num_authors <= 20 AND p.author_position = 'f' AND p.gender IS NOT NULL),
+d AS (SELECT paper_id AS id, bool_or(is_elite) AS is_elite, arg_min(gender, author_id) AS gender,
+             arg_min(first_year, author_id) AS first_year, arg_min(num_authors, author_id) AS n FROM a GROUP BY paper_id),
+j AS (SELECT m.*, d.is_elite, d.gender, d.first_year, d.n FROM o_pooled m JOIN d ON d.id = m.id)
+SELECT id, venue, type, treat, {r6('impact_norm')} AS impact, 'first' AS authorship,
+       CASE WHEN gender = 1 THEN 'Female' ELSE 'Male' END AS gender,
+       CASE WHEN year - first_year <= 10 THEN 'Junior' WHEN year - first_year > 10 THEN 'Senior' END AS seniority,
+       CASE WHEN is_elite THEN 'Elite' ELSE 'NonElite' END AS elite,
+       CASE WHEN n <= 0 THEN NULL WHEN n <= 1 THEN '(0,1]' WHEN n <= 5 THEN '(1,5]' WHEN n <= 20 THEN '(5,20]' END AS team,
+       year - min(year) OVER () AS year_offset
+FROM j""")
+query("author_events", f"""
+WITH w AS (SELECT author_id, paper_id AS id FROM o_histories WHERE author_position = 'f'),
+t AS (SELECT w.author_id, l.venue, l.letter_year AS event_year, l.letter_year AS center_year, 1 AS treat
+      FROM w JOIN treated_cohort l ON l.id = w.id WHERE l.letter_year BETWEEN {START} AND {END - 1}),
+c AS (SELECT w.author_id, a.venue, e.event_year, CAST(a.year + 1 AS INT) AS center_year, 0 AS treat
+      FROM (SELECT DISTINCT venue, event_year FROM t) e JOIN control_cohort a
+        ON a.venue = e.venue AND a.year BETWEEN e.event_year - 4 AND e.event_year + 4
+      JOIN w ON w.id = a.id
+      WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.author_id = w.author_id AND t.venue = e.venue AND t.event_year = e.event_year))
+SELECT * FROM t UNION ALL SELECT * FROM c""")
+part("o_features", """
+WITH h AS (SELECT *, min(year) OVER (PARTITION BY author_id) AS start FROM o_histories),
+r AS (SELECT e.venue, e.event_year, e.author_id, e.treat, e.center_year - h.start AS career_age, h.author_position, h.num_authors,
+        h.impact_3year_norm, h.field, CASE WHEN h.year <= e.center_year THEN 'before' ELSE 'after' END AS partition
+  FROM h JOIN author_events e ON e.author_id = h.author_id
+  WHERE e.center_year - h.start > 1 AND h.year BETWEEN e.center_year - 5 AND e.center_year + 5),
+m AS (SELECT venue, event_year, author_id, treat, partition, field,
+        row_number() OVER (PARTITION BY venue, event_year, author_id, treat, partition ORDER BY count(*) DESC, field IS NULL, field) AS k
+  FROM r GROUP BY venue, event_year, author_id, treat, partition, field),
+s AS (SELECT venue, event_year, author_id, treat, partition, count(*) AS total_prod, min(career_age) AS career_age,
+        count(*) FILTER (author_position IN ('f', 'l'))::DOUBLE AS lead_prod, sum(1.0::DOUBLE / num_authors) AS frac_prod,
+        avg(impact_3year_norm) AS impact_raw
+  FROM r GROUP BY venue, event_year, author_id, treat, partition HAVING count(*) > 5),
+f AS (SELECT s.venue, s.event_year, s.author_id, s.treat, s.partition, s.total_prod, s.career_age, s.impact_raw, m.field,
+        CASE WHEN s.lead_prod = 0 THEN 0.00001::DOUBLE ELSE s.lead_prod END AS lead_prod,
+        CASE WHEN s.frac_prod = 0 THEN 0.00001::DOUBLE ELSE s.frac_prod END AS frac_prod,
+        CASE WHEN s.impact_raw = 0 THEN 0.00001::DOUBLE ELSE s.impact_raw END AS impact
+  FROM s JOIN m ON m.venue = s.venue AND m.event_year = s.event_year AND m.author_id = s.author_id AND m.treat = s.treat
+    AND m.partition = s.partition AND m.k = 1),
+w AS (SELECT *, avg(impact) OVER v AS mi, avg(frac_prod) OVER v AS mf, avg(lead_prod) OVER v AS ml FROM f
+      WINDOW v AS (PARTITION BY venue, event_year)),
+n AS (SELECT *, CASE WHEN abs(mi - 1) > 1e-9 THEN ln(impact) / ln(mi) END AS impact_norm,
+        CASE WHEN abs(mf - 1) > 1e-9 THEN ln(frac_prod) / ln(mf) END AS prod_norm,
+        CASE WHEN abs(ml - 1) > 1e-9 THEN ln(lead_prod) / ln(ml) END AS lead_prod_norm FROM w),
+k AS (SELECT * FROM n WHERE impact_norm IS NOT NULL AND frac_prod IS NOT NULL AND field IS NOT NULL)
+SELECT venue, event_year, author_id, treat, partition, total_prod, career_age, lead_prod, frac_prod, impact, impact_raw, field,
+       impact_norm, prod_norm, lead_prod_norm
+FROM (SELECT *, count(DISTINCT partition) OVER (PARTITION BY venue, event_year, author_id) AS parts FROM k) WHERE parts = 2""")
+FEATS = ", ".join(f"{r6(c)} AS {c}" for c in ("lead_prod", "frac_prod", "impact", "impact_raw", "impact_norm", "prod_norm", "lead_prod_norm"))
+query("career_features", f"""
+SELECT venue, event_year, author_id, treat, partition, total_prod, career_age, field, {FEATS} FROM o_features""")
+query("elite_universities", """
+WITH w AS (SELECT * FROM rankings WHERE field = 'All sciences' AND frac_counting = 0),
+r AS (SELECT university, period, row_number() OVER (PARTITION BY period ORDER BY pp_top5 DESC, university) AS rank FROM w WHERE impact_p > 80),
+f AS (SELECT university, CAST(arg_min(rank, period) AS INT) AS rank FROM r WHERE rank <= 30 GROUP BY university)
+SELECT w.university, g.grid_id, CAST(substring(w.period, 1, 4) AS INT) AS year, f.rank
+FROM w JOIN f ON f.university = w.university LEFT JOIN grid_ids g ON g.university = w.university""")
