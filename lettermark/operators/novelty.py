@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermark.functions.distribution import hashed_position
+from lettermark.functions.distribution import hash_digits, hashed_position
 from lettermark.functions.keys import md5_key, null_safe_join
 from lettermark.operators.graph import target_papers
 
@@ -67,7 +67,8 @@ def target_journal_refs(
 
 
 def shuffle_within(
-    df: DataFrame, keys: list[str], value: str, unit: str, row_key: str, iterations: int = 10, seed: str = "0"
+    df: DataFrame, keys: list[str], value: str, unit: str, row_key: str, iterations: int = 10, seed: str = "0",
+    digits: int | None = None,
 ) -> DataFrame:
     """Permute `value` among the rows sharing `keys`, once per iteration.
 
@@ -75,8 +76,10 @@ def shuffle_within(
     orders are spread over hash blocks. (`unit`, `row_key`) must identify a row. Rows with a NULL key drop out.
     """
     rows = df.dropna(subset=keys)
+    if digits is None:
+        digits = hash_digits(rows, keys)
     slots = hashed_position(
-        rows.select(*keys, unit, row_key, md5_key(seed, F.lit("slot"), unit, row_key).alias("_h")), keys, "_h", "_pos"
+        rows.select(*keys, unit, row_key, md5_key(seed, F.lit("slot"), unit, row_key).alias("_h")), keys, "_h", "_pos", digits
     ).select(*keys, unit, "_pos")
     runs = F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("iteration")
     draws = hashed_position(
@@ -86,6 +89,7 @@ def shuffle_within(
         [*keys, "iteration"],
         "_h",
         "_pos",
+        digits,
     ).select(*keys, "iteration", value, "_pos")
     return draws.join(slots, [*keys, "_pos"]).select(*keys, "iteration", unit, value)
 

@@ -516,7 +516,7 @@ d AS (SELECT paper_id AS id, bool_or(is_elite) AS is_elite, arg_min(gender, auth
 j AS (SELECT m.*, d.is_elite, d.gender, d.first_year, d.n FROM o_pooled m JOIN d ON d.id = m.id)
 SELECT id, venue, type, treat, {r6('impact_norm')} AS impact, 'first' AS authorship,
        CASE WHEN gender = 1 THEN 'Female' ELSE 'Male' END AS gender,
-       CASE WHEN year - first_year <= 10 THEN 'Junior' WHEN year - first_year > 10 THEN 'Senior' END AS seniority,
+       CASE WHEN year - first_year <= 2 THEN 'Junior' WHEN year - first_year > 2 THEN 'Senior' END AS seniority,
        CASE WHEN is_elite THEN 'Elite' ELSE 'NonElite' END AS elite,
        CASE WHEN n <= 0 THEN NULL WHEN n <= 1 THEN '(0,1]' WHEN n <= 5 THEN '(1,5]' WHEN n <= 20 THEN '(5,20]' END AS team,
        year - min(year) OVER () AS year_offset
@@ -568,3 +568,327 @@ r AS (SELECT university, period, row_number() OVER (PARTITION BY period ORDER BY
 f AS (SELECT university, CAST(arg_min(rank, period) AS INT) AS rank FROM r WHERE rank <= 30 GROUP BY university)
 SELECT w.university, g.grid_id, CAST(substring(w.period, 1, 4) AS INT) AS year, f.rank
 FROM w JOIN f ON f.university = w.university LEFT JOIN grid_ids g ON g.university = w.university""")
+
+# --- matching -------------------------------------------------------------------------------------------
+part("o_one_field", """
+SELECT id, arg_min(f, md5(concat_ws('|', '0', id, f))) AS field, count(*) > 1 AS multifield
+FROM (SELECT DISTINCT id, field_level0 AS f FROM rollup_fields) GROUP BY id""")
+LAG_CASE = lambda off: "CASE greatest(lag, 1) " + " ".join(f"WHEN {k} THEN impact_{k + off}year" for k in range(1, 7)) + " END"
+QUARTER = "concat('Q', CAST(floor((month - 1) / 3) + 1 AS INT))"
+part("o_prepared", f"""
+WITH a AS (
+  SELECT original_id AS id, venue, original_year AS year, month, 'Treatment' AS type, lag, num_critical_letters AS own,
+         {", ".join(f"impact_{k}year" for k in HORIZONS)} FROM treated_cohort WHERE lag BETWEEN 0 AND 6
+  UNION ALL
+  SELECT id, venue, year, month, 'Control', CAST(l AS INT), 0, {", ".join(f"impact_{k}year" for k in HORIZONS)}
+  FROM control_cohort, range(0, 7) t(l)),
+b AS (SELECT id, venue, year, {QUARTER} AS quarter, type, CASE WHEN type = 'Treatment' THEN 1 ELSE 0 END AS treat,
+        {LAG_CASE(0)} - own AS impact_before, {LAG_CASE(3)} - own AS impact_after, lag, 3 AS delay
+      FROM a WHERE month IS NOT NULL AND year <= 2021 - 3),
+c AS (SELECT b.*, f.field, f.multifield FROM b JOIN o_one_field f ON f.id = b.id WHERE impact_before >= 5),
+s AS (SELECT *, avg(ln(impact_before)) OVER w AS m, sum(treat) OVER w AS t FROM c WINDOW w AS (PARTITION BY venue, delay, lag))
+SELECT id, venue, field, year, quarter, multifield, type, treat, impact_before, impact_after,
+       ln(impact_before) / nullif(m, 0) AS impact_norm, lag, delay FROM s WHERE t >= 1""")
+query("prepare_paper_match", f"SELECT * REPLACE ({r6('impact_norm')} AS impact_norm) FROM o_prepared")
+part("o_pooled", f"""
+WITH a AS (
+  SELECT original_id AS id, venue, original_year AS year, month, 'Treatment' AS type, 1 AS treat, impact_3year - num_critical_letters AS impact
+  FROM treated_cohort
+  UNION ALL SELECT id, venue, year, month, 'Control', 0, impact_3year FROM control_cohort),
+b AS (SELECT a.*, f.field, f.multifield FROM a JOIN o_one_field f ON f.id = a.id WHERE month IS NOT NULL AND impact >= 5)
+SELECT id, venue, field, year, {QUARTER} AS quarter, multifield, type, treat, impact,
+       ln(impact) / nullif(avg(ln(impact)) OVER (PARTITION BY venue), 0) AS impact_norm FROM b""")
+query("prepare_density_match", f"SELECT * REPLACE ({r6('impact_norm')} AS impact_norm) FROM o_pooled")
+
+part("o_pairs_all", """
+WITH b AS (SELECT *, CAST(floor(id / 40) AS BIGINT) AS subclass FROM o_prepared),
+f AS (SELECT *, row_number() OVER (PARTITION BY venue, delay, lag, subclass, treat ORDER BY id) AS k FROM b),
+g AS (SELECT * EXCLUDE (k), concat_ws('.', venue, lag, subclass) AS match_group, impact_after / impact_before AS growth FROM f WHERE k = 1)
+SELECT *, count(*) OVER (PARTITION BY match_group) AS members FROM g""")
+query("match_groups", f"""
+SELECT * EXCLUDE (members) REPLACE ({r6('growth')} AS growth, {r6('impact_norm')} AS impact_norm) FROM o_pairs_all WHERE members > 1""")
+part("o_pairs", """
+SELECT * EXCLUDE (members) REPLACE (CASE WHEN venue LIKE 'PR-_' THEN 'Other APS' ELSE venue END AS venue)
+FROM o_pairs_all WHERE members > 1 AND venue <> 'Geology'""")
+part("o_author_pairs", """
+WITH b AS (SELECT *, CAST(floor(author_id / 60) AS BIGINT) AS subclass FROM o_features WHERE partition = 'before'),
+f AS (SELECT *, row_number() OVER (PARTITION BY venue, event_year, subclass, treat ORDER BY author_id, field) AS k FROM b),
+g AS (SELECT venue, event_year, author_id, field, concat_ws('.', venue, event_year, subclass) AS match_group FROM f WHERE k = 1),
+h AS (SELECT *, count(*) OVER (PARTITION BY match_group) AS members FROM g)
+SELECT o.* REPLACE (CASE WHEN o.venue LIKE 'PR-_' THEN 'Other APS' ELSE o.venue END AS venue), h.match_group
+FROM h JOIN o_features o ON o.venue = h.venue AND o.event_year = h.event_year AND o.author_id = h.author_id AND o.field = h.field
+WHERE h.members > 1 AND o.venue <> 'Geology'""")
+
+
+def integral(f: str, lo: str, hi: str) -> str:
+    """Simpson's rule on 1000 steps; `x` is the variable of f."""
+    step = f"(({hi}) - ({lo})) / 1000"
+    body = f.replace("x", f"(({lo}) + i * {step})")
+    return (f"(list_sum(list_transform(range(0, 1001), lambda i: (CASE WHEN i = 0 OR i = 1000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) "
+            f"* ({body}))) * {step} / 3)")
+
+
+def t_p(t: str, dof: str) -> str:
+    top = f"least(pi() / 2, 12.0::DOUBLE / sqrt({dof}))"
+    dens = f"pow(greatest(cos(x), 0), {dof} - 1)"
+    return (f"CASE WHEN {t} IS NOT NULL AND {dof} >= 1 THEN {integral(dens, f'least(atan(abs({t}) / sqrt({dof})), {top})', top)} "
+            f"/ {integral(dens, '0.0::DOUBLE', top)} END")
+
+
+def z_p(z: str) -> str:
+    dens = "power(2.718281828459045::DOUBLE, -(x) * (x) / 2)"
+    return (f"CASE WHEN {z} IS NOT NULL THEN {integral(dens, f'least(abs({z}), 12.0::DOUBLE)', '12.0::DOUBLE')} "
+            f"/ {integral(dens, '0.0::DOUBLE', '12.0::DOUBLE')} END")
+
+
+def paired(src: str, keys: str) -> str:
+    """t and signed-rank results of a - b per key."""
+    return f"""
+WITH d AS (SELECT {keys}, a - b AS d, round(a - b, 9) AS e FROM {src}),
+t AS (SELECT {keys}, count(*) AS n_pairs, avg(d) AS t_estimate, stddev_samp(d) AS sd FROM d GROUP BY {keys}),
+u AS (SELECT *, CASE WHEN sd > 1e-12 THEN t_estimate / (sd / sqrt(n_pairs)) END AS t_statistic FROM t),
+r AS (SELECT {keys}, e, rank() OVER (PARTITION BY {keys} ORDER BY abs(e)) - 1 + (count(*) OVER (PARTITION BY {keys}, abs(e)) + 1) / 2 AS rk,
+             count(*) OVER (PARTITION BY {keys}, abs(e)) AS ties FROM d WHERE e <> 0),
+w AS (SELECT {keys}, count(*) AS n_nonzero, coalesce(sum(rk) FILTER (e > 0), 0) AS v, sum((ties * ties - 1)::DOUBLE) AS ties FROM r GROUP BY {keys}),
+x AS (SELECT *, v - n_nonzero * (n_nonzero + 1) / 4 AS shift,
+             sqrt(n_nonzero::DOUBLE * (n_nonzero + 1) * (2 * n_nonzero + 1) / 24 - ties / 48) AS sigma FROM w),
+y AS (SELECT *, CASE WHEN sigma > 0 THEN (shift - sign(shift) * 0.5::DOUBLE) / sigma END AS z FROM x)
+SELECT {", ".join("u." + k for k in keys.split(", "))}, n_pairs, t_estimate, t_statistic, {t_p('t_statistic', '(n_pairs - 1)')} AS t_p_value,
+       n_nonzero, v AS wilcoxon_statistic, {z_p('z')} AS wilcoxon_p_value
+FROM u LEFT JOIN y ON {" AND ".join(f"y.{k} = u.{k}" for k in keys.split(", "))}"""
+
+
+def arms(src: str, keys: str, pair: str, arm: str, value: str, first: str, second: str) -> str:
+    return f"""
+SELECT * FROM (SELECT {keys}, {pair}, max(CASE WHEN {arm} = {first} THEN {value} END)::DOUBLE AS a,
+  max(CASE WHEN {arm} = {second} THEN {value} END)::DOUBLE AS b FROM {src} GROUP BY {keys}, {pair}) WHERE a IS NOT NULL AND b IS NOT NULL"""
+
+
+part("o_lagtype", """
+SELECT *, 'lagall' AS lagtype FROM o_pairs
+UNION ALL SELECT *, CASE WHEN lag = 0 THEN 'lag0' ELSE 'lag1plus' END FROM o_pairs WHERE lag >= 0""")
+part("o_lag_arms", arms("o_lagtype", "venue, lagtype", "match_group", "type", "growth", "'Control'", "'Treatment'"))
+part("o_lag_tests", paired("o_lag_arms", "venue, lagtype"))
+query("paired_t", f"""
+SELECT venue, lagtype, n_pairs, {r6('t_estimate')} AS t_estimate, {r6('t_statistic')} AS t_statistic, {r6('t_p_value')} AS t_p_value FROM o_lag_tests""")
+query("wilcoxon_signed_rank", f"""
+SELECT venue, lagtype, n_nonzero, {r6('wilcoxon_statistic')} AS wilcoxon_statistic, {r6('wilcoxon_p_value')} AS wilcoxon_p_value
+FROM o_lag_tests WHERE n_nonzero IS NOT NULL""")
+part("o_paper_cmp", """
+SELECT d.*, round(t.t_p_value, 4) AS t_p_value FROM (
+  SELECT venue, lagtype, m AS mean_diff, i AS interval, m + i AS upper, m - i AS lower FROM (
+    SELECT venue, lagtype, avg(b - a) AS m, 1.96::DOUBLE * stddev_samp(b - a) / sqrt(count(*)) AS i FROM o_lag_arms GROUP BY venue, lagtype)) d
+JOIN o_lag_tests t ON t.venue = d.venue AND t.lagtype = d.lagtype""")
+BAND = ", ".join(f"{r6(c)} AS {c}" for c in ("mean_diff", "interval", "upper", "lower"))
+query("paired_difference", f"SELECT venue, lagtype, {BAND}, t_p_value FROM o_paper_cmp")
+query("arm_means", f"""
+SELECT venue, type, lagtype, {r6('m')} AS mu, {r6('i')} AS interval, {r6('m + i')} AS upper, {r6('m - i')} AS lower
+FROM (SELECT venue, type, lagtype, avg(growth) AS m, stddev_samp(growth) / sqrt(count(*)) AS i FROM o_lagtype GROUP BY venue, type, lagtype)""")
+
+
+def changes(src: str, metric: str, keys: str) -> str:
+    """Author ratios after / before in groups with more than one author, as arms a (control) and b (treated)."""
+    return f"""
+WITH c AS (SELECT author_id, treat, match_group, {keys},
+    max(CASE WHEN partition = 'after' THEN {metric} END) / nullif(max(CASE WHEN partition = 'before' THEN {metric} END), 0) AS change
+  FROM {src} GROUP BY author_id, treat, match_group, {keys}),
+k AS (SELECT *, count(*) OVER (PARTITION BY {keys}, match_group) AS n FROM c WHERE change IS NOT NULL)
+SELECT * FROM k WHERE n > 1"""
+
+
+for metric in ("impact_raw", "frac_prod"):
+    part(f"o_change_{metric}", changes("o_author_pairs", metric, "venue"))
+    part(f"o_arms_{metric}", arms(f"o_change_{metric}", "venue", "match_group", "treat", "change", "0", "1"))
+    part(f"o_tests_{metric}", paired(f"o_arms_{metric}", "venue"))
+    part(f"o_cmp_{metric}", f"""
+SELECT d.venue, m AS mean_diff, i AS interval, m + i AS upper, m - i AS lower, round(t.t_p_value, 4) AS t_p_value,
+       'first' AS authorship, '{metric}' AS metric
+FROM (SELECT venue, avg(b - a) AS m, 1.96::DOUBLE * stddev_samp(b - a) / sqrt(count(*)) AS i FROM o_arms_{metric} GROUP BY venue) d
+JOIN o_tests_{metric} t ON t.venue = d.venue""")
+part("o_author_cmp", "SELECT * FROM o_cmp_impact_raw UNION ALL SELECT * FROM o_cmp_frac_prod")
+query("paired_difference_authors", f"SELECT venue, {BAND}, t_p_value, authorship, metric FROM o_author_cmp")
+STARS = "CASE WHEN t_p_value > 0.05 THEN '' WHEN t_p_value > 0.01 THEN '*' WHEN t_p_value > 0.001 THEN '**' WHEN t_p_value IS NOT NULL THEN '***' END AS signif"
+EST = ", ".join(f"{r6(c)} AS {c}" for c in ("mean_diff", "upper", "lower"))
+query("significance", f"""
+SELECT venue, {EST}, t_p_value, '(A) Paper impact' AS panel, {STARS} FROM o_paper_cmp WHERE lagtype = 'lagall'
+UNION ALL
+SELECT venue, {EST}, t_p_value, CASE metric WHEN 'impact_raw' THEN '(D) First author impact' ELSE '(B) First author productivity' END, {STARS}
+FROM o_author_cmp""")
+query("significance_lag", f"""
+SELECT venue, lagtype, {BAND}, t_p_value, {STARS},
+       CASE lagtype WHEN 'lagall' THEN '(A) All' WHEN 'lag0' THEN '(B) Lag = 0' ELSE '(C) Lag > 0' END AS panel FROM o_paper_cmp""")
+
+query("match_impact_summary", """
+SELECT venue, type, round(avg(impact_before), 1) + 0.0::DOUBLE AS mu, count(*) AS n FROM o_pairs GROUP BY venue, type""")
+query("match_impact_summary_authors", """
+SELECT venue, treat, round(avg(impact_raw), 3) + 0.0::DOUBLE AS mu, count(*) AS n FROM o_author_pairs WHERE partition = 'before' GROUP BY venue, treat""")
+query("balance_table", """
+WITH b AS (SELECT *, count(*) OVER (PARTITION BY match_group) AS n FROM o_author_pairs WHERE partition = 'before')
+SELECT venue, CASE WHEN treat = 1 THEN 'Treatment' ELSE 'Control' END AS type, round(avg(career_age), 3) + 0.0::DOUBLE AS career_age,
+       round(avg(impact_raw), 3) + 0.0::DOUBLE AS impact_raw, round(avg(prod_norm), 3) + 0.0::DOUBLE AS prod_norm
+FROM b WHERE n >= 2 GROUP BY venue, treat""")
+
+part("o_paper_grid", """
+SELECT p.venue, p.delay, p.lag, p.type, p.match_group, p.growth, g.impact, g.year
+FROM o_pairs p, (VALUES (0.05::DOUBLE, 2), (0.1::DOUBLE, 2)) g(impact, year) WHERE g.impact > 0.07 OR p.lag <= 2""")
+part("o_paper_grid_arms", arms("o_paper_grid", "venue, delay, impact, year", "match_group", "type", "growth", "'Control'", "'Treatment'"))
+part("o_paper_grid_tests", paired("o_paper_grid_arms", "venue, delay, impact, year"))
+part("o_paper_diag", """
+WITH l AS (SELECT CASE WHEN venue LIKE 'PR-_' THEN 'Other APS' ELSE venue END AS venue, original_year, month, lag,
+    CASE greatest(lag, 1) """ + " ".join(f"WHEN {k} THEN impact_{k}year" for k in range(1, 13)) + """ END AS before
+  FROM treated_cohort WHERE venue <> 'Geology' AND lag BETWEEN 0 AND 12),
+f AS (SELECT venue, (original_year > 2021 - 3)::INT AS a, (month IS NULL)::INT AS b, (lag > 6)::INT AS c, (before < 5)::INT AS d FROM l),
+n AS (SELECT venue, count(*) AS count_total, count(*) - CAST(sum(a + b + c + d) AS BIGINT) AS count_candidates,
+    count(*) - CAST(sum(greatest(a, b, c, d)) AS BIGINT) AS count_candidates_any FROM f GROUP BY venue),
+g AS (SELECT n.*, 3 AS delay, v.impact, v.year FROM n, (VALUES (0.05::DOUBLE, 2), (0.1::DOUBLE, 2)) v(impact, year)),
+m AS (SELECT venue, impact, count(*) FILTER (type = 'Treatment') AS num_matched FROM o_paper_grid GROUP BY venue, impact)
+SELECT g.venue, g.delay, g.impact, g.year, count_total, count_candidates, count_candidates_any, num_matched, t_estimate, t_statistic,
+       round(t_p_value, 4) + 0.0::DOUBLE AS t_p_value, wilcoxon_statistic, round(wilcoxon_p_value, 4) + 0.0::DOUBLE AS wilcoxon_p_value
+FROM g LEFT JOIN m ON m.venue = g.venue AND m.impact = g.impact
+LEFT JOIN o_paper_grid_tests t ON t.venue = g.venue AND t.impact = g.impact""")
+STATS = ", ".join(f"{r6(c)} AS {c}" for c in ("t_estimate", "t_statistic", "wilcoxon_statistic"))
+query("paper_match_diagnostics", f"SELECT * REPLACE ({STATS}) FROM o_paper_diag")
+part("o_author_grid", """
+SELECT p.* EXCLUDE (impact), 'first' AS authorship, g.impact, g.productivity
+FROM o_author_pairs p, (VALUES (0.05::DOUBLE, 0.1::DOUBLE), (0.1::DOUBLE, 0.1::DOUBLE)) g(impact, productivity)
+WHERE g.impact > 0.07 OR p.event_year <= 1998""")
+AK = "venue, authorship, impact, productivity"
+part("o_author_grid_change", changes("o_author_grid", "impact_raw", AK))
+part("o_author_grid_arms", arms("o_author_grid_change", AK, "match_group", "treat", "change", "0", "1"))
+part("o_author_grid_tests", paired("o_author_grid_arms", AK))
+part("o_author_diag", f"""
+WITH e AS (SELECT {AK}, count(DISTINCT match_group) AS num_matched, count(*) AS n FROM o_author_grid_change GROUP BY {AK}),
+l AS (SELECT CASE WHEN venue LIKE 'PR-_' THEN 'Other APS' ELSE venue END AS venue, count(DISTINCT letter_id) AS count_candidates
+      FROM treated_cohort GROUP BY 1)
+SELECT e.venue, e.authorship, e.impact, e.productivity, num_matched, t_estimate, t_statistic, round(t_p_value, 4) + 0.0::DOUBLE AS t_p_value,
+       wilcoxon_statistic, round(wilcoxon_p_value, 4) + 0.0::DOUBLE AS wilcoxon_p_value, count_candidates
+FROM e LEFT JOIN o_author_grid_tests t ON t.venue = e.venue AND t.impact = e.impact AND e.n > 4
+LEFT JOIN l ON l.venue = e.venue""")
+query("author_match_diagnostics", f"SELECT * REPLACE ({STATS}) FROM o_author_diag")
+
+
+def plain(x: str) -> str:
+    return f"regexp_replace(CAST(CAST({x} AS DOUBLE) AS VARCHAR), '\\.0$', '')"
+
+
+VENUE_NAMES = ("Nature", "Science", "PNAS", "PRL", "Other APS")
+WIDE = ", ".join(f"max(cell) FILTER (venue = '{v}') AS \"{v}\"" for v in VENUE_NAMES)
+BLANK = ", ".join("NULL" for _ in VENUE_NAMES)
+COUNT_CELL = f"num_matched || ' (' || {plain('round(num_matched / count_candidates * 100, 1)')} || '%)'"
+T_CELL = f"{plain('round(t_estimate, 2) + 0.0::DOUBLE')} || ' (p=' || printf('%.3f', round(t_p_value, 3)) || ')'"
+W_CELL = "CASE WHEN wilcoxon_p_value IS NOT NULL THEN 'p=' || printf('%.3f', round(wilcoxon_p_value, 3)) END"
+
+
+def paper_report(cell: str) -> str:
+    return f"""
+WITH w AS (SELECT delay, impact, year, {WIDE} FROM (SELECT *, {cell} AS cell FROM o_paper_diag) GROUP BY delay, impact, year),
+s AS (SELECT 0 AS block, * FROM w WHERE impact = 0.05 AND year = 2 UNION ALL SELECT 1, * FROM w WHERE delay = 3 AND year = 2
+      UNION ALL SELECT 2, * FROM w WHERE delay = 3 AND impact = 0.05)
+SELECT block, false AS blank, * EXCLUDE (block) REPLACE (CAST(delay AS VARCHAR) AS delay,
+       {plain('round(impact * 100, 6)')} || '%' AS impact, CAST(year AS VARCHAR) AS year) FROM s
+UNION ALL SELECT CAST(i AS INT), true, NULL, NULL, NULL, {BLANK} FROM range(0, 2) t(i)"""
+
+
+query("diagnostics_report_counts", paper_report(COUNT_CELL))
+query("diagnostics_report_wilcox", paper_report(W_CELL))
+query("diagnostics_report_tstats", f"""
+WITH w AS (SELECT authorship, impact, productivity, {WIDE} FROM (SELECT *, {T_CELL} AS cell FROM o_author_diag)
+           GROUP BY authorship, impact, productivity),
+s AS (SELECT 0 AS block, * FROM w WHERE productivity = 0.1 UNION ALL SELECT 1, * FROM w WHERE impact = 0.1)
+SELECT block, false AS blank, * EXCLUDE (block) REPLACE ({plain('round(impact * 100, 6)')} || '%' AS impact,
+       {plain('round(productivity * 100, 6)')} || '%' AS productivity) FROM s
+UNION ALL SELECT CAST(i AS INT), true, NULL, NULL, NULL, {BLANK} FROM range(0, 2) t(i)""")
+
+
+# --- distribution tests ---------------------------------------------------------------------------------
+def ks1_p(d: str, n: str) -> str:
+    exact = (f"{d} * list_sum(list_transform(range(0, CAST(floor({n} * (1 - {d}) + 1e-12) AS BIGINT) + 1), lambda j: "
+             f"CASE WHEN j < {n} AND 1 - {d} - j / {n} <= 0 THEN 0 ELSE exp(lgamma({n} + 1) - lgamma(j + 1) - lgamma({n} - j + 1) "
+             f"+ (j - 1) * ln({d} + j / {n}) + CASE WHEN j = {n} THEN 0 ELSE ({n} - j) * ln(greatest(1 - {d} - j / {n}, 1e-300)) END) END))")
+    return (f"CASE WHEN {d} <= 0 THEN 1 WHEN {d} >= 1 THEN 0 WHEN {n} < 100 THEN least({exact}, 1) "
+            f"ELSE least(exp(-2.0::DOUBLE * {n} * {d} * {d}), 1) END")
+
+
+def ks1(src: str, keys: str, unit: str) -> str:
+    return f"""
+WITH r AS (SELECT {keys}, rank, {unit} AS u, (rank() OVER (PARTITION BY {keys} ORDER BY rank) - 1)::DOUBLE AS below,
+             count(*) OVER (PARTITION BY {keys}) AS total FROM {src} WHERE rank IS NOT NULL),
+g AS (SELECT {keys}, max(rank - below / total) AS d, max(total)::DOUBLE AS m, avg(rank) * 100 AS mu, count(DISTINCT u) AS n FROM r GROUP BY {keys})
+SELECT {keys}, d AS ks_statistic, {ks1_p('d', 'm')} AS ks_p_value, mu, n FROM g"""
+
+
+part("o_panel_letters", "SELECT * FROM o_panel WHERE type = 'letter'")
+part("o_ks1", ks1("o_panel_letters", "venue, metric", "id"))
+query("ks_one_sample", f"SELECT venue, metric, {r6('ks_statistic')} AS ks_statistic, {r6('ks_p_value')} AS ks_p_value, {r6('mu')} AS mu, n FROM o_ks1")
+part("o_ks2", """
+WITH j AS (SELECT p.venue, p.metric, p.type, p.rank, m.match_group FROM o_panel p JOIN o_pairs m ON m.id = p.id WHERE p.rank IS NOT NULL),
+k AS (SELECT *, count(*) OVER (PARTITION BY venue, metric, match_group) AS n FROM j),
+f AS (SELECT * FROM k WHERE n > 1),
+c AS (SELECT venue, metric, rank, count(*) FILTER (type = 'letter') OVER w AS la, count(*) FILTER (type = 'article') OVER w AS ar,
+        count(*) FILTER (type = 'letter') OVER a AS lt, count(*) FILTER (type = 'article') OVER a AS att
+      FROM f WINDOW w AS (PARTITION BY venue, metric ORDER BY rank RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                    a AS (PARTITION BY venue, metric)),
+d AS (SELECT venue, metric, max(ar / nullif(att, 0) - la / nullif(lt, 0)) AS d, max(lt)::DOUBLE AS x, max(att)::DOUBLE AS y FROM c GROUP BY venue, metric),
+m AS (SELECT venue, metric, avg(rank) FILTER (type = 'letter') * 100 AS mu_letter, avg(rank) FILTER (type = 'article') * 100 AS mu_article
+      FROM f GROUP BY venue, metric)
+SELECT d.venue, d.metric, CASE WHEN d IS NOT NULL THEN greatest(d, 0) END AS ks2_statistic,
+       CASE WHEN d IS NOT NULL THEN exp(-2 * (x * y / (x + y)) * greatest(d, 0) * greatest(d, 0)) END AS ks2_p_value, mu_letter, mu_article
+FROM d JOIN m ON m.venue = d.venue AND m.metric = d.metric""")
+query("ks_two_sample", f"""
+SELECT venue, metric, {r6('ks2_statistic')} AS ks2_statistic, {r6('ks2_p_value')} AS ks2_p_value, {r6('mu_letter')} AS mu_letter,
+       {r6('mu_article')} AS mu_article FROM o_ks2""")
+
+
+def fixed(x: str, digits: int) -> str:
+    return f"CASE WHEN {x} IS NOT NULL THEN printf('%.{digits}f', round({x}, {digits}) + 0.0::DOUBLE) END"
+
+
+VENUE_ORDER = "CASE venue " + " ".join(f"WHEN '{v}' THEN {i}" for i, v in enumerate(VENUE_NAMES, 1)) + " END"
+METRIC_ORDER = "CASE metric WHEN 'Impact' THEN 1 WHEN 'Ref. Diversity' THEN 2 WHEN 'Cite. Diversity' THEN 3 WHEN 'Novelty' THEN 4 END"
+query("ks_report", f"""
+WITH r AS (SELECT a.venue, a.metric, a.n, a.mu, round(a.ks_statistic, 3) AS s, round(a.ks_p_value, 3) AS p, b.mu_letter, b.mu_article,
+    b.ks2_statistic AS s2, round(b.ks2_p_value, 3) AS p2 FROM o_ks1 a LEFT JOIN o_ks2 b ON b.venue = a.venue AND b.metric = a.metric)
+SELECT venue, metric, n, concat('μ = ', {fixed('mu', 1)}, '%') AS label_mean, {fixed('mu', 1)} AS mean_rank, {fixed('s', 4)} AS ks_statistic,
+       {fixed('p', 4)} AS ks_p_value, {fixed('mu_letter', 1)} AS mean_rank_letter, {fixed('mu_article', 1)} AS mean_rank_article,
+       {fixed('s2', 4)} AS ks2_statistic, {fixed('p2', 4)} AS ks2_p_value,
+       CASE WHEN metric = 'Impact' THEN '1s KS, p = ' || {fixed('p', 2)}
+            ELSE '1s KS, p = ' || {fixed('p', 2)} || chr(10) || '2s KS, p = ' || coalesce({fixed('p2', 2)}, 'NA') END AS label_tests,
+       CAST({METRIC_ORDER} * 100 + {VENUE_ORDER} AS INT) AS position FROM r""")
+
+# --- vectors and titles ---------------------------------------------------------------------------------
+part("o_similarity", f"""
+SELECT t.cited_paper_id AS cited_id, t.citing_paper_id AS citing_id,
+       {r6("list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda p: p[1] * p[2])) / (sqrt(list_sum(list_transform(a.embedding::DOUBLE[], lambda v: v * v))) * sqrt(list_sum(list_transform(b.embedding::DOUBLE[], lambda v: v * v))))")}
+       AS cosine_similarity
+FROM citing_titles t JOIN paper_vectors a ON a.paper_id = t.cited_paper_id JOIN paper_vectors b ON b.paper_id = t.citing_paper_id
+WHERE t.citing_title IS NOT NULL""")
+query("embedding_similarity", "SELECT * FROM o_similarity")
+part("o_cociter", f"""
+WITH j AS (SELECT s.cited_id, s.citing_id, c.venue, c.citing_year, c.cocite, s.cosine_similarity FROM o_similarity s
+           JOIN cocitation c ON c.group_id = s.cited_id AND c.citing_id = s.citing_id),
+r AS (SELECT *, {percent_rank('cited_id', 'cosine_similarity')} AS rank FROM j)
+SELECT cited_id, citing_id, venue, citing_year, cosine_similarity, rank FROM r WHERE cocite""")
+query("cociter_rank", f"SELECT cited_id, citing_id, venue, citing_year, cosine_similarity, {r6('rank')} AS rank FROM o_cociter")
+part("o_cociter_ks", ks1("o_cociter", "venue", "citing_id"))
+query("ks_report_cociters", f"""
+WITH r AS (SELECT venue, n, mu, round(ks_statistic, 3) AS s, round(ks_p_value, 3) AS p FROM o_cociter_ks)
+SELECT venue, n, concat('μ = ', {fixed('mu', 1)}, '%') AS label_mean, {fixed('mu', 1)} AS mean_rank, {fixed('s', 4)} AS ks_statistic,
+       {fixed('p', 4)} AS ks_p_value, '1s KS, p = ' || {fixed('p', 2)} AS label_tests, CAST({VENUE_ORDER} AS INT) AS position FROM r""")
+# the checking engine measures distance in bytes, so every accented letter is first mapped to a control character
+ACCENTS = "äçèéêíñóöüàâîïôùûëœßÿáú"
+ONE_BYTE = " || ".join(f"chr({i})" for i in range(1, len(ACCENTS) + 1))
+
+
+def one_byte(x: str) -> str:
+    return f"translate({x}, '{ACCENTS}', {ONE_BYTE})"
+
+
+query("fuzzy_title_links", f"""
+WITH c AS (SELECT doi, lower(trim(coalesce(
+    nullif(regexp_extract(original_title, '["“`]{{1,2}}([^"”'']+)["”'']{{1,2}}', 1), ''),
+    nullif(regexp_extract(original_title, 'Comment on: (.+)$', 1), ''),
+    nullif(regexp_extract(original_title, 'Comment on (.+)$', 1), '')))) AS wanted
+  FROM title_papers WHERE lower(original_title) LIKE 'comment%' AND year BETWEEN 2000 AND 2020 AND doi <> '')
+SELECT o.doi AS original_doi, c.doi AS letter_doi FROM c
+JOIN title_papers o ON levenshtein({one_byte('c.wanted')}, {one_byte('lower(o.original_title)')}) < 5
+WHERE o.doi <> '' AND c.wanted IS NOT NULL""")

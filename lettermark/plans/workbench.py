@@ -143,6 +143,18 @@ class Workbench(Frames):
     def rolled_table(self):
         return cut_lineage(self.rolled)
 
+    @step
+    def ref_diversity_table(self):
+        return cut_lineage(self.ref_diversity)
+
+    @step
+    def cite_diversity_table(self):
+        return cut_lineage(self.cite_diversity)
+
+    @step
+    def novelty_table(self):
+        return cut_lineage(self.novelty)
+
     # ranks
     @step
     def cells(self):
@@ -151,7 +163,8 @@ class Workbench(Frames):
     @step
     def histogram_ranks(self):
         return ranking.cell_percentile_rank(
-            self.cells, "impact_3year", by=("venue", "type", "period", "id"), skip_null=False, out="mu_rank"
+            self.cells, "impact_3year", by=("venue", "type", "period", "id"), skip_null=False, out="mu_rank",
+            few_values=True,
         )
 
     @step
@@ -164,19 +177,19 @@ class Workbench(Frames):
 
     @step
     def impact_ranks(self):
-        return self.panel_rank(None, "impact_3year")
+        return self.panel_rank(None, "impact_3year", few_values=True)
 
     @step
     def reference_ranks(self):
-        return self.panel_rank(self.ref_diversity, "simpson")
+        return self.panel_rank(self.ref_diversity_table, "simpson")
 
     @step
     def citation_ranks(self):
-        return self.panel_rank(self.cite_diversity, "simpson")
+        return self.panel_rank(self.cite_diversity_table, "simpson")
 
     @step
     def novelty_ranks(self):
-        return self.panel_rank(self.novelty, "zscore_10th", descending=True, skip_null=False)
+        return self.panel_rank(self.novelty_table, "zscore_10th", descending=True, skip_null=False)
 
     @step
     def panel(self):
@@ -385,7 +398,7 @@ class Workbench(Frames):
         )
         scored = models.propensity(
             rows, ["venue", "event_year"], ["prod_norm", "lead_prod_norm", "impact_norm", "career_age"],
-            {"field": [*FIELD_NAMES, 999]},
+            ["field"],
         )
         pairs = matching.nearest_match(
             scored, ["venue", "event_year"], [], {"impact_norm": 0.3, "prod_norm": 0.3, "lead_prod_norm": 0.4}, unit="unit"
@@ -398,7 +411,7 @@ class Workbench(Frames):
         first = authors.first_year(self.histories_table, self.profiles, "f")
         return authors.author_covariates(
             self.profiles, first, self.elite,
-            self.prepared_pooled.select("id", "venue", "type", "treat", "year", "impact_norm"), "f",
+            self.prepared_pooled.select("id", "venue", "type", "treat", "year", "impact_norm"), "f", 2,
         )
 
     @step
