@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lettermark.functions.distribution import hash_digits, hashed_position
-from lettermark.functions.keys import md5_key, null_safe_join
+from lettermark.functions.keys import md5_key
 from lettermark.operators.graph import target_papers
 
-PAIR_BLOCK = 256  # distinct journals of one paper handled per join task group
+PAIR_BLOCK = 256  # distinct journals on the left side of the pairs one task builds
 
 
 def _cited_journals(edges: DataFrame, papers: DataFrame, journals: DataFrame, floor: int) -> DataFrame:
@@ -97,27 +97,35 @@ def shuffle_within(
 def _multiplicity_pairs(rows: DataFrame, keys: list[str], paper: str, journal: str) -> DataFrame:
     """Unordered journal pairs of each paper with the number of reference pairs they stand for.
 
-    Repeats are collapsed to counts first. A paper with very many distinct journals is cut into blocks of
-    its left side, so its pairs are built by several tasks.
+    Repeats are collapsed to counts first, so a paper's list is at most as long as there are journals. Ordinary
+    lists are paired inside the task that holds them; long ones are cut into blocks of their left side, which
+    are spread over tasks before pairing.
     """
     per = [*keys, paper]
-    m = rows.groupBy(*per, journal).agg(F.count(F.lit(1)).alias("_m"))
-    sizes = m.groupBy(*per).agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("_blocks"))
-    m = null_safe_join(m, sizes, per, "inner")
-    left = m.select(
-        *per, F.col(journal).alias("j1"), F.col("_m").alias("m1"), F.pmod(F.xxhash64(journal), F.col("_blocks")).cast("int").alias("_b")
+    lists = (
+        rows.groupBy(*per, journal)
+        .agg(F.count(F.lit(1)).alias("m"))
+        .groupBy(*per)
+        .agg(F.collect_list(F.struct(F.col(journal).alias("j"), "m")).alias("_all"))
     )
-    right = m.select(
-        *per, F.col(journal).alias("j2"), F.col("_m").alias("m2"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_b")
+    short = lists.filter(F.size("_all") <= PAIR_BLOCK).withColumn("_left", F.col("_all"))
+    blocks = F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / PAIR_BLOCK).cast("int"))
+    long = (
+        lists.filter(F.size("_all") > PAIR_BLOCK)
+        .withColumn("_b", F.explode(blocks))
+        .repartition(*per, "_b")
+        .withColumn("_left", F.expr(f"slice(_all, _b * {PAIR_BLOCK} + 1, {PAIR_BLOCK})"))
+        .drop("_b")
     )
-    weight = F.when(F.col("j1") < F.col("j2"), F.col("m1") * F.col("m2")).otherwise(
-        (F.col("m1") * (F.col("m1") - 1) / 2).cast("bigint")
+    pairs = (
+        short.unionByName(long)
+        .select(*per, "_all", F.explode("_left").alias("a"))
+        .select(*per, "a", F.explode(F.filter("_all", lambda y: y["j"] >= F.col("a.j"))).alias("b"))
     )
-    return (
-        left.join(right, [*per, "_b"])
-        .filter(F.col("j1") <= F.col("j2"))
-        .select(*per, "j1", "j2", weight.alias("weight"))
-        .filter(F.col("weight") > 0)
+    m1, m2 = F.col("a.m"), F.col("b.m")
+    weight = F.when(F.col("a.j") < F.col("b.j"), m1 * m2).otherwise((m1 * (m1 - 1) / 2).cast("bigint"))
+    return pairs.select(*per, F.col("a.j").alias("j1"), F.col("b.j").alias("j2"), weight.alias("weight")).filter(
+        F.col("weight") > 0
     )
 
 
