@@ -38,5 +38,5 @@ def md5_key(seed: str, *columns: Column | str) -> Column:
 
 
 def rounded(column: Column, digits: int = 6) -> Column:
-    """Round and fold -0.0 into 0.0."""
-    return F.round(column, digits) + F.lit(0.0)
+    """Round and fold -0.0 into 0.0. A first finer rounding settles values that sit on a rounding edge."""
+    return F.round(F.round(column, digits + 4), digits) + F.lit(0.0)

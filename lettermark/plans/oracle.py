@@ -28,7 +28,7 @@ def query(name: str, sql: str) -> None:
 
 
 def r6(expr: str) -> str:
-    return f"(round({expr}, 6) + 0.0::DOUBLE)"
+    return f"(round(round({expr}, 10), 6) + 0.0::DOUBLE)"
 
 
 def _text(name: str) -> str:
