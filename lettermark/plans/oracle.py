@@ -360,7 +360,8 @@ part("o_self", """
 SELECT DISTINCT c.id, c.citing_id FROM (SELECT id, citing_id FROM o_cites UNION SELECT paper_reference_id, paper_id FROM refs) c
 JOIN authorships a ON a.paper_id = c.id JOIN authorships b ON b.paper_id = c.citing_id AND b.author_id = a.author_id""")
 query("dual_trajectories", """
-SELECT c.id, c.citing_id, c.type, p.year AS citing_year, c.venue, s.id IS NOT NULL AS is_self_cite
+SELECT c.id, c.citing_id, c.type, p.year AS citing_year, c.venue,
+       CASE WHEN c.citing_id IS NOT NULL THEN s.id IS NOT NULL END AS is_self_cite
 FROM o_cites c LEFT JOIN papers p ON p.paper_id = c.citing_id
 LEFT JOIN o_self s ON s.id = c.id AND s.citing_id = c.citing_id""")
 query("self_cite_flag", """
