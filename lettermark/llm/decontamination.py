@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Characters of all items that one pass over the texts searches; larger benchmarks take several passes.
 PASS_CHARS = 4_000_000
@@ -94,6 +93,22 @@ class Matcher:
                 yield item_id, best
 
 
+def _lots(benchmark: DataFrame, least: int) -> list[list[tuple]]:
+    """(item_id, normal text) of the items of at least `least` characters, in lots for one pass each."""
+    lots: list[list[tuple]] = [[]]
+    held = 0
+    for row in benchmark.select("item_id", "text").where("text IS NOT NULL").distinct().toLocalIterator():
+        text = normal(row["text"])
+        if len(text) < least:
+            continue
+        if held + len(text) > PASS_CHARS and lots[-1]:
+            lots.append([])
+            held = 0
+        lots[-1].append((row["item_id"], text))
+        held += len(text)
+    return lots
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 5, least: int = 20) -> DataFrame:
     """(doc_id, item_id, distance) for every text and item whose distance is within the item's budget.
 
@@ -106,17 +121,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 5, least: int =
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     key = benchmark.schema["item_id"].dataType.simpleString()
-    lots: list[list[tuple[int, str]]] = [[]]
-    held = 0
-    for row in benchmark.select("item_id", "text").where("text is not null").distinct().toLocalIterator():
-        text = normal(row["text"])
-        if len(text) < least:
-            continue
-        if held + len(text) > PASS_CHARS and lots[-1]:
-            lots.append([])
-            held = 0
-        lots[-1].append((row["item_id"], text))
-        held += len(text)
+    lots = _lots(benchmark, least)
 
     def search(items):
         def run(batches):
@@ -136,8 +141,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 5, least: int =
     return found
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, percent: int = 5) -> DataFrame:
-    """The rows of `docs` without those that hold an item; NULL ids and texts stay unless their text holds one."""
-    marked = docs.withColumn("row_key_", F.xxhash64("doc_id", "text"))
-    bad = leaks(marked.select(F.col("row_key_").alias("doc_id"), "text"), benchmark, percent).select(F.col("doc_id").alias("row_key_")).distinct()
-    return marked.join(bad, "row_key_", "left_anti").drop("row_key_")
+def clean_documents(docs: DataFrame, benchmark: DataFrame, percent: int = 5, least: int = 20) -> DataFrame:
+    """The rows of `docs` (text, any others) that hold no item, with all their columns; see `leaks`."""
+
+    def search(items, at):
+        def run(batches):
+            matcher = None
+            for batch in batches:
+                matcher = matcher or Matcher(items, percent)
+                clean = [not t or next(matcher.search(normal(t)), None) is None for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return run
+
+    for lot in _lots(benchmark, least):
+        if lot:
+            docs = docs.mapInArrow(search(lot, docs.columns.index("text")), docs.schema)
+    return docs

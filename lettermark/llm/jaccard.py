@@ -19,7 +19,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lettermark.llm.arrow import LOWER, NOT_SPACE, hash_spans, keyed, mix, runs, slices, text_bytes
@@ -298,16 +298,37 @@ def linked_sets(docs: DataFrame, sets: DataFrame, words: int = 3, percent: int =
     return tiles.repartition("root", "ta", "tb").sortWithinPartitions("root", "ta", "tb").mapInArrow(compare, "a binary, b binary")
 
 
-def ngram_components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id.
-
-    Two rows link when 100 * |A and B| >= percent * |A or B|.
-    """
+def ngram_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
+    """Per row of `docs` (doc_id, text): doc_id, row_key, n, root, component_id; root is NULL for empty sets."""
     sets = cut_lineage(shingle_sets(docs, words))
     roots = cut_lineage(components(linked_sets(docs, sets, words, percent)))
     classes = sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     grouped = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(least, "root").select("fp", "component_id")
+    named = grouped.join(least, "root").select("fp", "root", "component_id")
     out = sets.join(named, "fp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "row_key", "n", "root", component.alias("component_id"))
+
+
+def ngram_components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
+    """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id.
+
+    Two rows link when 100 * |A and B| >= percent * |A or B|.
+    """
+    return ngram_groups(docs, words, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
+    """The rows of `docs` with the smallest doc_id of each group of linked texts, with all their columns.
+
+    Of rows with that id the one whose text hashes least stays, of rows equal in id and text one. Texts without words
+    belong to no group and stay.
+    """
+    groups = ngram_groups(docs, words, percent)
+    key = F.xxhash64("doc_id", "row_key")
+    first = groups.where("n > 0").groupBy("root").agg(F.min(F.struct("doc_id", "row_key")).alias("one")).select("one.*")
+    keep = cut_lineage(first.union(groups.where("n = 0").select("doc_id", "row_key").distinct()).select(key.alias("key_")))
+    marked = docs.withColumn("key_", F.xxhash64("doc_id", F.xxhash64("text"))).join(keep, "key_")
+    numbered = marked.withColumn("n_", F.row_number().over(Window.partitionBy("key_").orderBy("key_")))
+    return numbered.where("n_ = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -57,7 +57,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], percent: int, mos
 
 
 def fair_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2) -> DataFrame:
-    """Per row of `docs` (doc_id, source, text): doc_id, size, source_size, target, taken, and `copies`.
+    """Per row of `docs` (doc_id, source, text): doc_id, size, source_size, target, taken, copies, row_key.
 
     Documents are shuffled by the md5 of their id. The k-th reading of a document finishes at the virtual time
     (words of its source up to it, earlier readings included) / target; all readings are range-sorted by it and kept
@@ -65,10 +65,11 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int
     Wordless and NULL texts have size 0 and are never taken; a NULL source is a source of its own, and NULL ids come
     first in the shuffle. Rows that repeat an id are read one after the other. An empty table gives no rows.
     """
-    sizes = cut_lineage(word_counts(docs, "doc_id", "source").withColumn("shuffled", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    docs = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "source", "text").alias("row_key"))
+    sizes = cut_lineage(word_counts(docs, "doc_id", "source", "row_key").withColumn("shuffled", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     targets, budget = source_targets(sizes, weights, percent, most)
     targets = cut_lineage(targets)
-    placed = running_total(sizes, [*source_order(), F.col("shuffled"), F.col("doc_id"), F.col("size")], {"upto": F.col("size")})
+    placed = running_total(sizes, [*source_order(), F.col("shuffled"), F.col("doc_id"), F.col("size"), F.col("row_key")], {"upto": F.col("size")})
     starts = placed.groupBy("source").agg(F.min(F.col("upto") - F.col("size")).alias("start"))
     known = targets.join(starts.withColumnRenamed("source", "s"), F.expr("source <=> s")).drop("s")
     known = F.broadcast(known) if _small(known) else known
@@ -91,7 +92,18 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int
             own = {"finish": finish_at(F.lit(k)), "no_source": F.col("source").isNull(), "turn": F.lit(k)}
             here = F.struct(*[own.get(c, F.col(c)).alias(c) for c in mark.asDict()])
             copies = copies + F.when((F.col("size") > 0) & (F.col("target") > 0) & (here <= last), 1).otherwise(0)
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "row_key")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2) -> DataFrame:
+    """The rows of `docs` (doc_id, source, text, any others), each as often as the mix takes it; see `fair_mix`.
+
+    Rows equal in id, source and text are all read as often as the one of them that is read most.
+    """
+    mix = fair_mix(docs, weights, percent, most).where("copies > 0").groupBy(F.col("row_key").alias("key_")).agg(F.max("copies").alias("copies_"))
+    marked = docs.withColumn("key_", F.xxhash64("doc_id", "source", "text")).join(cut_lineage(mix), "key_")
+    repeated = marked.withColumn("turn_", F.explode(F.sequence(F.lit(1), "copies_")))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _small(df: DataFrame, most: int = 100_000) -> bool:

@@ -7,11 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from lettermark.llm.decontamination import leaks
 from lettermark.llm.embeddings import near_vectors
 from lettermark.llm.jaccard import ngram_components
+from lettermark.llm.licenses import license_scan
 from lettermark.llm.line_dedup import dedup_lines
 from lettermark.llm.mixing import fair_mix
+from lettermark.llm.pii import personal_data
+from lettermark.llm.quality import STATISTICS, score_quality, text_statistics
 from lettermark.llm.sql import SQL  # noqa: F401
 from lettermark.llm.token_files import packed_tokens
 from lettermark.llm.warc import archive_pages
+from lettermark.session import cut_lineage
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,8 +44,21 @@ def op4_packed_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return packed_tokens(table(spark, folder, "documents"), tokenizer_path(), end_id=0)
 
 
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    measured = cut_lineage(text_statistics(table(spark, folder, "documents"), "doc_id"))
+    return score_quality(measured, table(spark, folder, "labels")).drop(*STATISTICS)
+
+
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan(table(spark, folder, "documents"), percent=80)
+
+
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data(table(spark, folder, "documents"), least=0.9)
+
+
 def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
-    return fair_mix(table(spark, folder, "documents"), weights=(3, 1, 2), percent=150, most=2).drop("copies")
+    return fair_mix(table(spark, folder, "documents"), weights=(3, 1, 2), percent=150, most=2).drop("copies", "row_key")
 
 
 def op9_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,6 +71,6 @@ def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_warc, op3_benchmark_decontamination, op4_packed_tokens, op8_source_mix, op9_embedding_dedup, op10_ngram_jaccard)
+    for f in (op1_line_dedup, op2_warc, op3_benchmark_decontamination, op4_packed_tokens, op5_quality_rules, op6_license_scan, op7_pii, op8_source_mix, op9_embedding_dedup, op10_ngram_jaccard)
 }
 

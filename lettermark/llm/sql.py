@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from lettermark.llm.licenses import TEMPLATES
+
 LINE_DEDUP = r"""
 WITH own AS (
   SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS lines FROM documents
@@ -58,4 +60,41 @@ SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(t.taken, 0) AS taken
 FROM positions p LEFT JOIN taken t USING (doc_id)
 """
 
-SQL = {"op1_line_dedup": LINE_DEDUP, "op8_source_mix": SOURCE_MIX}
+# The templates of `licenses.TEMPLATES` are put in as (label, text) rows.
+LICENSE_SCAN = r"""
+WITH own AS (
+  SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), words AS (
+  SELECT r, generate_subscripts(w, 1) - 1 AS i, unnest(w) AS word
+  FROM (SELECT r, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM own)
+), next AS (
+  SELECT r, i, word, lead(word) OVER p AS word2, lead(word, 2) OVER p AS word3 FROM words WINDOW p AS (PARTITION BY r ORDER BY i)
+), base AS (
+  SELECT r, i, CASE WHEN word = 'cc' AND word2 = 'by' THEN 'cc-by' WHEN word = 'general' AND word2 = 'public' AND word3 = 'license' THEN 'gpl'
+    WHEN word = 'all' AND word2 = 'rights' AND word3 = 'reserved' THEN 'reserved' END AS label FROM next
+), templates AS (
+  SELECT row_number() OVER () AS t, label, list_distinct(regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM (VALUES {templates}) AS v(label, text)
+), lines AS (
+  SELECT r, generate_subscripts(l, 1) AS line, unnest(l) AS text FROM (SELECT r, string_split(text, chr(10)) AS l FROM own)
+), line_words AS (
+  SELECT DISTINCT r, line, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM lines
+), met AS (
+  SELECT r, line, label, count(*) / size AS containment
+  FROM line_words JOIN (SELECT t, label, len(w) AS size, unnest(w) AS word FROM templates) USING (word)
+  GROUP BY r, line, t, label, size HAVING 100 * count(*) >= 80 * size
+), labels AS (
+  SELECT r, label FROM base WHERE label IS NOT NULL UNION SELECT r, label FROM met
+)
+SELECT doc_id,
+  CAST(coalesce((SELECT count(*) FROM words w WHERE w.r = own.r), 0) AS BIGINT) AS n_words,
+  CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, CAST(b.low AS BIGINT) AS first_word, CAST(b.high AS BIGINT) AS last_word,
+  coalesce(b.names, '') AS base_labels, coalesce(l.names, '') AS labels,
+  CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce(m.most, 0)::DOUBLE END AS score
+FROM own
+LEFT JOIN (SELECT r, count(*) AS n, min(i) AS low, max(i) AS high, string_agg(DISTINCT label, ',' ORDER BY label) AS names FROM base WHERE label IS NOT NULL GROUP BY r) b USING (r)
+LEFT JOIN (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS names FROM labels GROUP BY r) l USING (r)
+LEFT JOIN (SELECT r, max(containment) AS most FROM met GROUP BY r) m USING (r)
+""".replace("{templates}", ", ".join(f"('{label}', '{text}')" for label, text in TEMPLATES))
+
+SQL = {"op6_license_scan": LICENSE_SCAN, "op1_line_dedup": LINE_DEDUP, "op8_source_mix": SOURCE_MIX}
