@@ -7,8 +7,8 @@ can be read on its own and unpacked by one numpy call.
 
 from __future__ import annotations
 
-import re
 import struct
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -20,13 +20,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lettermark.llm.arrow import NOT_SPACE, hash_spans, slices, text_bytes
 from lettermark.session import cut_lineage, shared_folder
 
 MAGIC, BLOCK = b"LMTOKEN1", 4096
 #: magic, bits of an id, ids in a block, ids, documents, offset of the documents, offset of the block table
 TRAILER = "<8sIIQQQQ"
-#: A space is a safe cut if what stands before it is neither white space nor the start.
-CUT, CLOSE_SPACES = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
+ASCII_LETTER, ASCII_MARK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+ASCII_LETTER[65:91] = ASCII_LETTER[97:123] = True
+#: Punctuation but the apostrophe, which may start a contraction.
+ASCII_MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -49,43 +52,104 @@ def unpack(data: bytes, count: int, bits: int) -> np.ndarray:
 class Encoder:
     """Whole texts to ids through a `tokenizers` file, without special tokens.
 
-    Its patterns never join a space to the character before it unless that is white space, so a text may be encoded
-    between such spaces; pieces met before are taken from a bounded cache.
+    Texts are cut where the byte-level pattern always cuts: before a space that follows no white space, between a
+    letter and punctuation, and after a single newline. Pieces are told apart by 64-bit hashes; only pieces not met
+    before are encoded, and a bounded table keeps their ids.
     """
 
-    def __init__(self, path: str, cached: int = 400_000, longest: int = 64):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
-        self.known: dict[str, bytes] = {}
-        self.cached, self.longest = cached, longest
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each text."""
-        pieces = [self._pieces(t) for t in texts]
-        new = list({p for own in pieces for p in own if p not in self.known})
-        long = {}
-        if new:
-            if len(self.known) + len(new) > self.cached:
-                self.known = {}
-                new = list({p for own in pieces for p in own})
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                (self.known if len(p) <= self.longest else long)[p] = np.array(e.ids, "<u4").tobytes()
-        known = self.known | long if long else self.known
-        for own in pieces:
-            yield np.frombuffer(b"".join([known[p] for p in own]), "<u4")
-
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        if not text:
-            return []
-        if CLOSE_SPACES.search(text) or text[0] == " ":
-            return CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + r for r in rest]]
-
-
+    def __init__(self, path: str, most: int = 2_000_000):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.word, self.most = Tokenizer.from_file(path), Tokenizer.from_file(path), most
+        self.word.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bits = max(1, (self.whole.get_vocab_size() - 1).bit_length())
+        self._clear()
+
+    @classmethod
+    def of_worker(cls, path: str) -> Encoder:
+        """The encoder that this Python worker keeps between its tasks."""
+        kept = sys.__dict__.setdefault("_lettermark_encoders", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
+
+    def _clear(self) -> None:
+        self.hashes, self.place, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def encode(self, column) -> Iterator[np.ndarray]:
+        """Ids of each text of an Arrow column; NULL is the empty text."""
+        offsets, data = text_bytes(column)
+        for a, b in slices(offsets):
+            raw, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            starts = np.flatnonzero(_cuts(raw, at))
+            ends = np.append(starts[1:], len(raw))
+            kinds, first, kind = np.unique(hash_spans(raw, starts, ends), return_index=True, return_inverse=True)
+            where = self._known(kinds, raw, starts[first], ends[first])
+            size, place = self.size[where][kind], self.place[where][kind]
+            total = np.concatenate(([0], np.cumsum(size)))
+            ids = self.pool[np.repeat(place - total[:-1], size) + np.arange(total[-1])]
+            cut = total[np.searchsorted(starts, at)]
+            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                yield ids[i:j]
+
+    def _known(self, kinds: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Rows of the table that hold the pieces, after encoding the new ones."""
+        if len(self.hashes) + len(kinds) > self.most:
+            self._clear()
+        where = np.searchsorted(self.hashes, kinds)
+        new = np.flatnonzero(np.append(self.hashes, np.uint64(0))[where] != kinds) if len(self.hashes) else np.arange(len(kinds))
+        new = np.union1d(new, np.flatnonzero(where == len(self.hashes)))
+        if len(new):
+            text = raw.tobytes()
+            pieces = [text[i:j].decode() for i, j in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            word = np.array([p.removeprefix(" ").isalpha() for p in pieces], dtype=bool)
+            ids, size = [], np.zeros(len(new), np.int64)
+            words = np.flatnonzero(word)
+            for k in range(0, len(words), 1000):
+                some = words[k : k + 1000]
+                got = self.word.encode([pieces[i] for i in some], is_pretokenized=True, add_special_tokens=False)
+                ids.append(np.array(got.ids, np.uint32))
+                size[some] = np.bincount(np.array(got.word_ids, np.int64), minlength=len(some))
+            others = np.flatnonzero(~word)
+            if len(others):
+                got = self.whole.encode_batch_fast([pieces[i] for i in others], add_special_tokens=False)
+                ids += [np.array(e.ids, np.uint32) for e in got]
+                size[others] = [len(e.ids) for e in got]
+            order = np.concatenate((words, others))
+            place = np.zeros(len(new), np.int64)
+            place[order] = self.used + np.concatenate(([0], np.cumsum(size[order])[:-1]))
+            fresh = np.concatenate(ids)
+            if self.used + len(fresh) > len(self.pool):
+                self.pool = np.concatenate((self.pool[: self.used], np.zeros(len(self.pool) + len(fresh), np.uint32)))
+            self.pool[self.used : self.used + len(fresh)] = fresh
+            self.used += len(fresh)
+            at = np.searchsorted(self.hashes, kinds[new])
+            self.hashes, self.place, self.size = (np.insert(old, at, more) for old, more in ((self.hashes, kinds[new]), (self.place, place), (self.size, size)))
+            where = np.searchsorted(self.hashes, kinds)
+        return where
+
+
+def _cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where a piece may start: at the texts' starts, and where the pattern cuts whatever stands around.
+
+    Characters of three bytes below U+4000, and those from U+0080 to U+00BF, count as possible white space.
+    """
+    n = len(raw)
+    cut = np.zeros(n, dtype=bool)
+    if n > 2:
+        space = ~NOT_SPACE[raw] | ((raw >= 28) & (raw < 32))
+        maybe = space.copy()
+        lead2, lead3 = raw == 0xC2, (raw >= 0xE1) & (raw <= 0xE3)
+        maybe |= lead2 | lead3
+        maybe[1:] |= lead2[:-1] | lead3[:-1]
+        maybe[2:] |= lead3[:-2]
+        letter = ASCII_LETTER[raw]
+        cut[1:] = (raw[1:] == 32) & ~maybe[:-1]
+        cut[1:] |= letter[:-1] & ASCII_MARK[raw[1:]]
+        cut[2:] |= (raw[1:-1] == 10) & ~maybe[:-2] & ~maybe[2:]
+    cut[at[:-1][at[:-1] < n]] = True
+    return cut
 
 
 def write_file(out, bits: int, docs: Iterator[tuple[int | None, np.ndarray]]) -> tuple[int, int]:
@@ -163,7 +227,7 @@ class TokenFile:
                 yield self.doc_ids[k + i], int(ends[i]), ids[ends[i] - ends[0] : ends[i + 1] - ends[0]]
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, text_slice: int = 128) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> DataFrame:
     """Write `docs` (doc_id, text) below `folder`, a file for each range of doc_id; returns the files.
 
     (file, path, n_docs, n_ids, start): `start` is the number of ids in all files before. Only the files listed count;
@@ -172,18 +236,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
     """
 
     def write(batches):
-        model = Encoder(tokenizer)
+        model = Encoder.of_worker(tokenizer)
         store, root = fs.FileSystem.from_uri(folder)
         path, part = f"{root}/{uuid.uuid4().hex}.ids", TaskContext.get().partitionId()
         end = np.array([end_id], np.uint32)
 
         def rows():
             for batch in batches:
-                for k in range(0, batch.num_rows, text_slice):
-                    own = batch.slice(k, text_slice)
-                    texts = [t or "" for t in own.column(1).to_pylist()]
-                    for name, ids in zip(own.column(0).to_pylist(), model.encode(texts), strict=True):
-                        yield name, np.concatenate((ids, end))
+                for name, ids in zip(batch.column(0).to_pylist(), model.encode(batch.column(1)), strict=True):
+                    yield name, np.concatenate((ids, end))
 
         store.create_dir(root, recursive=True)
         with store.open_output_stream(path) as out:
