@@ -272,7 +272,8 @@ def read_tokens(files: DataFrame, folder: str) -> DataFrame:
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("path", "start").repartition("path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    parallel = 4 * files.sparkSession.sparkContext.defaultParallelism
+    return files.select("path", "start").repartition(parallel, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def packed_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:

@@ -153,7 +153,8 @@ def read_archives(archives: DataFrame, folder: str, range_bytes: int = 8 << 20)
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
 
     ranges = archives.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
-    ranges = ranges.withColumn("end", F.least(F.col("start") + range_bytes, "size")).repartition("path", "start")
+    parallel = 4 * archives.sparkSession.sparkContext.defaultParallelism
+    ranges = ranges.withColumn("end", F.least(F.col("start") + range_bytes, "size")).repartition(parallel, "path", "start")
     return ranges.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
