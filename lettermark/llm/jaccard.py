@@ -153,7 +153,7 @@ def candidate_edges(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
                     keys.append(k)
                     nodes.append((len(prints) - 1, len(k)))
                     total += len(k)
-                if total > 2_000_000:
+                if total > 500_000:
                     yield _combined(keys, nodes, prints)
                     keys, nodes, prints, total = [], [], [], 0
             if total:
