@@ -36,7 +36,8 @@ def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + width - 1))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), covered)
     rest = F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n")
-    out = own.join(cut_lineage(starts).hint("merge"), "row_key", "left")  # one plan at every size.withColumn("lines", lines)
+    # A sort-merge join at every size: the starts grow with the corpus.
+    out = own.join(cut_lineage(starts).hint("merge"), "row_key", "left").withColumn("lines", lines)
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
     return out.select(
         "doc_id",
