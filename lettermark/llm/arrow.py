@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return at - at[0], raw[at[0] : at[-1]]
 
 
-def slices(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `most` bytes together; a longer text has a range of its own."""
     start = 0
     while start < len(offsets) - 1:
@@ -60,18 +61,15 @@ _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15 | 3
 _BACK = pow(_STEP, -1, 1 << 64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(n, 1 << 16).bit_length()
-    if size not in _powers:
-        _powers.clear()
-        with np.errstate(over="ignore"):
-            _powers[size] = tuple(
-                np.concatenate(([np.uint64(1)], np.cumprod(np.full(size, base, np.uint64)))) for base in (np.uint64(_STEP), np.uint64(_BACK))
-            )
-    return _powers[size]
+    """Powers of the step and of its inverse, kept once for each Python worker."""
+    kept = sys.__dict__.setdefault("_lettermark_powers", [np.zeros(0, np.uint64)] * 2)
+    if len(kept[0]) <= n:
+        size = max(n, 1 << 20)
+        kept[:] = [np.concatenate(([np.uint64(1)], np.cumprod(np.full(size, base, np.uint64)))) for base in (np.uint64(_STEP), np.uint64(_BACK))]
+    return kept[0], kept[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -18,6 +18,12 @@ def normal(text: str | None) -> str:
     return _GAP.sub(" ", (text or "").lower()).strip(" ")
 
 
+def cut(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def budget(length: int, percent: int) -> int:
     return length * percent // 100
 
@@ -126,7 +132,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 5, least: int =
     def search(items):
         def run(batches):
             matcher = None
-            for batch in batches:
+            for batch in cut(batches):
                 matcher = matcher or (Matcher(items, percent) if items else None)
                 rows = [(i, *hit) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t and matcher for hit in matcher.search(normal(t))]
                 if rows:
@@ -147,7 +153,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, percent: int = 5, lea
     def search(items, at):
         def run(batches):
             matcher = None
-            for batch in batches:
+            for batch in cut(batches):
                 matcher = matcher or Matcher(items, percent)
                 clean = [not t or next(matcher.search(normal(t)), None) is None for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))

@@ -57,7 +57,7 @@ class Encoder:
     before are encoded, and a bounded table keeps their ids.
     """
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole, self.word, self.most = Tokenizer.from_file(path), Tokenizer.from_file(path), most
