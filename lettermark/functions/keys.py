@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Equi-join on `keys` where NULL equals NULL; the keys are kept once.
 
-    Without keys the right side is the single row of a global aggregate and is attached to every row.
+    Without keys the right side is the single row of a global aggregate and is attached to every row; a second row is
+    an error, no row gives NULLs.
     """
     if not keys:
-        return left.join(F.broadcast(right.limit(1)))
+        one = right.select(F.struct(*right.columns).alias("_one")).scalar()
+        return left.withColumn("_one", one).select(*left.columns, "_one.*")
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
     cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys])
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])

@@ -604,7 +604,7 @@ query("prepare_density_match", f"SELECT * REPLACE ({r6('impact_norm')} AS impact
 part("o_pairs_all", """
 WITH b AS (SELECT *, CAST(floor(id / 40) AS BIGINT) AS subclass FROM o_prepared),
 f AS (SELECT *, row_number() OVER (PARTITION BY venue, delay, lag, subclass, treat ORDER BY id) AS k FROM b),
-g AS (SELECT * EXCLUDE (k), concat_ws('.', venue, lag, subclass) AS match_group, impact_after / impact_before AS growth FROM f WHERE k = 1)
+g AS (SELECT * EXCLUDE (k), concat_ws('.', venue, delay, lag, subclass) AS match_group, impact_after / impact_before AS growth FROM f WHERE k = 1)
 SELECT *, count(*) OVER (PARTITION BY match_group) AS members FROM g""")
 query("match_groups", f"""
 SELECT * EXCLUDE (members) REPLACE ({r6('growth')} AS growth, {r6('impact_norm')} AS impact_norm) FROM o_pairs_all WHERE members > 1""")

@@ -320,7 +320,7 @@ class Workbench(Frames):
         keys = ["venue", "delay", "lag", "subclass", "treat"]
         rest = [c for c in rows.columns if c not in keys and c != "id"]
         first = rows.groupBy(*keys).agg(F.min(F.struct("id", *rest)).alias("r")).select(*keys, "r.*")
-        return matching.match_groups(first, ["venue", "lag", "subclass"], "impact_before", "impact_after")
+        return matching.match_groups(first, ["venue", "delay", "lag", "subclass"], "impact_before", "impact_after")
 
     @step
     def paper_pairs_table(self):
@@ -381,7 +381,7 @@ class Workbench(Frames):
         pairs = matching.nearest_match(
             scored, frame, ["field", "quarter", "multifield"], {"impact_norm": 0.5, "year": 2.0}, std_caliper=False
         )
-        return matching.match_groups(pairs, ["venue", "lag", "subclass"], "impact_before", "impact_after")
+        return matching.match_groups(pairs, ["venue", "delay", "lag", "subclass"], "impact_before", "impact_after")
 
     @step
     def matched_pooled(self):

@@ -61,3 +61,7 @@ def test_log_bins_rise():
     assert all(a[1] == b[0] for a, b in zip(bins, bins[1:]))
     with pytest.raises(ValueError):
         log_bins(0.9)
+
+
+def test_log_bins_cover_every_long():
+    assert log_bins(1.2)[-1][1] > 2**63 - 1

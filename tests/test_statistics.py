@@ -94,3 +94,24 @@ def test_propensity_without_groups(spark):
     df = spark.createDataFrame(rows, "venue string, a int, x double, treat int")
     got = models.propensity(df, [], ["x"]).select(F.avg("distance"), F.avg("treat")).first()
     assert got[0] == pytest.approx(got[1], abs=1e-6)
+
+
+def test_fits_tell_unsettled_and_single_armed_groups(spark):
+    rows = [("mixed", float(i % 7), int((i * 5) % 3 == 0)) for i in range(60)]
+    rows += [("apart", float(i), int(i > 9)) for i in range(20)] + [("one", float(i), 1) for i in range(5)]
+    df = spark.createDataFrame(rows, "venue string, x double, treat int")
+    got = models.propensity(df, ["venue"], ["x"]).groupBy("venue").agg(
+        F.count(F.lit(1)).alias("n"), F.count("distance").alias("scored"), F.bool_and("distance_converged").alias("ok")
+    )
+    assert {tuple(r) for r in got.collect()} == {("mixed", 60, 60, True), ("apart", 20, 20, False), ("one", 5, 0, None)}
+    cut = models.fit_logit(df.filter("venue = 'mixed'"), ["venue"], "treat", ["x"], max_iter=0)
+    assert [f.converged for f in cut.fits] == [False]
+
+
+def test_a_second_row_without_keys_is_an_error(spark):
+    from lettermark.functions.keys import null_safe_join
+
+    two = spark.range(2).withColumnRenamed("id", "a")
+    assert null_safe_join(spark.range(3), two.agg(F.max("a").alias("a")), []).count() == 3
+    with pytest.raises(Exception, match="SCALAR_SUBQUERY_TOO_MANY_ROWS|more than one row"):
+        null_safe_join(spark.range(3), two, []).collect()
