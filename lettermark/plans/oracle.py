@@ -107,6 +107,10 @@ FROM (
   FROM resolve_links l JOIN windowed_impact i ON i.id = l.original_id AND i.venue = l.venue
   WHERE l.original_year >= {START} AND l.original_year < {END} AND l.retracted <> 1)
 WHERE rn = 1 AND reference_count >= 5""")
+query("upload_links", "SELECT original_doi, letter_doi, venue FROM links")
+query("export_letters", "SELECT * FROM resolve_links")
+query("export_treated", "SELECT * FROM treated_cohort")
+query("export_controls", "SELECT * FROM control_cohort")
 
 query("control_cohort", f"""
 SELECT i.* FROM windowed_impact i
@@ -431,7 +435,7 @@ WITH slots AS (SELECT citing_year, reference_year, citing_paper_id,
   FROM brand_refs),
 draws AS (SELECT citing_year, reference_year, CAST(i AS INT) AS iteration, reference_journal_id,
     row_number() OVER (PARTITION BY citing_year, reference_year, i ORDER BY md5(concat_ws('|', '0', i, citing_paper_id, row_key))) AS pos
-  FROM brand_refs, range(1, 6) t(i))
+  FROM brand_refs, range(1, 11) t(i))
 SELECT d.citing_year, d.reference_year, d.iteration, s.citing_paper_id, d.reference_journal_id
 FROM draws d JOIN slots s USING (citing_year, reference_year, pos)""")
 
@@ -459,7 +463,7 @@ SELECT j1, j2, CAST(sum(n) AS BIGINT) AS n FROM (SELECT j1, j2, n FROM pair_coun
 GROUP BY j1, j2""")
 part("o_z", """
 WITH g AS (SELECT citing_year, j1, j2, CAST(sum(n) AS BIGINT) AS s, CAST(sum(n * n) AS BIGINT) AS q FROM pair_counts_null GROUP BY ALL),
-m AS (SELECT o.citing_year AS year, o.j1, o.j2, 5 * o.n - coalesce(s, 0) AS gap, 5 * coalesce(q, 0) - coalesce(s, 0) * coalesce(s, 0) AS spread
+m AS (SELECT o.citing_year AS year, o.j1, o.j2, 10 * o.n - coalesce(s, 0) AS gap, 10 * coalesce(q, 0) - coalesce(s, 0) * coalesce(s, 0) AS spread
   FROM pair_counts o LEFT JOIN g ON g.citing_year = o.citing_year AND g.j1 = o.j1 AND g.j2 = o.j2)
 SELECT year, j1, j2, CASE WHEN spread > 0 THEN gap / sqrt(spread::DOUBLE) WHEN gap > 0 THEN 'inf'::DOUBLE
   WHEN gap < 0 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END AS z FROM m""")
@@ -471,7 +475,7 @@ def kind(col: str) -> str:
 
 
 query("pair_zscores", f"SELECT year, j1, j2, {kind('z')} FROM o_z")
-query("stack_zscores", f"SELECT year, j1, j2, {kind('z')} FROM o_z WHERE year IN (1996, 1997)")
+query("stack_zscores", f"SELECT year, j1, j2, {kind('z')} FROM o_z WHERE year >= {START} AND year < {END}")
 part("o_novelty", f"""
 WITH f AS (SELECT b.citing_paper_id, b.reference_journal_id, c.year FROM brand_refs b JOIN stack_cohorts c ON c.id = b.citing_paper_id
   WHERE c.year BETWEEN {START} AND {END - 1}),

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property as step
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermark.config import FIELD_NAMES, NEWS_BREAKS, NEWS_LABELS, TWEET_BREAKS, TWEET_LABELS
+from lettermark.config import Config, FIELD_NAMES, NEWS_BREAKS, NEWS_LABELS, TWEET_BREAKS, TWEET_LABELS
 from lettermark.functions.keys import rounded
 from lettermark.operators import (
     attention, authors, cohorts, fields, graph, linkage, matching, models, novelty, ranking, reports, similarity,
     statistics, trajectories,
 )
-from lettermark.session import cut_lineage
+from lettermark.plans.run import run_cohorts
+from lettermark.session import cut_lineage, shared_folder
 from lettermark.sources.adapters import VENUES, Frames
+from lettermark.sources.tables import read_table, write_table
 
 START, END = 1995, 2002
 
@@ -76,6 +79,21 @@ class Workbench(Frames):
             self.stacked_table.filter(F.col("venue").isNull()),
         )
 
+    # files: what a sink wrote, read with its declared schema
+    def new_folder(self) -> str:
+        return f"{shared_folder(self.spark)}/{uuid.uuid4().hex}"
+
+    @step
+    def uploaded_links(self):
+        folder = self.new_folder()
+        write_table(self.links, folder, order_by=("original_doi", "letter_doi"))
+        return read_table(self.spark, folder, "letter_links")
+
+    @step
+    def exported(self):
+        config = Config(venues=VENUES, start_year=START, end_year=END)
+        return run_cohorts(self.uploaded_links, self.refs, self.aps, self.papers, config, self.new_folder())
+
     @step
     def stances(self):
         return cohorts.stance_counts(self.papers, self.stance, VENUES, START)
@@ -237,7 +255,7 @@ class Workbench(Frames):
         return trajectories.within_years(raw.unionByName(both))
 
     # novelty
-    ITERATIONS = 5
+    ITERATIONS = 10
 
     @step
     def shuffled(self):
@@ -258,6 +276,15 @@ class Workbench(Frames):
     def zscores(self):
         return novelty.pair_zscores(self.observed_pairs, self.null_pairs, self.ITERATIONS)
 
+    @step
+    def zscore_table(self):
+        return cut_lineage(self.zscores)
+
+    @step
+    def stacked_zscores(self):
+        years = range(START, END)
+        return novelty.stack_zscores({y: self.zscore_table.filter(F.col("year") == y).drop("year") for y in years})
+
     @step
     def novelty(self):
         return novelty.paper_novelty(
@@ -497,6 +524,10 @@ QUERIES = {
     "stack_cohorts": lambda w: w.stacked,
     "collapse_venues": lambda w: w.cohort,
     "gather": lambda w: w.gathered,
+    "upload_links": lambda w: w.uploaded_links,
+    "export_letters": lambda w: w.exported["letter_metadata"],
+    "export_treated": lambda w: w.exported["agg_letters"],
+    "export_controls": lambda w: w.exported["agg_nonletters"],
     "cohort_counts": lambda w: cohorts.cohort_counts(w.stacked),
     "stance_counts": lambda w: w.stances,
     "attention_features": lambda w: w.features,
@@ -548,8 +579,7 @@ QUERIES = {
     "merge_pair_counts": lambda w: novelty.merge_pair_counts(
         w.observed_pairs.select("j1", "j2", "n"), w.null_pairs.select("j1", "j2", "n")),
     "pair_zscores": lambda w: score_kind(w.zscores, "z"),
-    "stack_zscores": lambda w: score_kind(
-        novelty.stack_zscores({y: w.zscores.filter(F.col("year") == y).drop("year") for y in (1996, 1997)}), "z"),
+    "stack_zscores": lambda w: score_kind(w.stacked_zscores, "z"),
     "paper_novelty": lambda w: score_kind(score_kind(w.novelty, "zscore_median"), "zscore_10th"),
     # people
     "author_positions": lambda w: w.positions,
