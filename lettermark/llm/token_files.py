@@ -54,7 +54,8 @@ class Encoder:
 
     Texts are cut where the byte-level pattern always cuts: before a space that follows no white space, between a
     letter and punctuation, and after a single newline. Pieces are told apart by 64-bit hashes; only pieces not met
-    before are encoded, and a bounded table keeps their ids.
+    before are encoded, and a bounded table keeps their ids. Texts that hold an added token of the file, such as an
+    end mark, are encoded whole: such a token is taken before the pattern, and a cut could fall inside it.
     """
 
     def __init__(self, path: str, most: int = 500_000):
@@ -62,6 +63,7 @@ class Encoder:
 
         self.whole, self.word, self.most = Tokenizer.from_file(path), Tokenizer.from_file(path), most
         self.word.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.added = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values() if t.content]
         self.bits = max(1, (self.whole.get_vocab_size() - 1).bit_length())
         self._clear()
 
@@ -84,14 +86,36 @@ class Encoder:
             raw, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             starts = np.flatnonzero(_cuts(raw, at))
             ends = np.append(starts[1:], len(raw))
+            marked = self._marked(raw, at)
+            if len(marked):
+                plain = ~np.isin(np.searchsorted(at, starts, "right") - 1, marked)
+                starts, ends = starts[plain], ends[plain]
             kinds, first, kind = np.unique(hash_spans(raw, starts, ends), return_index=True, return_inverse=True)
             where = self._known(kinds, raw, starts[first], ends[first])
             size, place = self.size[where][kind], self.place[where][kind]
             total = np.concatenate(([0], np.cumsum(size)))
             ids = self.pool[np.repeat(place - total[:-1], size) + np.arange(total[-1])]
             cut = total[np.searchsorted(starts, at)]
-            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                yield ids[i:j]
+            alone = set(marked.tolist())
+            for row, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                if row in alone:
+                    text = raw[at[row] : at[row + 1]].tobytes().decode()
+                    yield np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+                else:
+                    yield ids[i:j]
+
+    def _marked(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rows that hold an added token."""
+        text, rows = raw.tobytes(), []
+        for token in self.added:
+            place = text.find(token)
+            while place >= 0:
+                row = int(np.searchsorted(at, place, "right")) - 1
+                inside = place + len(token) <= at[row + 1]
+                if inside:
+                    rows.append(row)
+                place = text.find(token, int(at[row + 1]) if inside else place + 1)
+        return np.unique(np.array(rows, np.int64))
 
     def _known(self, kinds: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Rows of the table that hold the pieces, after encoding the new ones."""

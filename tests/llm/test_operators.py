@@ -181,6 +181,18 @@ def test_encoder_equals_whole_texts():
         assert ids.tolist() == own.whole.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_keeps_added_tokens():
+    r = random.Random(8)
+    own = token_files.Encoder(tokenizer_path())
+    end = own.whole.id_to_token(50256)
+    signs = [end, end, end[:-2], end[-2:], end[:1], "a", "B", "é", " ", "  ", "\n", "'s", "1", "!", "中"]
+    texts = [f"a {end} b", end[:5], end[5:], "", *("".join(r.choice(signs) for _ in range(r.randint(0, 14))) for _ in range(1000))]
+    got = [ids.tolist() for ids in own.encode(pa.array(texts))]
+    assert got[0] == [64, 220, 50256, 275] and not any(50256 in ids for ids in got[1:4])
+    assert got == [own.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids.tolist() for ids in own.encode(pa.array([end, end]))] == [[50256], [50256]]
+
+
 def test_quality_rules(spark):
     good = [(i, " ".join(words(40)) + ".", 1) for i in range(300)]
     bad = [(300 + i, " ".join(w + "$$$" for w in words(40)), 0) for i in range(300)]
