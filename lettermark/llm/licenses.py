@@ -1,6 +1,8 @@
 """License scans: phrases word by word, and templates by an exact set-similarity join of text blocks.
 
 A block is a line. It meets a template when it holds at least the share `containment` of the template's distinct words.
+Notices wrapped over lines are met by windows: stretches of a text of at most a template's words and a quarter more, over
+line ends, that hold the same share of its distinct words. A window inside one line adds nothing to the line's block.
 Words outside all templates cannot matter, so a block is the set of its template words, in order of how few documents
 hold them. A block and a template that meet share a word among the first of each (prefix), the block has enough words
 (length), and the places of the shared word leave room for the overlap (position); what passes is compared whole.
@@ -55,21 +57,64 @@ def required(size: int, percent: int) -> int:
     return max(1, -(-size * percent // 100))
 
 
-def scan_words(docs: DataFrame, phrases: dict[str, str], vocabulary: list[str], least: int) -> DataFrame:
+def reach(text: str) -> int:
+    """Words of a window for a template."""
+    return -(-len(words_of(text)) * 5 // 4)
+
+
+class Windows:
+    """Finds the rows with a window that holds enough of a template's words."""
+
+    def __init__(self, templates: list[tuple[str, str]], vocabulary: list[str], percent: int):
+        number = {w: k for k, w in enumerate(vocabulary)}
+        self.sets = [np.array(sorted({number[w] for w in words_of(text)}), np.int64) for _, text in templates]
+        self.need = np.array([required(len(s), percent) for s in self.sets], np.int64)
+        self.reach = [reach(text) for _, text in templates]
+        self.words = np.concatenate(self.sets)
+        self.heads = np.concatenate(([0], np.cumsum([len(s) for s in self.sets])[:-1]))
+        self.size = len(vocabulary)
+
+    def search(self, place: np.ndarray, word: np.ndarray, row: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
+        """(row, template, most distinct words of a window) from the places of the template words, in order."""
+        present = np.zeros(self.size, bool)
+        present[word] = True
+        for t in np.flatnonzero(np.add.reduceat(present[self.words].astype(np.int64), self.heads) >= self.need).tolist():
+            own = np.zeros(self.size, bool)
+            own[self.sets[t]] = True
+            mine = own[word]
+            held = np.bincount(np.unique(np.stack([row[mine], word[mine]], 1), axis=0)[:, 0], minlength=n) >= self.need[t]
+            at = np.flatnonzero(mine & held[row])
+            if not len(at):
+                continue
+            p, w, r = place[at], word[at], row[at]
+            low = np.maximum(p - self.reach[t] + 1, place[at[np.searchsorted(r, r)]])
+            count = np.zeros(len(at), np.int64)
+            for one in self.sets[t].tolist():
+                count += np.maximum.accumulate(np.where(w == one, p, -1)) >= low
+            most = np.zeros(n, np.int64)
+            np.maximum.at(most, r, count)
+            for k in np.flatnonzero(most >= self.need[t]).tolist():
+                yield k, t, int(most[k])
+
+
+def scan_words(docs: DataFrame, phrases: dict[str, str], vocabulary: list[str], templates: list[tuple[str, str]], percent: int) -> DataFrame:
     """Per row of `docs` (doc_id, text): phrase places and the template words of the text and of its blocks.
 
-    `found` lists the template words of the text, `blocks` the sets of template words of the lines that hold `least`.
+    `found` lists the template words of the text, `blocks` the sets of template words of the lines that hold enough for
+    any template, `windows` the templates met by windows with the most words that one holds.
     """
     listed = [(words_of(p), label) for p, label in phrases.items()]
+    least = min(required(len(set(words_of(text))), percent) for _, text in templates)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         targets = [(_hashes(w), label) for w, label in listed]
         known = _hashes(vocabulary)
         order = np.argsort(known)
         known = known[order]
+        windows = Windows(templates, vocabulary, percent)
         for batch in batches:
             offsets, data = text_bytes(batch.column(2))
-            rows: dict[str, list] = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "found", "blocks")}
+            rows: dict[str, list] = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "found", "blocks", "windows")}
             for a, b in slices(offsets):
                 raw, at = LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
                 starts, ends = runs(WORD[raw], at)
@@ -105,6 +150,9 @@ def scan_words(docs: DataFrame, phrases: dict[str, str], vocabulary: list[str],
                     for i, j in zip(head.tolist(), [*head[1:].tolist(), len(cells)], strict=True):
                         if j - i >= least:
                             blocks[cells[i, 0]].append(cells[i:j, 2].tolist())
+                wide: list[list[dict[str, int]]] = [[] for _ in range(n)]
+                for r, t, most in windows.search(hit, word, row, n):
+                    wide[r].append({"template": t, "held": most})
                 rows["n_words"] += np.diff(first).tolist()
                 rows["n_base"] += n_base.tolist()
                 rows["first_word"] += [int(x) if c else None for x, c in zip(low, n_base, strict=True)]
@@ -112,12 +160,13 @@ def scan_words(docs: DataFrame, phrases: dict[str, str], vocabulary: list[str],
                 rows["base_labels"] += [sorted(x) for x in labels]
                 rows["found"] += found
                 rows["blocks"] += blocks
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))]
+                rows["windows"] += wide
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.struct([("template", pa.int32()), ("held", pa.int32())]))]
             columns = [pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "row_key", *rows])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, row_key long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, found array<int>, blocks array<array<int>>"
+    schema = f"doc_id {kind}, row_key long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, found array<int>, blocks array<array<int>>, windows array<struct<template: int, held: int>>"
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(scan, schema)
 
 
@@ -145,6 +194,14 @@ def block_matches(scanned: DataFrame, templates: list[tuple[str, str]], vocabula
     return cand.select("row_key", "block", "label", (F.size("both") / F.col("size")).alias("containment"))
 
 
+def window_matches(scanned: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
+    """(row_key, label, containment) of every text and template that meet by a window."""
+    rows = [(t, label, len(set(words_of(text)))) for t, (label, text) in enumerate(templates)]
+    known = scanned.sparkSession.createDataFrame(rows, "template int, label string, size int")
+    met = scanned.select("row_key", F.inline("windows"))
+    return met.join(F.broadcast(known), "template").select("row_key", "label", (F.col("held") / F.col("size")).alias("containment"))  # at most MOST_WORDS templates
+
+
 def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, percent: int = 80) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
@@ -156,9 +213,8 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templat
     vocabulary = sorted({w for _, text in templates for w in words_of(text)})
     if len(vocabulary) > MOST_WORDS:
         raise ValueError(f"the templates have more than {MOST_WORDS} words")
-    least = min(required(len(set(words_of(text))), percent) for _, text in templates)
-    scanned = cut_lineage(scan_words(docs, phrases, vocabulary, least))
-    met = block_matches(scanned, templates, vocabulary, percent)
+    scanned = cut_lineage(scan_words(docs, phrases, vocabulary, templates, percent))
+    met = block_matches(scanned, templates, vocabulary, percent).drop("block").unionByName(window_matches(scanned, templates))
     met = met.groupBy("row_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
     labels = F.array_sort(F.array_distinct(F.concat("base_labels", F.coalesce("more", F.array().cast("array<string>")))))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("containment", F.lit(0.0)))

@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -212,6 +213,34 @@ def test_license_scan(docs):
     assert licenses.license_scan(docs).count() == docs.count()
 
 
+def windows_by_hand(text):
+    w, got = licenses.words_of(text), {}
+    for label, template in licenses.TEMPLATES:
+        own = set(licenses.words_of(template))
+        blocks = [licenses.words_of(line) for line in text.split("\n")] + [w[k : k + licenses.reach(template)] for k in range(len(w))]
+        most = max((len(own & set(b)) for b in blocks), default=0)
+        if 100 * most >= 80 * len(own):
+            got[label] = max(got.get(label, 0.0), most / len(own))
+    return got
+
+
+def test_license_scan_of_wrapped_notices(spark):
+    r = random.Random(7)
+    texts = ["", "of the\nand to", "the license\nthe license\nunder the license"]
+    for _, template in licenses.TEMPLATES:
+        for width in (20, 40, 75):
+            wrapped = "\n".join(textwrap.wrap(template, width))
+            texts += [wrapped, "Intro text.\n * " + wrapped.replace("\n", "\n * ") + "\nMore.", wrapped.replace("\n", "\n" + "other words of the text " * 9 + "\n")]
+        w = template.split()
+        texts += ["\n".join(r.choice([*w, "the", "of", "x"]) for _ in range(60)) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x for x in licenses.license_scan(docs, {}).collect()}
+    for i, text in enumerate(texts):
+        want = windows_by_hand(text)
+        assert got[i]["labels"] == ",".join(sorted(want)) and got[i]["score"] == max(want.values(), default=0.0), (i, text)
+    assert all(label in got[3 + 14 * t + k]["labels"].split(",") for t, (label, _) in enumerate(licenses.TEMPLATES) for k in (0, 1, 3, 4, 6, 7))
+
+
 def pii_by_hand(text):
     found = []
     luhn = lambda d: sum(int(c) if k % 2 == 0 else int(c) * 2 - 9 * (c > "4") for k, c in enumerate(reversed(d))) % 10 == 0
