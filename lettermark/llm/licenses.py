@@ -24,18 +24,30 @@ from lettermark.session import cut_lineage
 # Phrases and the labels they give.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Label and wording of the templates.
+# Label and wording of the templates. Short notices are reduced to at most four different words, all of
+# which are needed at 80 %: of five, the one that names the license could be missing.
 TEMPLATES = [
     ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
+    ("apache", "under the Apache License"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+    ("bsd", "under the BSD License"),
+    ("bsd", "BSD 2-Clause License"),
+    ("bsd", "BSD 3-Clause License"),
     ("cc-notice", "Licensed under CC BY-NC 4.0."),
     ("cc-notice", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-notice", "Creative Commons Attribution"),
+    ("cc-notice", "under CC BY"),
     ("gpl-notice", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation."),
+    ("gpl-notice", "GNU General Public License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
+    ("mit", "under the MIT License"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("mpl", "Mozilla Public License"),
     ("public-domain", "This is free and unencumbered software released into the public domain."),
+    ("public-domain", "into the public domain"),
     ("reserved-notice", "All rights reserved. No part of this publication may be reproduced, distributed or transmitted in any form without the prior written permission of the publisher."),
+    ("reserved-notice", "Copyright. All rights reserved."),
 ]
 #: Words of all templates that may be sent to every task; more are refused.
 MOST_WORDS = 1_000_000

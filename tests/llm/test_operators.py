@@ -241,6 +241,22 @@ def test_license_scan_of_wrapped_notices(spark):
     assert all(label in got[3 + 14 * t + k]["labels"].split(",") for t, (label, _) in enumerate(licenses.TEMPLATES) for k in (0, 1, 3, 4, 6, 7))
 
 
+def test_license_scan_of_short_notices(spark):
+    notices = [
+        ("Released under the MIT License.", "mit"), ("This project is licensed under the MIT License - see the LICENSE file.", "mit"),
+        ("Licensed under the Apache License, Version 2.0.", "apache"), ("Licensed under the BSD License.", "bsd"),
+        ("SPDX: BSD 3-Clause License", "bsd"), ("Distributed under the Mozilla Public License, version 2.0.", "mpl"),
+        ("Licensed under a Creative Commons Attribution 4.0 International license.", "cc-notice"), ("Text under CC BY 4.0.", "cc-notice"),
+        ("Licensed under the GNU General Public License v3.0.", "gpl-notice"), ("Released into the public domain.", "public-domain"),
+        ("Copyright (c) 2020 A. Author. All rights reserved.", "reserved-notice"),
+        ("Released under the terms of the license, version 2.0.", ""), ("The public license of the domain was released.", ""), ("Ein Text mit der Lizenz.", ""),
+    ]
+    docs = spark.createDataFrame([(i, text, None) for i, (text, _) in enumerate(notices)], "doc_id long, text string, source string")
+    for x in licenses.license_scan(docs, {}).collect():
+        assert (x["labels"], x["score"]) == ((label := notices[x["doc_id"]][1]), 1.0 if label else 0.0), notices[x["doc_id"]]
+    assert same_as_sql(licenses.license_scan(docs), by_sql(docs, LICENSE_SCAN))  # one line each
+
+
 def pii_by_hand(text):
     found = []
     luhn = lambda d: sum(int(c) if k % 2 == 0 else int(c) * 2 - 9 * (c > "4") for k, c in enumerate(reversed(d))) % 10 == 0
