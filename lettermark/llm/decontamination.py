@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +25,23 @@ def cut(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Recor
             yield batch.slice(k, rows)
 
 
+#: Scripts written without spaces between words: Thai to Tibetan, Burmese, Khmer, kana and Chinese characters.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+
+
+def bounded(text: str, start: int, end: int) -> bool:
+    """Whether no word goes on beyond the part of a text; scripts without spaces and signs have a bound at every character."""
+
+    def apart(a: str, b: str) -> bool:
+        return not (_word(a) and _word(b))
+
+    return (start == 0 or apart(text[start - 1], text[start])) and (end == len(text) or apart(text[end - 1], text[end]))
+
+
+def _word(c: str) -> bool:
+    return (c.isalnum() or unicodedata.category(c)[0] == "M") and not _UNSPACED.match(c)
+
+
 def budget(length: int, percent: int) -> int:
     return length * percent // 100
 
@@ -63,12 +81,16 @@ class Item:
 
 
 class Matcher:
-    """Finds items in normalised texts: exact hits of any piece, then Myers' distance around them."""
+    """Finds items in normalised texts: exact hits of any piece, then Myers' distance around them.
 
-    def __init__(self, items: list[tuple[int, str]], percent: int):
+    Items of fewer than `least` characters are found as they are and on word bounds.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], percent: int, least: int = 0):
         import ahocorasick
 
-        self.items = [(i, Item(t, budget(len(t), percent))) for i, t in items]
+        self.least = least
+        self.items = [(i, Item(t, budget(len(t), percent) if len(t) >= least else 0)) for i, t in items]
         where: dict[str, list[tuple[int, int]]] = {}
         for k, (_, item) in enumerate(self.items):
             for at, piece in item.pieces():
@@ -83,10 +105,15 @@ class Matcher:
         starts: dict[int, list[int]] = {}
         for last, (n, places) in self.automaton.iter(text):
             for k, at in places:
+                if len(self.items[k][1].pattern) < self.least and not bounded(text, last - n + 1, last + 1):
+                    continue
                 starts.setdefault(k, []).append(last - n + 1 - at)
         for k, found in starts.items():
             item_id, item = self.items[k]
             n, e, best = len(item.pattern), item.errors, item.errors + 1
+            if n < self.least:
+                yield item_id, 0
+                continue
             found = sorted(set(found))
             low = high = found[0]
             for s in [*found[1:], None]:
@@ -99,13 +126,13 @@ class Matcher:
                 yield item_id, best
 
 
-def _lots(benchmark: DataFrame, least: int) -> list[list[tuple]]:
-    """(item_id, normal text) of the items of at least `least` characters, in lots for one pass each."""
+def _lots(benchmark: DataFrame) -> list[list[tuple]]:
+    """(item_id, normal text) of the items with any word, in lots for one pass each."""
     lots: list[list[tuple]] = [[]]
     held = 0
     for row in benchmark.select("item_id", "text").where("text IS NOT NULL").distinct().toLocalIterator():
         text = normal(row["text"])
-        if len(text) < least:
+        if not text:
             continue
         if held + len(text) > PASS_CHARS and lots[-1]:
             lots.append([])
@@ -120,20 +147,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 5, least: int =
 
     Texts and items are lower-cased and reduced to words. The budget is `percent` of the item's length, the distance
     the fewest edits that turn some part of the text into the item. An item is cut into one piece more than its budget,
-    so one of them must stand in the text as it is. Items shorter than `least` characters match nothing: they would
-    be found in any text. NULL texts match nothing, rows that repeat an id give a row each, and empty tables no rows.
+    so one of them must stand in the text as it is. Items shorter than `least` characters match
+    without edits and on word bounds only: parts of words would be found in any text. NULL texts match nothing, rows that repeat an id give a row each, and empty tables no rows.
     The items are few by nature and are sent to the tasks in lots of at most `PASS_CHARS` characters or one item;
     a larger benchmark takes more passes over the texts. Other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     key = benchmark.schema["item_id"].dataType.simpleString()
-    lots = _lots(benchmark, least)
+    lots = _lots(benchmark)
 
     def search(items):
         def run(batches):
             matcher = None
             for batch in cut(batches):
-                matcher = matcher or (Matcher(items, percent) if items else None)
+                matcher = matcher or (Matcher(items, percent, least) if items else None)
                 rows = [(i, *hit) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t and matcher for hit in matcher.search(normal(t))]
                 if rows:
                     columns = list(zip(*rows, strict=True))
@@ -154,13 +181,13 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, percent: int = 5, lea
         def run(batches):
             matcher = None
             for batch in cut(batches):
-                matcher = matcher or Matcher(items, percent)
+                matcher = matcher or Matcher(items, percent, least)
                 clean = [not t or next(matcher.search(normal(t)), None) is None for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         return run
 
-    for lot in _lots(benchmark, least):
+    for lot in _lots(benchmark):
         if lot:
             docs = docs.mapInArrow(search(lot, docs.columns.index("text")), docs.schema)
     return docs

@@ -145,6 +145,15 @@ def test_leaks(spark):
     assert decontamination.clean_documents(docs, bench.limit(0)).count() == 8
 
 
+def test_leaks_of_short_items(spark):
+    texts = ["Who won?", "so: WHO  won", "whoever won", "he who wonders", "who one", "他问：水的沸点是多少？我答", "水的沸点", "x who won y who won", None, "", "résumé", "resume", "un résumés"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Who won?"), (2, "水的沸点是多少？"), (3, "?!"), (4, "résumé"), (5, "")], "item_id long, text string")
+    want = sorted([(0, 1, 0), (1, 1, 0), (5, 2, 0), (7, 1, 0), (10, 4, 0)], key=repr)
+    assert rows_of(decontamination.leaks(docs, bench)) == want
+    assert sorted(r["doc_id"] for r in decontamination.clean_documents(docs, bench).collect()) == sorted(set(range(len(texts))) - {i for i, *_ in want})
+
+
 def test_token_files(docs, spark):
     from tokenizers import Tokenizer
 
