@@ -353,3 +353,13 @@ def test_pipeline_stages(spark, tmp_path):
     done = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert 0 < done.count() == docs.count()
     assert isinstance(done.toPandas(), pd.DataFrame)
+
+
+def test_pipeline_drops_near_copies_of_two_changed_words(spark):
+    import corpus_pipeline
+
+    base = [f"w{k}" for k in range(100)]
+    edited = [{30: "one", 60: "two"}.get(k, w) for k, w in enumerate(base)]
+    other = [f"v{k}" for k in range(100)]
+    docs = spark.createDataFrame([(k, " ".join(w), None, None, None) for k, w in enumerate([base, edited, other])], DOCS)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [0, 2]
