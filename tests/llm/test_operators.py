@@ -363,3 +363,68 @@ def test_pipeline_drops_near_copies_of_two_changed_words(spark):
     other = [f"v{k}" for k in range(100)]
     docs = spark.createDataFrame([(k, " ".join(w), None, None, None) for k, w in enumerate([base, edited, other])], DOCS)
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [0, 2]
+
+
+def kept_by_hand(rows, words=5, percent=80):
+    """Ids of one document of each group of linked shingle sets, all ids being different."""
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    split = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)) for _, t in rows]
+    sets = [{tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set() for w in split]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    return {min(i for (i, _), h in zip(rows, group, strict=True) if h == g) for g in set(group)}
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    source, folder = "/root/testdata/sf0.001", str(tmp_path)
+    docs = spark.read.parquet(f"{source}/documents.parquet").where("length(text) < 2000")
+    some = docs.where("length(text) > 300").orderBy("doc_id").limit(12)
+    edited = some.withColumn("doc_id", F.col("doc_id") + 1_000_000).withColumn("text", F.concat("text", F.lit(" more")))
+    docs.union(edited).coalesce(2).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{source}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    items = spark.read.parquet(f"{source}/benchmark.parquet").orderBy("item_id").limit(15)
+    leaked = some.limit(2).select((F.col("doc_id") + 5_000_000).alias("item_id"), F.substring("text", 1, 120).alias("text"))
+    items.select("item_id", "text").unionByName(leaked).write.parquet(f"{folder}/benchmark.parquet")
+
+    now = spark.read.parquet(f"{folder}/documents.parquet")
+    text = {r["doc_id"]: r["text"] for r in now.collect()}
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    scored = quality.score_quality(quality.text_statistics(now, "doc_id"), labels)
+    want = sorted(r["doc_id"] for r in scored.where("score >= 0.5").collect())
+    stages = dict(corpus_pipeline.STAGES)
+
+    def kept(stage, frame):
+        out = stages[stage](spark, frame, folder)
+        rows = out.collect()
+        assert out.columns == frame.columns and all(r["text"] == text[r["doc_id"]] for r in rows)
+        return spark.createDataFrame(rows, out.schema), sorted(r["doc_id"] for r in rows)
+
+    now, got = kept("quality classifier", now)
+    assert got == want and len(got) == len(set(got))
+    now, got = kept("n-gram Jaccard join", now)
+    assert got == sorted(kept_by_hand([(i, text[i]) for i in want])) and len(got) < len(want)
+    clean, before = [], len(got)
+    bench = [decontamination.normal(r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    bench = [decontamination.Item(t, len(t) * 5 // 100) for t in bench]
+    for i in got:
+        t = decontamination.normal(text[i])
+        if all(item.distance(t) > item.errors for item in bench):
+            clean.append(i)
+    now, got = kept("benchmark decontamination", now)
+    assert got == clean and len(got) < before
+    taken = by_sql(now, SOURCE_MIX).df()
+    want = sorted(i for i, size, n in zip(taken["doc_id"], taken["size"], taken["taken"], strict=True) for _ in range(n // size if size else 0))
+    now, got = kept("mixing sources", now)
+    assert got == want and len(got) > len(set(got))
+    whole, start, want = Tokenizer.from_file(tokenizer_path()), 0, []
+    for i in got:
+        ids = [*whole.encode(text[i] or "", add_special_tokens=False).ids, 0]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == want
