@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lettermark.llm.codes import vector_codes
 from lettermark.llm.decontamination import leaks
 from lettermark.llm.embeddings import near_vectors
+from lettermark.llm.fim import fill_in_middle, store_frames, with_digests
 from lettermark.llm.jaccard import ngram_components
 from lettermark.llm.licenses import license_scan
 from lettermark.llm.line_dedup import dedup_lines
@@ -69,8 +71,19 @@ def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_components(table(spark, folder, "documents"), words=3, percent=90)
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return with_digests(fill_in_middle(store_frames(table(spark, folder, "documents")), rate=90, spm=20, seed="1"))
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes(table(spark, folder, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_warc, op3_benchmark_decontamination, op4_packed_tokens, op5_quality_rules, op6_license_scan, op7_pii, op8_source_mix, op9_embedding_dedup, op10_ngram_jaccard)
+    for f in (
+        op1_line_dedup, op2_warc, op3_benchmark_decontamination, op4_packed_tokens, op5_quality_rules, op6_license_scan, op7_pii,
+        op8_source_mix, op9_embedding_dedup, op10_ngram_jaccard, op11_fill_in_middle, op13_vector_codes,
+    )
 }
 

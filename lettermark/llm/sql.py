@@ -97,4 +97,94 @@ LEFT JOIN (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS names FRO
 LEFT JOIN (SELECT r, max(containment) AS most FROM met GROUP BY r) m USING (r)
 """.replace("{templates}", ", ".join(f"('{label}', '{text}')" for label, text in TEMPLATES))
 
-SQL = {"op6_license_scan": LICENSE_SCAN, "op1_line_dedup": LINE_DEDUP, "op8_source_mix": SOURCE_MIX}
+FILL_IN_MIDDLE = r"""
+WITH own AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), drawn AS (
+  SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS y,
+    CAST('0x' || h[17:24] AS BIGINT) % 100 AS third, CAST('0x' || h[25:32] AS BIGINT) % 100 AS fourth
+  FROM own
+), formed AS (
+  SELECT doc_id, text, n, least(x, y) AS a, greatest(x, y) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR third >= 90 THEN 'plain'
+      WHEN fourth < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), made AS (
+  SELECT *, CASE form WHEN 'plain' THEN text
+    WHEN 'psm' THEN '<P>' || substr(text, 1, a) || '<S>' || substr(text, b + 1) || '<M>' || substr(text, a + 1, b - a)
+    ELSE '<S>' || substr(text, b + 1) || '<P>' || substr(text, 1, a) || '<M>' || substr(text, a + 1, b - a) END AS output
+  FROM formed
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars, sha256(output) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN output
+    WHEN 'psm' THEN split_part(split_part(output, '<P>', 2), '<S>', 1) || split_part(output, '<M>', 2) || split_part(split_part(output, '<S>', 2), '<M>', 1)
+    ELSE split_part(split_part(output, '<P>', 2), '<M>', 1) || split_part(output, '<M>', 2) || split_part(split_part(output, '<S>', 2), '<P>', 1) END) AS restored_sha256
+FROM made
+"""
+
+# Every window of 100 bytes by its hexadecimal text; long texts are first cut into stretches that overlap by 99 bytes.
+SUFFIX_DEDUP = r"""
+WITH own AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), stretches AS MATERIALIZED (
+  SELECT r, c * 500 AS at, substr(h, CAST(c * 1000 + 1 AS BIGINT), 1198) AS s FROM own, range(CAST(len(h) // 1000 + 1 AS BIGINT)) AS t(c)
+), windows AS MATERIALIZED (
+  SELECT r, at + i AS at, md5(substr(s, CAST(2 * i + 1 AS BIGINT), 200)) AS w FROM stretches, range(CAST(least(500, len(s) // 2 - 99) AS BIGINT)) AS t(i)
+), later AS (
+  SELECT r, at FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY r, at) > 1
+), runs AS (
+  SELECT r, at, sum(CASE WHEN at <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY at) AS run
+  FROM (SELECT r, at, coalesce(lag(at) OVER (PARTITION BY r ORDER BY at), -1000) AS before FROM later)
+), spans AS (
+  SELECT r, run, min(at) AS low, max(at) + 100 AS high FROM runs GROUP BY r, run
+), kept AS (
+  SELECT r, low, substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (low - before) AS BIGINT)) AS part
+  FROM (SELECT *, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS before FROM (
+    SELECT r, low, high FROM spans UNION ALL SELECT r, len(h) // 2, len(h) // 2 FROM own)) JOIN own USING (r)
+)
+SELECT o.doc_id, CAST(len(o.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(s.n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(s.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k.rest)) AS kept_sha256
+FROM own o
+LEFT JOIN (SELECT r, sum(high - low) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r) s USING (r)
+LEFT JOIN (SELECT r, string_agg(part, '' ORDER BY low) AS rest FROM kept GROUP BY r) k USING (r)
+"""
+
+_ASSIGN = r"""
+near{k} AS MATERIALIZED (
+  SELECT r, p, min(struct_pack(d := list_sum(list_transform(list_zip(v, e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), k := k)) AS best
+  FROM parts JOIN book{k} USING (p) GROUP BY r, p
+)"""
+_RECENTRE = r"""
+book{n} AS MATERIALIZED (
+  SELECT p, k, coalesce(c, e) AS e FROM book{k} LEFT JOIN (
+    SELECT p, k, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (
+      SELECT p, best.k AS k, i, sum(v[i]) AS s, count(*) AS n FROM parts JOIN near{k} USING (r, p), range(1, 5) AS t(i) GROUP BY ALL) GROUP BY p, k
+  ) USING (p, k)
+)"""
+VECTOR_CODES = (
+    r"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda v: CAST(floor(256 * CAST(v AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda v: v IS NOT NULL AND isfinite(v)))
+), parts AS MATERIALIZED (
+  SELECT r, vec_id, label, p, x[4 * p + 1 : 4 * p + 4] AS v FROM kept, range(16) AS t(p)
+), book0 AS MATERIALIZED (SELECT p, r - 1 AS k, v AS e FROM parts WHERE r <= 64),"""
+    + ",".join([_ASSIGN.replace("{k}", "0"), _RECENTRE.replace("{k}", "0").replace("{n}", "1"), _ASSIGN.replace("{k}", "1"), _RECENTRE.replace("{k}", "1").replace("{n}", "2"), _ASSIGN.replace("{k}", "2")])
+    + r""", coded AS (
+  SELECT r, string_agg(printf('%02x', best.k), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near2 GROUP BY r
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(e[i] AS VARCHAR), ',' ORDER BY p, k, i)) FROM book2, range(1, 5) AS t(i)) AS codebooks_sha256
+FROM kept JOIN coded USING (r)
+"""
+)
+
+SQL = {
+    "op6_license_scan": LICENSE_SCAN,
+    "op1_line_dedup": LINE_DEDUP,
+    "op8_source_mix": SOURCE_MIX,
+    "op11_fill_in_middle": FILL_IN_MIDDLE,
+    "op12_suffix_dedup": SUFFIX_DEDUP,
+    "op13_vector_codes": VECTOR_CODES,
+}
