@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lettermark.llm.codes import vector_codes
 from lettermark.llm.decontamination import leaks
@@ -15,6 +16,7 @@ from lettermark.llm.mixing import fair_mix
 from lettermark.llm.pii import personal_data
 from lettermark.llm.quality import STATISTICS, score_quality, text_statistics
 from lettermark.llm.sql import SQL  # noqa: F401
+from lettermark.llm.suffixes import cut_repeats
 from lettermark.llm.token_files import packed_tokens
 from lettermark.llm.warc import archive_pages
 from lettermark.session import cut_lineage
@@ -75,6 +77,11 @@ def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return with_digests(fill_in_middle(store_frames(table(spark, folder, "documents")), rate=90, spm=20, seed="1"))
 
 
+def op12_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = cut_repeats(table(spark, folder, "documents"), length=100)
+    return cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return vector_codes(table(spark, folder, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
 
@@ -83,7 +90,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_warc, op3_benchmark_decontamination, op4_packed_tokens, op5_quality_rules, op6_license_scan, op7_pii,
-        op8_source_mix, op9_embedding_dedup, op10_ngram_jaccard, op11_fill_in_middle, op13_vector_codes,
+        op8_source_mix, op9_embedding_dedup, op10_ngram_jaccard, op11_fill_in_middle, op12_suffix_dedup, op13_vector_codes,
     )
 }
 

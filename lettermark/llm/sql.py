@@ -128,16 +128,16 @@ SUFFIX_DEDUP = r"""
 WITH own AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
 ), stretches AS MATERIALIZED (
-  SELECT r, c * 500 AS at, substr(h, CAST(c * 1000 + 1 AS BIGINT), 1198) AS s FROM own, range(CAST(len(h) // 1000 + 1 AS BIGINT)) AS t(c)
+  SELECT r, c * 500 AS pos, substr(h, CAST(c * 1000 + 1 AS BIGINT), 1198) AS s FROM own, range(CAST(len(h) // 1000 + 1 AS BIGINT)) AS t(c)
 ), windows AS MATERIALIZED (
-  SELECT r, at + i AS at, md5(substr(s, CAST(2 * i + 1 AS BIGINT), 200)) AS w FROM stretches, range(CAST(least(500, len(s) // 2 - 99) AS BIGINT)) AS t(i)
+  SELECT r, pos + i AS pos, md5(substr(s, CAST(2 * i + 1 AS BIGINT), 200)) AS w FROM stretches, range(CAST(least(500, len(s) // 2 - 99) AS BIGINT)) AS t(i)
 ), later AS (
-  SELECT r, at FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY r, at) > 1
+  SELECT r, pos FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY r, pos) > 1
 ), runs AS (
-  SELECT r, at, sum(CASE WHEN at <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY at) AS run
-  FROM (SELECT r, at, coalesce(lag(at) OVER (PARTITION BY r ORDER BY at), -1000) AS before FROM later)
+  SELECT r, pos, sum(CASE WHEN pos <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY pos) AS run
+  FROM (SELECT r, pos, coalesce(lag(pos) OVER (PARTITION BY r ORDER BY pos), -1000) AS before FROM later)
 ), spans AS (
-  SELECT r, run, min(at) AS low, max(at) + 100 AS high FROM runs GROUP BY r, run
+  SELECT r, run, min(pos) AS low, max(pos) + 100 AS high FROM runs GROUP BY r, run
 ), kept AS (
   SELECT r, low, substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (low - before) AS BIGINT)) AS part
   FROM (SELECT *, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS before FROM (
