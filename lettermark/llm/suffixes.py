@@ -93,8 +93,9 @@ class Anchors:
 def previous_factors(lcp: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Longest previous factor of every suffix, in suffix order.
 
-    `lcp[i]` is the common prefix of suffixes i and i + 1, `place` their distinct places. The nearest suffix with a
-    smaller place is found on both sides by pointer jumping, which carries the least common prefix along.
+    `lcp[i]` is the common prefix of suffixes i and i + 1, `place` their places; one that is met twice is not its own
+    factor. The nearest suffix with a smaller place is found on both sides by pointer jumping, which carries the least
+    common prefix along.
     """
     best = np.zeros(len(place), np.int64)
     for where, common in ((place, lcp), (place[::-1], lcp[::-1])):
@@ -105,7 +106,7 @@ def previous_factors(lcp: np.ndarray, place: np.ndarray) -> np.ndarray:
         shared = np.append(np.concatenate(([0], common)), 0)[: n + 1]
         shared[n] = 0
         while True:
-            far = np.flatnonzero(least[to[:n]] > where)
+            far = np.flatnonzero(least[to[:n]] >= where)
             if not len(far):
                 break
             via = to[far]
@@ -137,8 +138,11 @@ def _repeats(table: pa.Table, length: int) -> pa.RecordBatch:
     segment = np.repeat(np.arange(len(raw)), runs)
     inner = np.arange(len(segment)) - np.repeat(np.cumsum(runs) - runs, runs)
     start = (at >> 8)[segment] + inner
+    order = np.lexsort((start, key[segment], doc[segment]))
+    new = np.zeros(len(order), np.int64)
+    new[1:] = (np.diff(start[order]) != 0) | (np.diff(key[segment[order]]) != 0) | (np.diff(doc[segment[order]]) != 0)
     place = np.empty(len(segment), np.int64)
-    place[np.lexsort((start, key[segment], doc[segment]))] = np.arange(len(segment))
+    place[order] = np.cumsum(new)
     gone = np.flatnonzero(repeated_suffixes(np.frombuffer(b"".join(raw), np.uint8), offsets[segment] + inner, place, length))
     fresh = np.ones(len(gone), dtype=bool)
     fresh[1:] = (np.diff(gone) != 1) | (np.diff(segment[gone]) != 0)
@@ -226,10 +230,13 @@ def repeated_spans(texts: DataFrame, length: int = 100, k: int = 64, most: int =
     wanted = mixed.groupBy("doc", "key").agg(F.collect_list(F.struct("h", "at", "hot")).alias("items"))
 
     def fetch(batches):
+        last = None
         for batch in batches:
             docs, keys = np.asarray(batch.column("doc")), np.asarray(batch.column("key"))
             offsets, data = text_bytes(batch.column("text"))
             for i in range(batch.num_rows):
+                if last == (last := (int(docs[i]), int(keys[i]))):
+                    continue  # a repeated row
                 text, items = data[offsets[i] : offsets[i + 1]], batch.column("items")[i].values
                 h, at, hot = (np.asarray(items.field(c)) if c != "hot" else np.asarray(items.field(c).cast(pa.int8())) for c in ("h", "at", "hot"))
                 start, windows = at >> 8, at & 255
@@ -249,7 +256,8 @@ def repeated_spans(texts: DataFrame, length: int = 100, k: int = 64, most: int =
         pieces = pa.array(pieces, pa.binary()) if pieces else pa.nulls(n, pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(h), pa.array(fp), pa.array(np.full(n, doc)), pa.array(np.full(n, key)), pa.array(at), pieces], names=["h", "fp", "doc", "key", "at", "bytes"])
 
-    met = texts.dropDuplicates(["doc", "key"]).join(wanted, ["doc", "key"]).select("doc", "key", "items", "text")
+    # A sort-merge join at every size: it brings rows that repeat a document together.
+    met = texts.join(wanted.hint("merge"), ["doc", "key"]).select("doc", "key", "items", "text")
     met = cut_lineage(met.mapInArrow(fetch, "h long, fp long, doc long, key long, at long, bytes binary"))
 
     def compare(batches):
