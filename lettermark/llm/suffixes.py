@@ -13,7 +13,8 @@ an earlier place, which is to say if the longest previous factor of the window's
 4. Anchors with more than `most` different segments are dealt anew by whole windows. In a bucket of equal windows the
    previous smaller place of every suffix but the first is in the bucket, so the first place of each window is enough.
 
-Classes and windows are reduced by aggregates before any join, and the joins are left to adaptive execution to split.
+Classes and windows are reduced by aggregates before any join. The joins are between scans and written tables, so that
+adaptive execution can split a hot class.
 """
 
 from __future__ import annotations
@@ -267,7 +268,7 @@ def repeated_spans(texts: DataFrame, length: int = 100, k: int = 64, most: int =
     cool = met.where("bytes IS NOT NULL").select("h", "doc", "key", "at", "bytes")
     inside = cool.repartition("h").sortWithinPartitions("h").mapInArrow(compare, "doc long, key long, low long, high long")
     warm = met.where("bytes IS NULL").drop("bytes")
-    return _later(classes, first, length).unionAll(inside).unionAll(_later(warm, _first(warm), length))
+    return _later(classes, first, length).unionAll(inside).unionAll(_later(warm, cut_lineage(_first(warm)), length))
 
 
 def cut_repeats(docs: DataFrame, length: int = 100, k: int = 64, most: int = 512) -> DataFrame:
