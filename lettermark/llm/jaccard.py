@@ -1,11 +1,14 @@
-"""Exact Jaccard join of word n-gram sets: pigeonhole routing, then signature trees inside the routed clusters.
-
-1. `shingle_sets` gives each document the size and a 128-bit fingerprint of its set; equal sets become one.
-2. `candidate_edges` routes: sets are banded by size and cut by hash range into more parts than two linked sets of the
-   band can differ in, so linked sets share a whole part. Only one member per part and batch is shuffled.
-3. `linked_sets` gathers each routed cluster in tiles of at most two chunks, builds a signature tree over each chunk
-   (OR-combined bitmaps and size ranges) and walks pairs of nodes, leaving those whose largest possible overlap is too
-   small. What is left is compared by its whole sets.
+"""Exact Jaccard join of word n-gram sets: pigeonhole routing to small groups, then signature trees inside each group.
+
+1. `shingle_sets` gives each document the size, a 128-bit fingerprint and a token bitmap of its set; equal sets become one.
+2. `routed_groups`: sets are banded by size and cut by hash range into more parts than two linked sets of the band can
+   differ in, so linked sets share whole parts. Sets that share a part form a group. A group that is too large is dealt
+   anew by pairs of shared parts (linked sets share at least two), and what is still too large is cut into tiles.
+3. `surviving_clusters` builds a signature tree over each group (OR-combined bitmaps and size ranges) and walks pairs of
+   nodes, leaving those whose largest possible overlap is too small. Groups that differ only in what falls away here
+   leave the same clusters, which count once.
+4. `linked_sets` compares whole sets: first every member of a cluster with the first one, then, in clusters where that
+   leaves several components, the members of different components by the tree again. Nothing is compared across groups.
 
 Empty tables give empty results, NULL and wordless texts have an empty set and link with nothing. Rows may repeat ids or
 texts, and ids may be NULL: the component of a row is the smallest id of any row whose set is reachable from its own.
@@ -19,15 +22,17 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lettermark.llm.arrow import LOWER, NOT_SPACE, hash_spans, keyed, mix, runs, slices, text_bytes
 from lettermark.llm.components import Forest, components
 from lettermark.session import cut_lineage
 
-#: 64-bit words of a node's bitmap, members of a leaf, children of an inner node.
-BITMAP_WORDS, LEAF, FANOUT = 32, 8, 4
+#: Bits of a bitmap for each n-gram of its set, the most bits, members of a leaf, children of an inner node.
+BITS_EACH, MOST_BITS, LEAF, FANOUT = 4, 1 << 18, 8, 4
+#: Sets whose copies a task recognises, so that it routes them once.
+RECENT = 100_000
 
 
 def sets_of(column, words: int) -> Iterator[np.ndarray]:
@@ -59,15 +64,21 @@ def fingerprint(one: np.ndarray) -> bytes:
     return blake2b(one.tobytes(), digest_size=16).digest()
 
 
-def _node(prints: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(p[:8] for p in prints), ">i8").astype(np.int64)
+def bitmap(one: np.ndarray) -> bytes:
+    """One bit for each n-gram, by its low bits; the width is a power of two that grows with the set."""
+    width = 64
+    while width < min(BITS_EACH * len(one), MOST_BITS):
+        width *= 2
+    bits = np.zeros(width, dtype=bool)
+    bits[(one & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
 
 
 class Scheme:
     """Size bands and their parts for the threshold `percent`.
 
     Band k starts at `bounds[k]`; a set links only with sets of its own band and its neighbours. Linked sets of bands
-    k and k, or k and k + 1, differ in at most `differ[k]` n-grams.
+    k and k, or k and k + 1, differ in at most `differ[k]` n-grams, and there are three parts more than that.
     """
 
     def __init__(self, percent: int):
@@ -81,14 +92,17 @@ class Scheme:
             bounds.append(100 * low // p + 1)
             most = bounds[-1] - 1
             self.differ.append((100 - p) * (most + 100 * most // p) // (100 + p))
-            parts = self.differ[-1] + 2
+            parts = self.differ[-1] + 3
             self.cuts.append(np.array([-(-(j << 64) // parts) for j in range(1, parts)], np.uint64))
         k = int(np.searchsorted(bounds, n, "right")) - 1
         return k
 
     def keys(self, one: np.ndarray) -> Iterator[np.ndarray]:
-        """Routing keys of one set. A part without n-grams counts only where so many are empty that they could be all
-        that two linked sets share."""
+        """Routing keys of one set for each of its bands, in the order of the parts.
+
+        Linked sets share three parts at least. Parts without n-grams count only in a set that has more than one of
+        them: then linked sets share two parts that count.
+        """
         n = len(one)
         if not n:
             return
@@ -102,80 +116,163 @@ class Scheme:
             filled = at[1:] > at[:-1]
             salt = np.arange(band << 20, (band << 20) + len(sums), dtype=np.uint64)
             salted = mix(sums + mix(salt))
-            yield salted if len(filled) - filled.sum() >= len(filled) - self.differ[band] else salted[filled]
+            yield salted if len(filled) - filled.sum() > 1 else salted[filled]
 
 
 def shingle_sets(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, row_key, n, fp): size and fingerprint of each row's set; row_key hashes the text."""
+    """(doc_id, row_key, n, fp, bits): size, fingerprint and bitmap of each row's set; row_key hashes the text."""
 
     def measure(batches):
         for batch in batches:
-            sizes, prints = [], []
+            sizes, prints, bits = [], [], []
             for one in sets_of(batch.column(2), words):
                 sizes.append(len(one))
                 prints.append(fingerprint(one) if len(one) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary())], names=["doc_id", "row_key", "n", "fp"])
+                bits.append(bitmap(one) if len(one) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "row_key", "n", "fp", "bits"])
 
     keyed_docs = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
-    return keyed_docs.mapInArrow(measure, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key long, n long, fp binary")
+    return keyed_docs.mapInArrow(measure, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key long, n long, fp binary, bits binary")
+
+
+def short(fp: str):
+    """The first eight bytes of a fingerprint as a number."""
+    return F.conv(F.hex(F.substring(fp, 1, 8)), 16, -10).cast("long")
+
+
+def _entries(keys: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+    key = np.concatenate(keys).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(np.array(nodes, np.int64), [len(k) for k in keys]))], names=["key", "node"])
+
 
+def _node(fp: bytes) -> int:
+    return int.from_bytes(fp[:8], "big", signed=True)
+
+
+def _group(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """(key, members, hot) from rows (key, node) sorted by both: keys with two to `most` different nodes in one row each,
+    keys with more as hot rows of some of their nodes. No key is held whole."""
+    held_key, held, hot_key = 0, np.zeros(0, np.int64), None
+
+    def rows(keys, starts, nodes, hot):
+        sizes = np.diff(np.append(starts, len(nodes)))
+        some = np.flatnonzero(hot | (sizes > 1))
+        if len(some):
+            keep = np.repeat(hot | (sizes > 1), sizes)
+            offsets = np.concatenate(([0], np.cumsum(sizes[some]))).astype(np.int32)
+            members = pa.ListArray.from_arrays(pa.array(offsets), pa.array(nodes[keep]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[starts[some]]), members, pa.array(hot[some])], names=["key", "members", "hot"])
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: links each member of a key to the key's first; rows that are links already pass."""
-    last, hub = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, a, b = (np.asarray(batch.column(i)) for i in range(3))
-        link = a != b
-        k, m = key[~link], a[~link]
-        pairs = [np.stack([a[link], b[link]], 1)]
-        if len(k):
-            head = np.concatenate(([k[0] != last], k[1:] != k[:-1]))
-            start = np.maximum.accumulate(np.where(head, np.arange(len(k)), -1))
-            hubs = np.where(start >= 0, m[np.maximum(start, 0)], hub if hub is not None else 0)
-            pairs.append(np.stack([m[m != hubs], hubs[m != hubs]], 1))
-            last, hub = k[-1], hubs[-1]
-        pairs = np.unique(np.concatenate(pairs), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-
-def candidate_edges(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """(a, b): edges between short set ids such that linked sets are connected; unlinked ones may be."""
+        k = np.concatenate((np.full(len(held), held_key, np.int64), np.asarray(batch.column(0))))
+        n = np.concatenate((held, np.asarray(batch.column(1))))
+        fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])))
+        k, n = k[fresh], n[fresh]
+        starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        last = int(starts[-1])
+        hot = (np.diff(starts) > most) | (k[starts[:-1]] == hot_key if hot_key is not None else False)
+        yield from rows(k[:last], starts[:-1], n[:last], hot)
+        held_key, held = int(k[-1]), n[last:]
+        if len(held) > most:
+            hot_key = held_key
+            yield from rows(k[last:], np.zeros(1, np.int64), held, np.ones(1, dtype=bool))
+            held = held[-1:]
+    if len(held):
+        yield from rows(np.full(len(held), held_key, np.int64), np.zeros(1, np.int64), held, np.array([held_key == hot_key]))
+
+
+def _grouped(entries: DataFrame, most: int) -> DataFrame:
+    spread = entries.repartition("key").sortWithinPartitions("key", "node")
+    return cut_lineage(spread.mapInArrow(lambda batches: _group(batches, most), "key long, members array<long>, hot boolean"))
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`wanted` (doc_id, row_key, fp, ...) with the text of its row, rows of one fp next to each other."""
+    texts = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text").alias("d")
+    columns = [f"w.{c}" for c in wanted.columns if c not in ("doc_id", "row_key")]
+    return texts.join(wanted.hint("merge").alias("w"), F.expr("d.row_key = w.row_key AND d.doc_id <=> w.doc_id")).select(*columns, "d.text")
+
+
+def routed_groups(docs: DataFrame, kinds: DataFrame, words: int, percent: int, most: int) -> DataFrame:
+    """(gid, ta, tb, node, chunk): groups of sets such that any two linked sets meet in one.
+
+    A group has one tile (0, 0) with all members, or more where it exceeds `most` members even by two shared parts:
+    then each pair of its chunks is a tile.
+    """
 
     def route(batches):
-        scheme = Scheme(percent)
+        scheme, seen = Scheme(percent), set()
         for batch in batches:
-            keys, nodes, prints, total = [], [], [], 0
+            keys, nodes, total = [], [], 0
             for one in sets_of(batch.column(0), words):
-                prints.append(fingerprint(one))
+                node = _node(fingerprint(one))
+                if node in seen:
+                    continue
+                if len(seen) >= RECENT:
+                    seen.clear()
+                seen.add(node)
                 for k in scheme.keys(one):
                     keys.append(k)
-                    nodes.append((len(prints) - 1, len(k)))
+                    nodes.append(node)
                     total += len(k)
                 if total > 500_000:
-                    yield _combined(keys, nodes, prints)
-                    keys, nodes, prints, total = [], [], [], 0
+                    yield _entries(keys, nodes)
+                    keys, nodes, total = [], [], 0
             if total:
-                yield _combined(keys, nodes, prints)
-
-    # The least hub of a batch stands for its other members, so a key reaches the shuffle once a batch.
-    routed = docs.select("text").mapInArrow(route, "key long, a long, b long")
-    spread = routed.repartition("key").sortWithinPartitions("key")
-    return spread.mapInArrow(_stars, "a long, b long").distinct()
-
-
-def _combined(keys: list[np.ndarray], nodes: list[tuple[int, int]], prints: list[bytes]) -> pa.RecordBatch:
-    key = np.concatenate(keys).view(np.int64)
-    node = np.repeat(_node(prints)[[i for i, _ in nodes]], [n for _, n in nodes])
-    order = np.argsort(key, kind="stable")
-    key, node = key[order], node[order]
-    head = np.concatenate(([True], key[1:] != key[:-1]))
-    hub = node[np.flatnonzero(head)][np.cumsum(head) - 1]
-    links = np.unique(np.stack([node[node != hub], hub[node != hub]], 1), axis=0)
-    mixed = mix(links[:, 0].view(np.uint64) * np.uint64(3) + links[:, 1].view(np.uint64)).view(np.int64) if len(links) else np.zeros(0, np.int64)
-    columns = [np.concatenate(c) for c in ((key[head], mixed), (hub[head], links[:, 0]), (hub[head], links[:, 1]))]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "a", "b"])
+                yield _entries(keys, nodes)
+
+    groups = _grouped(docs.select("text").mapInArrow(route, "key long, node long"), most)
+    found = groups.where("NOT hot").select("members")
+    hot = cut_lineage(groups.where("hot").select("key", F.explode("members").alias("node")).distinct().groupBy("node").agg(F.collect_list("key").alias("keys")))
+    large = None
+    if not hot.isEmpty():
+
+        def refine(batches):
+            scheme, last = Scheme(percent), None
+            for batch in batches:
+                keys, nodes, total = [], [], 0
+                for one, fp, wanted in zip(sets_of(batch.column("text"), words), batch.column("fp").to_pylist(), batch.column("keys"), strict=True):
+                    if last == (last := fp) or fingerprint(one) != fp:
+                        continue
+                    wanted = np.asarray(wanted.values).view(np.uint64)
+                    for k in scheme.keys(one):
+                        for i in np.flatnonzero(np.isin(k[:-1], wanted)).tolist():
+                            keys.append(mix(k[i] * np.uint64(3) + k[i + 1 :]))
+                            nodes.append(_node(fp))
+                            total += len(keys[-1])
+                    if total > 500_000:
+                        yield _entries(keys, nodes)
+                        keys, nodes, total = [], [], 0
+                if total:
+                    yield _entries(keys, nodes)
+
+        place = kinds.select("doc_id", "row_key", "fp", short("fp").alias("node")).join(hot, "node").select("doc_id", "row_key", "fp", "keys")
+        again = _grouped(_texts(docs, place).mapInArrow(refine, "key long, node long"), most)
+        found = found.unionAll(again.where("NOT hot").select("members"))
+        large = again.where("hot").select(F.col("key").alias("gid"), F.explode("members").alias("node")).distinct()
+    found = found.distinct().withColumn("gid", F.xxhash64("members"))
+    zero = F.lit(0).alias
+    small = found.select("gid", zero("ta"), zero("tb"), F.explode("members").alias("node"), zero("chunk"))
+    if large is None:
+        return small
+    sizes = large.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("k"))
+    dealt = large.join(sizes, "gid").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return small.unionAll(tiles.select("gid", F.least("chunk", "other").alias("ta"), F.greatest("chunk", "other").alias("tb"), "node", "chunk"))
+
+
+def folded(bitmaps: list[bytes], width: int | None = None) -> np.ndarray:
+    """Bitmaps as uint64 rows of the least width among them, wider ones folded onto it."""
+    width = width or min(map(len, bitmaps))
+    rows = []
+    for b in bitmaps:
+        row = np.frombuffer(b, np.uint64)
+        while 8 * len(row) > width:
+            row = row[: len(row) // 2] | row[len(row) // 2 :]
+        rows.append(row)
+    return np.stack(rows)
 
 
 class SignatureTree:
@@ -185,14 +282,8 @@ class SignatureTree:
     bits hit twice. Two sets share at most the common bits plus the smaller such loss.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        sizes = np.array([len(s) for s in sets], np.int64)
-        bits = np.zeros((len(sets), BITMAP_WORDS * 64), dtype=bool)
-        for row, s in zip(bits, sets, strict=True):
-            row[(s & np.uint64(BITMAP_WORDS * 64 - 1)).astype(np.int64)] = True
-        maps = np.packbits(bits, axis=1).view(np.uint64)
-        self.levels = [(maps, sizes, sizes, sizes - bits.sum(1))]
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray):
+        self.levels = [(maps, sizes, sizes, sizes - np.bitwise_count(maps).sum(1).astype(np.int64))]
         width = LEAF
         while len(self.levels[-1][1]) > 1:
             maps, low, high, lost = self.levels[-1]
@@ -236,72 +327,139 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def tile_links(tile: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """Spanning links of the tile's rows; within one chunk all pairs count, across two chunks the mixed ones."""
-    sizes, side = np.asarray(tile["n"]), np.asarray(tile["chunk"])
-    raw = tile["grams"].to_pylist()
-    rows = np.argsort(sizes, kind="stable")
-    forest, found = Forest(len(rows)), []
-    sides = [rows[side[rows] == c] for c in np.unique(side)]
-    trees = [SignatureTree([np.frombuffer(raw[r], np.uint64) for r in part]) for part in sides]
-    if tile["ta"][0].as_py() == tile["tb"][0].as_py():
-        p, q = surviving_pairs(trees[0], trees[0], percent)
+def candidate_pairs(sizes: np.ndarray, bitmaps: list[bytes], side: np.ndarray, mixed: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that the trees leave: within all rows, or between the two sides if `mixed`."""
+    order = np.argsort(sizes, kind="stable")
+    maps = folded(bitmaps)
+    if not mixed:
+        tree = SignatureTree(maps[order], sizes[order])
+        p, q = surviving_pairs(tree, tree, percent)
         p, q = p[p < q], q[p < q]
-    elif len(trees) < 2:
-        return []
-    else:
-        p, q = surviving_pairs(trees[0], trees[-1], percent)
-    for i, j in zip(p.tolist(), q.tolist(), strict=True):
-        r, s = int(sides[0][i]), int(sides[-1][j])
-        if forest.root(r) == forest.root(s):
-            continue
-        a, b = trees[0].sets[i], trees[-1].sets[j]
-        shared = _overlap(a, b)
-        if 100 * shared >= percent * (len(a) + len(b) - shared):
-            forest.join(r, s)
-            found.append((r, s))
-    return found
-
-
-def linked_sets(docs: DataFrame, sets: DataFrame, words: int = 3, percent: int = 90, chunk: int = 128) -> DataFrame:
+        return order[p], order[q]
+    names = np.unique(side)
+    if len(names) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = order[side[order] == names[0]], order[side[order] == names[-1]]
+    p, q = surviving_pairs(SignatureTree(maps[a], sizes[a]), SignatureTree(maps[b], sizes[b]), percent)
+    return a[p], b[q]
+
+
+def _pair_fits(sizes: list[int], bitmaps: list[bytes], percent: int) -> bool:
+    """The tree's test for two sets alone."""
+    (m, n), (a, b) = sizes, bitmaps
+    if len(a) != len(b):
+        a, b = (r.tobytes() for r in folded([a, b]))
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    most = min(m, n, (x & y).bit_count() + min(m - x.bit_count(), n - y.bit_count()))
+    return (100 + percent) * most >= percent * (m + n)
+
+
+def surviving_clusters(groups: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
+    """(cid, members): sets joined by pairs that the trees of their tile leave, each list of members once."""
+
+    def prune(batches):
+        for tile in keyed(batches, ["gid", "ta", "tb"]):
+            if tile.num_rows < 2:
+                continue
+            fp, bits, mixed = tile["fp"].to_pylist(), tile["bits"].to_pylist(), tile["ta"][0].as_py() != tile["tb"][0].as_py()
+            if tile.num_rows == 2 and not mixed:
+                out = [sorted(fp)] if fp[0] != fp[1] and _pair_fits(tile["n"].to_pylist(), bits, percent) else []
+            else:
+                forest = Forest(len(fp))
+                for i, j in zip(*(x.tolist() for x in candidate_pairs(np.asarray(tile["n"]), bits, np.asarray(tile["chunk"]), mixed, percent)), strict=True):
+                    forest.join(i, j)
+                lists: dict[int, set] = {}
+                for i in range(len(fp)):
+                    lists.setdefault(forest.root(i), set()).add(fp[i])
+                out = [sorted(m) for m in lists.values() if len(m) > 1]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.binary()))], names=["members"])
+
+    nodes = kinds.select(short("fp").alias("node"), "fp", "n", "bits")
+    met = groups.join(nodes, "node").select("gid", "ta", "tb", "chunk", "fp", "n", "bits")
+    met = met.repartition("gid", "ta", "tb").sortWithinPartitions("gid", "ta", "tb")
+    lists = met.mapInArrow(prune, "members array<binary>").distinct()
+    return cut_lineage(lists.select(F.unhex(F.md5(F.array_join(F.transform("members", F.hex), ""))).alias("cid"), "members"))
+
+
+def linked_sets(docs: DataFrame, sets: DataFrame, words: int = 3, percent: int = 90, most: int = 128) -> DataFrame:
     """(a, b) fingerprints of linked sets, enough to span every component of the link graph."""
-    kinds = sets.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "row_key")).alias("one"), F.first("n").alias("n"))
-    kinds = kinds.select("fp", "one.*", "n")
-    clusters = components(candidate_edges(docs, words, percent))
-    node = F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long")
-    roots = clusters.union(clusters.select("root", "root").distinct())
-    cand = cut_lineage(kinds.withColumn("node", node).join(roots, "node").drop("node"))
-    counts = cand.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("k"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    cand = cand.join(counts.drop("size"), "root").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
+    kinds = sets.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "row_key")).alias("one"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    kinds = cut_lineage(kinds.select("fp", "one.*", "n", "bits"))
+    clusters = surviving_clusters(routed_groups(docs, kinds, words, percent, most), kinds, percent)
 
     def fetch(batches):
+        last = None
         for batch in batches:
             keep, grams = [], []
             for i, (one, fp) in enumerate(zip(sets_of(batch.column("text"), words), batch.column("fp").to_pylist(), strict=True)):
-                if fingerprint(one) == fp:
+                if last != fp and fingerprint(one) == fp:
                     keep.append(i)
                     grams.append(one.tobytes())
+                    last = fp
             out = batch.drop_columns(["text"]).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(grams, pa.binary())], names=[*out.schema.names, "grams"])
 
-    texts = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text").alias("d")
-    met = texts.join(cand.alias("c"), F.expr("d.row_key = c.row_key AND d.doc_id <=> c.doc_id")).select("c.root", "c.fp", "c.n", "c.k", "c.chunk", "d.text")
-    met = met.mapInArrow(fetch, "root long, fp binary, n long, k int, chunk int, grams binary")
-    tiles = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("root", F.least("chunk", "other").alias("ta"), F.greatest("chunk", "other").alias("tb"), "fp", "n", "chunk", "grams")
+    members = clusters.select(F.explode("members").alias("fp")).distinct()
+    wanted = kinds.join(members, "fp", "left_semi").select("doc_id", "row_key", "fp", "n", "bits")
+    whole = cut_lineage(_texts(docs, wanted).mapInArrow(fetch, "fp binary, n long, bits binary, grams binary"))
 
-    def compare(batches):
-        for tile in keyed(batches, ["root", "ta", "tb"]):
-            if tile.num_rows > 1 and (links := tile_links(tile, percent)):
-                fp = tile["fp"].to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([fp[i] for i, _ in links], pa.binary()), pa.array([fp[j] for _, j in links], pa.binary())], names=["a", "b"])
+    # Every member against the first of its cluster; a hub with many members is dealt to several tasks.
+    hub = F.get("members", 0)
+    stars = clusters.select(hub.alias("hub"), F.explode(F.slice("members", 2, F.size("members"))).alias("fp")).distinct()
+    stars = stars.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(64)).cast("int"))
+    spokes = stars.select("hub", "part", "fp").unionAll(stars.select("hub", "part", F.col("hub").alias("fp")).distinct())
+    spokes = spokes.join(whole.select("fp", "n", "grams"), "fp").withColumn("first", F.col("fp") != F.col("hub"))
+
+    def star(batches):
+        last, one = None, None
+        for batch in batches:
+            a, b = [], []
+            for hub, part, fp, raw in zip(*(batch.column(c).to_pylist() for c in ("hub", "part", "fp", "grams")), strict=True):
+                if fp == hub:
+                    last, one = (hub, part), np.frombuffer(raw, np.uint64)
+                elif last == (hub, part):
+                    other = np.frombuffer(raw, np.uint64)
+                    shared = _overlap(one, other)
+                    if 100 * shared >= percent * (len(one) + len(other) - shared):
+                        a.append(hub)
+                        b.append(fp)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    dealt = spokes.select("hub", "part", "first", "fp", "grams").repartition("hub", "part").sortWithinPartitions("hub", "part", "first")
+    links = cut_lineage(dealt.mapInArrow(star, "a binary, b binary"))
+
+    # Clusters that the stars leave in several components: their members of different components, pair by pair.
+    roots = components(links)
+    named = clusters.select("cid", F.explode("members").alias("fp")).join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    open_ = named.groupBy("cid").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("cid")
+    rest = named.join(open_, "cid").join(whole, "fp").select("cid", "root", "fp", "n", "bits", "grams")
 
-    return tiles.repartition("root", "ta", "tb").sortWithinPartitions("root", "ta", "tb").mapInArrow(compare, "a binary, b binary")
+    def compare(batches):
+        for tile in keyed(batches, ["cid"]):
+            sizes, fp, root, raw = np.asarray(tile["n"]), tile["fp"].to_pylist(), tile["root"].to_pylist(), tile["grams"].to_pylist()
+            forest, heads, found = Forest(len(fp)), {}, []
+            for i, r in enumerate(root):
+                forest.join(i, heads.setdefault(r, i))
+            for i, j in zip(*(x.tolist() for x in candidate_pairs(sizes, tile["bits"].to_pylist(), sizes, False, percent)), strict=True):
+                if forest.root(i) != forest.root(j):
+                    a, b = np.frombuffer(raw[i], np.uint64), np.frombuffer(raw[j], np.uint64)
+                    shared = _overlap(a, b)
+                    if 100 * shared >= percent * (len(a) + len(b) - shared):
+                        forest.join(i, j)
+                        found.append((fp[i], fp[j]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    more = rest.repartition("cid").sortWithinPartitions("cid").mapInArrow(compare, "a binary, b binary")
+    return links.unionAll(more)
 
 
 def ngram_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, row_key, n, root, component_id; root is NULL for empty sets."""
     sets = cut_lineage(shingle_sets(docs, words))
     roots = cut_lineage(components(linked_sets(docs, sets, words, percent)))
+    sets = sets.drop("bits")
     classes = sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     grouped = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -319,16 +477,27 @@ def ngram_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Data
     return ngram_groups(docs, words, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+def _fresh(name: str, columns: list[str]) -> str:
+    """A column name that no column has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def one_of_each(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """The rows of `docs` with the smallest doc_id of each group of linked texts, with all their columns.
 
-    Of rows with that id the one whose text hashes least stays, of rows equal in id and text one. Texts without words
-    belong to no group and stay.
+    Of rows with that id the one whose text hashes least stays, of rows equal in id and text one, whichever. Texts
+    without words belong to no group and stay. Rows are told apart by 128 bits of their id and text.
     """
     groups = ngram_groups(docs, words, percent)
-    key = F.xxhash64("doc_id", "row_key")
     first = groups.where("n > 0").groupBy("root").agg(F.min(F.struct("doc_id", "row_key")).alias("one")).select("one.*")
-    keep = cut_lineage(first.union(groups.where("n = 0").select("doc_id", "row_key").distinct()).select(key.alias("key_")))
-    marked = docs.withColumn("key_", F.xxhash64("doc_id", F.xxhash64("text"))).join(keep, "key_")
-    numbered = marked.withColumn("n_", F.row_number().over(Window.partitionBy("key_").orderBy("key_")))
-    return numbered.where("n_ = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = cut_lineage(first.union(groups.where("n = 0").select("doc_id", "row_key")).distinct())
+    name = _fresh("row", docs.columns)
+    text = F.coalesce(F.md5("text"), F.lit("none"))
+    print_ = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(":"), text)))
+    marked = docs.withColumn(name, F.struct("doc_id", F.xxhash64("text").alias("row_key"), print_.alias("print"))).alias("d")
+    match = F.expr(f"d.`{name}`.row_key = k.row_key AND d.`{name}`.doc_id <=> k.doc_id")
+    kept = marked.join(keep.alias("k"), match, "left_semi").withColumn(name, F.col(f"`{name}`.print"))
+    return kept.dropDuplicates([name]).select(*[F.col(f"`{c}`") for c in docs.columns])
