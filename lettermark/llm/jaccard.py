@@ -2,13 +2,14 @@
 
 1. `shingle_sets` gives each document the size, a 128-bit fingerprint and a token bitmap of its set; equal sets become one.
 2. `routed_groups`: sets are banded by size and cut by hash range into more parts than two linked sets of the band can
-   differ in, so linked sets share whole parts. Sets that share a part form a group. A group that is too large is dealt
-   anew by pairs of shared parts (linked sets share at least two), and what is still too large is cut into tiles.
+   differ in, so linked sets share whole parts. Sets that share a part form a group. In a large group every member is
+   first compared with one of them; where that leaves one component nothing is left to do. Of the others the largest
+   are dealt anew by pairs of shared parts (linked sets share at least two) and then, if need be, cut into tiles.
 3. `surviving_clusters` builds a signature tree over each group (OR-combined bitmaps and size ranges) and walks pairs of
    nodes, leaving those whose largest possible overlap is too small. Groups that differ only in what falls away here
    leave the same clusters, which count once.
-4. `linked_sets` compares whole sets: first every member of a cluster with the first one, then, in clusters where that
-   leaves several components, the members of different components by the tree again. Nothing is compared across groups.
+4. `linked_sets` compares whole sets: first every member of a cluster with the first one, then the pairs of members that
+   still lie in different components and that the tree leaves. Nothing is compared across groups.
 
 Empty tables give empty results, NULL and wordless texts have an empty set and link with nothing. Rows may repeat ids or
 texts, and ids may be NULL: the component of a row is the smallest id of any row whose set is reachable from its own.
@@ -31,6 +32,8 @@ from lettermark.session import cut_lineage
 
 #: Bits of a bitmap for each n-gram of its set, the most bits, members of a leaf, children of an inner node.
 BITS_EACH, MOST_BITS, LEAF, FANOUT = 4, 1 << 18, 8, 4
+#: Members of a group that are compared by its tree at once; larger groups are compared with one of their members first.
+FEW = 16
 #: Sets whose copies a task recognises, so that it routes them once.
 RECENT = 100_000
 
@@ -195,8 +198,16 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(wanted.hint("merge").alias("w"), F.expr("d.row_key = w.row_key AND d.doc_id <=> w.doc_id")).select(*columns, "d.text")
 
 
-def routed_groups(docs: DataFrame, kinds: DataFrame, words: int, percent: int, most: int) -> DataFrame:
-    """(gid, ta, tb, node, chunk): groups of sets such that any two linked sets meet in one.
+def _open(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows (key, node) of large groups whose members lie in several components of `roots` (node, root)."""
+    named = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.hex("node")))
+    keys = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
+    return cut_lineage(large.join(keys.where("low != high").select("key", "size"), "key"))
+
+
+def routed_groups(docs: DataFrame, kinds: DataFrame, words: int, percent: int, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """(groups, links): groups (gid, ta, tb, node, chunk) of sets such that any two linked sets meet in one or are
+    connected by the links (a, b) found on the way, if any.
 
     A group has one tile (0, 0) with all members, or more where it exceeds `most` members even by two shared parts:
     then each pair of its chunks is a tile.
@@ -223,11 +234,22 @@ def routed_groups(docs: DataFrame, kinds: DataFrame, words: int, percent: int, m
             if total:
                 yield _entries(keys, nodes)
 
-    groups = _grouped(docs.select("text").mapInArrow(route, "key long, node long"), most)
-    found = groups.where("NOT hot").select("members")
-    hot = cut_lineage(groups.where("hot").select("key", F.explode("members").alias("node")).distinct().groupBy("node").agg(F.collect_list("key").alias("keys")))
-    large = None
-    if not hot.isEmpty():
+    groups = _grouped(docs.select("text").mapInArrow(route, "key long, node long"), FEW)
+    found, links, tiles = groups.where("NOT hot").select("members"), None, None
+    large = cut_lineage(groups.where("hot").select("key", F.explode("members").alias("node")).distinct())
+    if not large.isEmpty():
+        named = kinds.select("fp", short("fp").alias("node"))
+        rows = large.join(named, "node").select("key", "fp")
+        stars = rows.join(rows.groupBy("key").agg(F.min("fp").alias("hub")), "key").where("fp != hub").select("hub", "fp").distinct()
+        near = cut_lineage(_compared(stars, kinds.select("fp", "n", "bits"), percent))
+        sets = whole_sets(docs, kinds, near.select(F.col("a").alias("fp")).union(near.select("b")), words)
+        links = cut_lineage(_compared(near.toDF("hub", "fp"), sets.select("fp", "n", "grams"), percent))
+        roots = cut_lineage(components(links).select(short("node").alias("node"), F.hex("root").alias("root")))
+        roots = roots.unionAll(roots.select(F.conv(F.substring("root", 1, 16), 16, -10).cast("long").alias("node"), "root").distinct())
+        large = _open(large, roots)
+        fits = F.col("size") <= most
+        found = found.unionAll(large.where(fits).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("members")).select("members"))
+        hot = large.where(~fits).groupBy("node").agg(F.collect_list("key").alias("keys"))
 
         def refine(batches):
             scheme, last = Scheme(percent), None
@@ -251,16 +273,17 @@ def routed_groups(docs: DataFrame, kinds: DataFrame, words: int, percent: int, m
         place = kinds.select("doc_id", "row_key", "fp", short("fp").alias("node")).join(hot, "node").select("doc_id", "row_key", "fp", "keys")
         again = _grouped(_texts(docs, place).mapInArrow(refine, "key long, node long"), most)
         found = found.unionAll(again.where("NOT hot").select("members"))
-        large = again.where("hot").select(F.col("key").alias("gid"), F.explode("members").alias("node")).distinct()
+        tiles = _open(again.where("hot").select("key", F.explode("members").alias("node")).distinct(), roots)
     found = found.distinct().withColumn("gid", F.xxhash64("members"))
     zero = F.lit(0).alias
     small = found.select("gid", zero("ta"), zero("tb"), F.explode("members").alias("node"), zero("chunk"))
-    if large is None:
-        return small
-    sizes = large.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("k"))
-    dealt = large.join(sizes, "gid").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    return small.unionAll(tiles.select("gid", F.least("chunk", "other").alias("ta"), F.greatest("chunk", "other").alias("tb"), "node", "chunk"))
+    if tiles is None:
+        return small, links
+    dealt = tiles.withColumn("k", F.ceil(F.col("size") / most).cast("int"))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select(F.col("key").alias("gid"), F.least("chunk", "other").alias("ta"), F.greatest("chunk", "other").alias("tb"), "node", "chunk")
+    return small.unionAll(dealt), links
 
 
 def folded(bitmaps: list[bytes], width: int | None = None) -> np.ndarray:
@@ -312,6 +335,11 @@ def surviving_pairs(one: SignatureTree, two: SignatureTree, percent: int) -> tup
         most = np.minimum(np.minimum(ha[p], hb[q]), common + np.minimum(xa[p], xb[q]))
         fits = (100 + percent) * most >= percent * (la[p] + lb[q])
         p, q = p[fits], q[fits]
+        if i == j == 0 and len(p):
+            # Each bit that only one of two sets has stands for an n-gram that only one of them has.
+            alone = np.bitwise_count(ma[p] ^ mb[q]).sum(1).astype(np.int64)
+            fits = (100 + percent) * (la[p] + lb[q] - alone) >= 2 * percent * (la[p] + lb[q])
+            p, q = p[fits], q[fits]
         if i == j == 0 or not len(p):
             return p, q
         if i >= j:
@@ -344,30 +372,84 @@ def candidate_pairs(sizes: np.ndarray, bitmaps: list[bytes], side: np.ndarray, m
     return a[p], b[q]
 
 
-def _pair_fits(sizes: list[int], bitmaps: list[bytes], percent: int) -> bool:
-    """The tree's test for two sets alone."""
-    (m, n), (a, b) = sizes, bitmaps
+def _pair_fits(m: int, n: int, a: bytes, b: bytes, percent: int) -> bool:
+    """The tree's tests for two sets alone."""
     if len(a) != len(b):
         a, b = (r.tobytes() for r in folded([a, b]))
     x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
     most = min(m, n, (x & y).bit_count() + min(m - x.bit_count(), n - y.bit_count()))
-    return (100 + percent) * most >= percent * (m + n)
+    return (100 + percent) * min(2 * most, m + n - (x ^ y).bit_count()) >= 2 * percent * (m + n)
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs (hub, fp) that link, by whole sets (fp, n, grams), or that may link, by bitmaps (fp, n, bits).
+
+    The partners of a hub are dealt to several tasks, each with the hub's own row first.
+    """
+    column = sets.columns[2]
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(64)).cast("int"))
+    rows = dealt.select("hub", "part", "fp").unionAll(dealt.select("hub", "part", F.col("hub").alias("fp")).distinct())
+    rows = rows.join(sets, "fp").select("hub", "part", (F.col("fp") != F.col("hub")).alias("later"), "fp", "n", column)
+
+    def test(batches):
+        last, size, one = None, 0, b""
+        for batch in batches:
+            a, b = [], []
+            for hub, part, fp, n, raw in zip(*(batch.column(c).to_pylist() for c in ("hub", "part", "fp", "n", column)), strict=True):
+                if fp == hub:
+                    last, size, one = (hub, part), n, raw
+                elif last == (hub, part):
+                    if column == "bits":
+                        fits = _pair_fits(size, n, one, raw, percent)
+                    else:
+                        shared = _overlap(np.frombuffer(one, np.uint64), np.frombuffer(raw, np.uint64))
+                        fits = 100 * shared >= percent * (size + n - shared)
+                    if fits:
+                        a.append(hub)
+                        b.append(fp)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "later").mapInArrow(test, "a binary, b binary")
+
+
+def whole_sets(docs: DataFrame, kinds: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(fp, n, bits, grams) of the wanted fingerprints (fp), as a written table."""
+
+    def fetch(batches):
+        last = None
+        for batch in batches:
+            keep, grams = [], []
+            for i, (one, fp) in enumerate(zip(sets_of(batch.column("text"), words), batch.column("fp").to_pylist(), strict=True)):
+                if last != fp and fingerprint(one) == fp:
+                    keep.append(i)
+                    grams.append(one.tobytes())
+                    last = fp
+            out = batch.drop_columns(["text"]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(grams, pa.binary())], names=[*out.schema.names, "grams"])
+
+    rows = kinds.join(wanted.distinct(), "fp", "left_semi").select("doc_id", "row_key", "fp", "n", "bits")
+    return cut_lineage(_texts(docs, rows).mapInArrow(fetch, "fp binary, n long, bits binary, grams binary"))
 
 
-def surviving_clusters(groups: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
-    """(cid, members): sets joined by pairs that the trees of their tile leave, each list of members once."""
+def surviving_clusters(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(cid, members): sets of different components joined by pairs that the trees leave, each list of members once.
+
+    `nodes` (node, fp, n, bits, root) describes the sets.
+    """
 
     def prune(batches):
         for tile in keyed(batches, ["gid", "ta", "tb"]):
-            if tile.num_rows < 2:
+            fp, bits, root, sizes = (tile[c].to_pylist() for c in ("fp", "bits", "root", "n"))
+            if len(set(root)) < 2:
                 continue
-            fp, bits, mixed = tile["fp"].to_pylist(), tile["bits"].to_pylist(), tile["ta"][0].as_py() != tile["tb"][0].as_py()
-            if tile.num_rows == 2 and not mixed:
-                out = [sorted(fp)] if fp[0] != fp[1] and _pair_fits(tile["n"].to_pylist(), bits, percent) else []
+            mixed = tile["ta"][0].as_py() != tile["tb"][0].as_py()
+            if len(fp) == 2 and not mixed:
+                out = [sorted(fp)] if _pair_fits(*sizes, *bits, percent) else []
             else:
                 forest = Forest(len(fp))
                 for i, j in zip(*(x.tolist() for x in candidate_pairs(np.asarray(tile["n"]), bits, np.asarray(tile["chunk"]), mixed, percent)), strict=True):
-                    forest.join(i, j)
+                    if root[i] != root[j]:
+                        forest.join(i, j)
                 lists: dict[int, set] = {}
                 for i in range(len(fp)):
                     lists.setdefault(forest.root(i), set()).add(fp[i])
@@ -375,8 +457,7 @@ def surviving_clusters(groups: DataFrame, kinds: DataFrame, percent: int) -> Dat
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.binary()))], names=["members"])
 
-    nodes = kinds.select(short("fp").alias("node"), "fp", "n", "bits")
-    met = groups.join(nodes, "node").select("gid", "ta", "tb", "chunk", "fp", "n", "bits")
+    met = groups.join(nodes, "node").select("gid", "ta", "tb", "chunk", "fp", "n", "bits", "root")
     met = met.repartition("gid", "ta", "tb").sortWithinPartitions("gid", "ta", "tb")
     lists = met.mapInArrow(prune, "members array<binary>").distinct()
     return cut_lineage(lists.select(F.unhex(F.md5(F.array_join(F.transform("members", F.hex), ""))).alias("cid"), "members"))
@@ -386,73 +467,37 @@ def linked_sets(docs: DataFrame, sets: DataFrame, words: int = 3, percent: int =
     """(a, b) fingerprints of linked sets, enough to span every component of the link graph."""
     kinds = sets.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "row_key")).alias("one"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     kinds = cut_lineage(kinds.select("fp", "one.*", "n", "bits"))
-    clusters = surviving_clusters(routed_groups(docs, kinds, words, percent, most), kinds, percent)
-
-    def fetch(batches):
-        last = None
-        for batch in batches:
-            keep, grams = [], []
-            for i, (one, fp) in enumerate(zip(sets_of(batch.column("text"), words), batch.column("fp").to_pylist(), strict=True)):
-                if last != fp and fingerprint(one) == fp:
-                    keep.append(i)
-                    grams.append(one.tobytes())
-                    last = fp
-            out = batch.drop_columns(["text"]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(grams, pa.binary())], names=[*out.schema.names, "grams"])
-
-    members = clusters.select(F.explode("members").alias("fp")).distinct()
-    wanted = kinds.join(members, "fp", "left_semi").select("doc_id", "row_key", "fp", "n", "bits")
-    whole = cut_lineage(_texts(docs, wanted).mapInArrow(fetch, "fp binary, n long, bits binary, grams binary"))
-
-    # Every member against the first of its cluster; a hub with many members is dealt to several tasks.
-    hub = F.get("members", 0)
-    stars = clusters.select(hub.alias("hub"), F.explode(F.slice("members", 2, F.size("members"))).alias("fp")).distinct()
-    stars = stars.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(64)).cast("int"))
-    spokes = stars.select("hub", "part", "fp").unionAll(stars.select("hub", "part", F.col("hub").alias("fp")).distinct())
-    spokes = spokes.join(whole.select("fp", "n", "grams"), "fp").withColumn("first", F.col("fp") != F.col("hub"))
-
-    def star(batches):
-        last, one = None, None
-        for batch in batches:
-            a, b = [], []
-            for hub, part, fp, raw in zip(*(batch.column(c).to_pylist() for c in ("hub", "part", "fp", "grams")), strict=True):
-                if fp == hub:
-                    last, one = (hub, part), np.frombuffer(raw, np.uint64)
-                elif last == (hub, part):
-                    other = np.frombuffer(raw, np.uint64)
-                    shared = _overlap(one, other)
-                    if 100 * shared >= percent * (len(one) + len(other) - shared):
-                        a.append(hub)
-                        b.append(fp)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    dealt = spokes.select("hub", "part", "first", "fp", "grams").repartition("hub", "part").sortWithinPartitions("hub", "part", "first")
-    links = cut_lineage(dealt.mapInArrow(star, "a binary, b binary"))
-
-    # Clusters that the stars leave in several components: their members of different components, pair by pair.
-    roots = components(links)
-    named = clusters.select("cid", F.explode("members").alias("fp")).join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    groups, links = routed_groups(docs, kinds, words, percent, most)
+
+    def rooted(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+        """`rows` (fp, ...) with the component that the links give them."""
+        if links is None:
+            return rows.withColumn("root", F.col("fp"))
+        return rows.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+    nodes = rooted(kinds.select(short("fp").alias("node"), "fp", "n", "bits"), links)
+    clusters = surviving_clusters(groups, nodes, percent)
+    whole = whole_sets(docs, kinds, clusters.select(F.explode("members").alias("fp")), words)
+    exact = whole.select("fp", "n", "grams")
+    stars = clusters.select(F.get("members", 0).alias("hub"), F.explode(F.slice("members", 2, F.size("members"))).alias("fp")).distinct()
+    more = _compared(stars, exact, percent)
+    links = cut_lineage(more if links is None else links.unionAll(more))
+
+    # Clusters whose members still lie in several components: the pairs between these that the tree leaves.
+    named = clusters.select("cid", F.explode("members").alias("fp")).join(cut_lineage(rooted(whole.select("fp", "n", "bits"), links)), "fp")
     open_ = named.groupBy("cid").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("cid")
-    rest = named.join(open_, "cid").join(whole, "fp").select("cid", "root", "fp", "n", "bits", "grams")
 
-    def compare(batches):
+    def across(batches):
         for tile in keyed(batches, ["cid"]):
-            sizes, fp, root, raw = np.asarray(tile["n"]), tile["fp"].to_pylist(), tile["root"].to_pylist(), tile["grams"].to_pylist()
-            forest, heads, found = Forest(len(fp)), {}, []
-            for i, r in enumerate(root):
-                forest.join(i, heads.setdefault(r, i))
-            for i, j in zip(*(x.tolist() for x in candidate_pairs(sizes, tile["bits"].to_pylist(), sizes, False, percent)), strict=True):
-                if forest.root(i) != forest.root(j):
-                    a, b = np.frombuffer(raw[i], np.uint64), np.frombuffer(raw[j], np.uint64)
-                    shared = _overlap(a, b)
-                    if 100 * shared >= percent * (len(a) + len(b) - shared):
-                        forest.join(i, j)
-                        found.append((fp[i], fp[j]))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], names=["a", "b"])
-
-    more = rest.repartition("cid").sortWithinPartitions("cid").mapInArrow(compare, "a binary, b binary")
-    return links.unionAll(more)
+            sizes, fp, root = np.asarray(tile["n"]), tile["fp"].to_pylist(), tile["root"].to_pylist()
+            pairs = zip(*(x.tolist() for x in candidate_pairs(sizes, tile["bits"].to_pylist(), sizes, False, percent)), strict=True)
+            rows = [sorted((fp[i], fp[j])) for i, j in pairs if root[i] != root[j]]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], names=["hub", "fp"])
+
+    rest = named.join(open_, "cid").select("cid", "fp", "n", "bits", "root").repartition("cid").sortWithinPartitions("cid")
+    pairs = rest.mapInArrow(across, "hub binary, fp binary").distinct()
+    return links.unionAll(_compared(pairs.join(stars, ["hub", "fp"], "left_anti"), exact, percent))
 
 
 def ngram_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
