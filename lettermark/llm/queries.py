@@ -22,7 +22,14 @@ from lettermark.llm.warc import archive_pages
 from lettermark.session import cut_lineage
 
 
+#: Rows of an Arrow batch, where the session does not set them: long texts then take little memory of a worker.
+BATCH_ROWS = 2_000
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":  # Spark's own value
+        spark.conf.set(setting, BATCH_ROWS)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
