@@ -74,17 +74,18 @@ def test_logit_and_effects(spark):
     df = spark.createDataFrame(rows, "venue string, a int, x double, treat int")
     model = models.fit_logit(df, ["venue"], "treat", ["a", "x"])
     effects = {r.venue: r for r in models.marginal_effects(df, {"a": "a"}, ["x"]).collect()}
-    for fit in model.fits:
-        mine = np.array([[1, r[1], r[2]] for r in rows if r[0] == fit.group[0]], dtype=float)
-        y = np.array([r[3] for r in rows if r[0] == fit.group[0]], dtype=float)
+    fits = model.table.collect()
+    assert len(fits) == 2
+    for fit in fits:
+        mine = np.array([[1, r[1], r[2]] for r in rows if r[0] == fit.venue], dtype=float)
+        y = np.array([r[3] for r in rows if r[0] == fit.venue], dtype=float)
         b, cov = irls(mine, y)
         assert fit.beta == pytest.approx(b, abs=1e-5)
-        assert fit.covariance == pytest.approx(cov, rel=1e-3, abs=1e-6)
         on, off = mine.copy(), mine.copy()
         on[:, 1], off[:, 1] = 1, 0
         s = lambda m: 1 / (1 + np.exp(-m @ b))
         grad = (on * (s(on) * (1 - s(on)))[:, None] - off * (s(off) * (1 - s(off)))[:, None]).mean(axis=0)
-        got = effects[fit.group[0]]
+        got = effects[fit.venue]
         assert got.ame == pytest.approx((s(on) - s(off)).mean(), abs=1e-5)
         assert got.se == pytest.approx(math.sqrt(grad @ cov @ grad), rel=1e-3)
 
@@ -105,7 +106,38 @@ def test_fits_tell_unsettled_and_single_armed_groups(spark):
     )
     assert {tuple(r) for r in got.collect()} == {("mixed", 60, 60, True), ("apart", 20, 20, False), ("one", 5, 0, None)}
     cut = models.fit_logit(df.filter("venue = 'mixed'"), ["venue"], "treat", ["x"], max_iter=0)
-    assert [f.converged for f in cut.fits] == [False]
+    assert [r.converged for r in cut.table.collect()] == [False]
+
+
+def test_inverse_of_regular_and_singular_matrices(spark):
+    r = np.random.default_rng(2)
+    for k in (1, 2, 5, 24):
+        x = r.normal(size=(60, k))
+        h = x.T @ x
+        got = spark.range(1).select(models.inverse(F.array(*[F.lit(float(v)) for v in h.ravel()]), k)).first()[0]
+        assert np.allclose(np.array(got).reshape(k, k) @ h, np.eye(k), atol=1e-8)
+    h = [[2.0, 0.0, 4.0], [0.0, 0.0, 0.0], [4.0, 0.0, 8.0]]  # a constant, and a column twice another
+    got = spark.range(1).select(models.inverse(F.array(*[F.lit(v) for row in h for v in row]), 3)).first()[0]
+    assert np.array(got).reshape(3, 3) == pytest.approx(np.diag([0.5, 0.0, 0.0]))
+
+
+def test_repeated_features_do_not_change_the_probabilities(spark):
+    rows = sample()
+    df = spark.createDataFrame(rows, "venue string, a int, x double, treat int").withColumns({"twice": 2 * F.col("x"), "flat": F.lit(3.0)})
+    for groups in ([], ["venue"]):
+        one = {tuple(r[c] for c in ("venue", "a", "x")): r.distance for r in models.propensity(df, groups, ["x", "a"]).collect()}
+        two = {tuple(r[c] for c in ("venue", "a", "x")): r.distance for r in models.propensity(df, groups, ["flat", "x", "twice", "a"]).collect()}
+        assert one == pytest.approx(two, abs=1e-7)
+
+
+def test_very_many_groups_fit(spark):
+    df = spark.range(20_000 * 8).select(
+        (F.col("id") % 20_000).alias("g"), F.floor(F.col("id") / 20_000).cast("double").alias("x"),
+        ((F.col("id") * 7919 + F.floor(F.col("id") / 20_000) * 31) % 5 < 2).cast("int").alias("treat"),
+    )
+    fits = models.fit_logit(df, ["g"], "treat", ["x"]).table
+    got = fits.agg(F.count(F.lit(1)), F.count("beta"), F.count_if("converged")).first()
+    assert got[0] == 20_000 and got[1] > 15_000 and got[2] > 10_000
 
 
 def test_a_second_row_without_keys_is_an_error(spark):
