@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 
+from lettermark.plans.workbench import AUTHOR_CELL, AUTHOR_GRID, DELAYS, PAPER_CELL, PAPER_GRID
 from lettermark.sources.adapters import ADAPTERS, TABLES, VENUES
 
 PARTS: dict[str, str] = {}
@@ -526,7 +527,7 @@ SELECT id, venue, type, treat, {r6('impact_norm')} AS impact, 'first' AS authors
        CASE WHEN n <= 0 THEN NULL WHEN n <= 1 THEN '(0,1]' WHEN n <= 5 THEN '(1,5]' WHEN n <= 20 THEN '(5,20]' END AS team,
        year - min(year) OVER () AS year_offset
 FROM j""")
-query("author_events", f"""
+EVENTS = f"""
 WITH w AS (SELECT author_id, paper_id AS id FROM o_histories WHERE author_position = 'f'),
 t AS (SELECT w.author_id, l.venue, l.letter_year AS event_year, l.letter_year AS center_year, 1 AS treat
       FROM w JOIN treated_cohort l ON l.id = w.id WHERE l.letter_year BETWEEN {START} AND {END - 1}),
@@ -535,8 +536,9 @@ c AS (SELECT w.author_id, a.venue, e.event_year, CAST(a.year + 1 AS INT) AS cent
         ON a.venue = e.venue AND a.year BETWEEN e.event_year - 4 AND e.event_year + 4
       JOIN w ON w.id = a.id
       WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.author_id = w.author_id AND t.venue = e.venue AND t.event_year = e.event_year))
-SELECT * FROM t UNION ALL SELECT * FROM c""")
-part("o_features", """
+SELECT * FROM t UNION ALL SELECT * FROM c"""
+query("author_events", EVENTS)
+FEATURES = """
 WITH h AS (SELECT *, min(year) OVER (PARTITION BY author_id) AS start FROM o_histories),
 r AS (SELECT e.venue, e.event_year, e.author_id, e.treat, e.center_year - h.start AS career_age, h.author_position, h.num_authors,
         h.impact_3year_norm, h.field, CASE WHEN h.year <= e.center_year THEN 'before' ELSE 'after' END AS partition
@@ -563,7 +565,10 @@ n AS (SELECT *, CASE WHEN abs(mi - 1) > 1e-9 THEN ln(impact) / ln(mi) END AS imp
 k AS (SELECT * FROM n WHERE impact_norm IS NOT NULL AND frac_prod IS NOT NULL AND field IS NOT NULL)
 SELECT venue, event_year, author_id, treat, partition, total_prod, career_age, lead_prod, frac_prod, impact, impact_raw, field,
        impact_norm, prod_norm, lead_prod_norm
-FROM (SELECT *, count(DISTINCT partition) OVER (PARTITION BY venue, event_year, author_id) AS parts FROM k) WHERE parts = 2""")
+FROM (SELECT *, count(DISTINCT partition) OVER (PARTITION BY venue, event_year, author_id) AS parts FROM k) WHERE parts = 2"""
+part("o_features", FEATURES)
+part("o_events_l", EVENTS.replace("author_position = 'f'", "author_position = 'l'"))
+part("o_features_l", FEATURES.replace("author_events e", "o_events_l e"))
 FEATS = ", ".join(f"{r6(c)} AS {c}" for c in ("lead_prod", "frac_prod", "impact", "impact_raw", "impact_norm", "prod_norm", "lead_prod_norm"))
 query("career_features", f"""
 SELECT venue, event_year, author_id, treat, partition, total_prod, career_age, field, {FEATS} FROM o_features""")
@@ -580,7 +585,9 @@ SELECT id, arg_min(f, md5(concat_ws('|', '0', id, f))) AS field, count(*) > 1 AS
 FROM (SELECT DISTINCT id, field_level0 AS f FROM rollup_fields) GROUP BY id""")
 LAG_CASE = lambda off: "CASE greatest(lag, 1) " + " ".join(f"WHEN {k} THEN impact_{k + off}year" for k in range(1, 7)) + " END"
 QUARTER = "concat('Q', CAST(floor((month - 1) / 3) + 1 AS INT))"
-part("o_prepared", f"""
+def prepared(delays: tuple[int, ...]) -> str:
+    after = "CASE delay " + " ".join(f"WHEN {d} THEN {LAG_CASE(d)}" for d in delays) + " END"
+    return f"""
 WITH a AS (
   SELECT original_id AS id, venue, original_year AS year, month, 'Treatment' AS type, lag, num_critical_letters AS own,
          {", ".join(f"impact_{k}year" for k in HORIZONS)} FROM treated_cohort WHERE lag BETWEEN 0 AND 6
@@ -588,12 +595,16 @@ WITH a AS (
   SELECT id, venue, year, month, 'Control', CAST(l AS INT), 0, {", ".join(f"impact_{k}year" for k in HORIZONS)}
   FROM control_cohort, range(0, 7) t(l)),
 b AS (SELECT id, venue, year, {QUARTER} AS quarter, type, CASE WHEN type = 'Treatment' THEN 1 ELSE 0 END AS treat,
-        {LAG_CASE(0)} - own AS impact_before, {LAG_CASE(3)} - own AS impact_after, lag, 3 AS delay
-      FROM a WHERE month IS NOT NULL AND year <= 2021 - 3),
+        {LAG_CASE(0)} - own AS impact_before, {after} - own AS impact_after, lag, delay
+      FROM a CROSS JOIN (VALUES {', '.join(f'({d})' for d in delays)}) v(delay) WHERE month IS NOT NULL AND year <= 2021 - delay),
 c AS (SELECT b.*, f.field, f.multifield FROM b JOIN o_one_field f ON f.id = b.id WHERE impact_before >= 5),
 s AS (SELECT *, avg(ln(impact_before)) OVER w AS m, sum(treat) OVER w AS t FROM c WINDOW w AS (PARTITION BY venue, delay, lag))
 SELECT id, venue, field, year, quarter, multifield, type, treat, impact_before, impact_after,
-       ln(impact_before) / nullif(m, 0) AS impact_norm, lag, delay FROM s WHERE t >= 1""")
+       ln(impact_before) / nullif(m, 0) AS impact_norm, lag, delay FROM s WHERE t >= 1"""
+
+
+part("o_prepared", prepared((3,)))
+part("o_prepared_grid", prepared(DELAYS))
 query("prepare_paper_match", f"SELECT * REPLACE ({r6('impact_norm')} AS impact_norm) FROM o_prepared")
 part("o_pooled", f"""
 WITH a AS (
@@ -605,24 +616,150 @@ SELECT id, venue, field, year, {QUARTER} AS quarter, multifield, type, treat, im
        ln(impact) / nullif(avg(ln(impact)) OVER (PARTITION BY venue), 0) AS impact_norm FROM b""")
 query("prepare_density_match", f"SELECT * REPLACE ({r6('impact_norm')} AS impact_norm) FROM o_pooled")
 
-part("o_pairs_all", """
-WITH b AS (SELECT *, CAST(floor(id / 40) AS BIGINT) AS subclass FROM o_prepared),
-f AS (SELECT *, row_number() OVER (PARTITION BY venue, delay, lag, subclass, treat ORDER BY id) AS k FROM b),
-g AS (SELECT * EXCLUDE (k), concat_ws('.', venue, delay, lag, subclass) AS match_group, impact_after / impact_before AS growth FROM f WHERE k = 1)
-SELECT *, count(*) OVER (PARTITION BY match_group) AS members FROM g""")
-query("match_groups", f"""
-SELECT * EXCLUDE (members) REPLACE ({r6('growth')} AS growth, {r6('impact_norm')} AS impact_norm) FROM o_pairs_all WHERE members > 1""")
-part("o_pairs", """
-SELECT * EXCLUDE (members) REPLACE (CASE WHEN venue LIKE 'PR-_' THEN 'Other APS' ELSE venue END AS venue)
-FROM o_pairs_all WHERE members > 1 AND venue <> 'Geology'""")
-part("o_author_pairs", """
-WITH b AS (SELECT *, CAST(floor(author_id / 60) AS BIGINT) AS subclass FROM o_features WHERE partition = 'before'),
-f AS (SELECT *, row_number() OVER (PARTITION BY venue, event_year, subclass, treat ORDER BY author_id, field) AS k FROM b),
-g AS (SELECT venue, event_year, author_id, field, concat_ws('.', venue, event_year, subclass) AS match_group FROM f WHERE k = 1),
-h AS (SELECT *, count(*) OVER (PARTITION BY match_group) AS members FROM g)
-SELECT o.* REPLACE (CASE WHEN o.venue LIKE 'PR-_' THEN 'Other APS' ELSE o.venue END AS venue), h.match_group
-FROM h JOIN o_features o ON o.venue = h.venue AND o.event_year = h.event_year AND o.author_id = h.author_id AND o.field = h.field
-WHERE h.members > 1 AND o.venue <> 'Geology'""")
+# --- logistic fits: Newton steps unrolled, one part a step --------------------------------------------------
+STEPS = 26
+part("o_index", "SELECT unnest(range(1, 100)) AS i")
+INVERSE = (
+    "list_reduce(list_prepend(h, list_transform(range(len(g)), lambda p: [CAST(p AS DOUBLE)])), lambda a, p: list_transform(a, lambda v, ij: "
+    "CASE WHEN a[CAST(p[1] AS INT) * len(g) + CAST(p[1] AS INT) + 1] <= 1e-10 * h[CAST(p[1] AS INT) * len(g) + CAST(p[1] AS INT) + 1] "
+    "OR h[CAST(p[1] AS INT) * len(g) + CAST(p[1] AS INT) + 1] <= 0 "
+    "THEN CASE WHEN (ij - 1) // len(g) = p[1] OR (ij - 1) % len(g) = p[1] THEN 0 ELSE v END "
+    "WHEN (ij - 1) // len(g) = p[1] AND (ij - 1) % len(g) = p[1] THEN 1 / a[CAST(p[1] AS INT) * len(g) + CAST(p[1] AS INT) + 1] "
+    "WHEN (ij - 1) // len(g) = p[1] THEN v / a[CAST(p[1] AS INT) * len(g) + CAST(p[1] AS INT) + 1] "
+    "WHEN (ij - 1) % len(g) = p[1] THEN -v / a[CAST(p[1] AS INT) * len(g) + CAST(p[1] AS INT) + 1] "
+    "ELSE v - a[(ij - 1) // len(g) * len(g) + CAST(p[1] AS INT) + 1] * a[CAST(p[1] AS INT) * len(g) + (ij - 1) % len(g) + 1] "
+    "/ a[CAST(p[1] AS INT) * len(g) + CAST(p[1] AS INT) + 1] END))"
+)
+
+
+def logit(name: str, src: str, group: str, label: str, features: list[str], more: str = "[]::DOUBLE[]", known: str = "true") -> None:
+    """Parts up to `<name>_beta`: grp, b0, b (slopes), n, m, s, gamma, inv, dev, null_dev, ok."""
+    x = f"list_concat([{', '.join(f'CAST({f} AS DOUBLE)' for f in features)}], {more})"
+    part(f"{name}_c", f"""
+SELECT {group} AS grp, CAST({label} AS DOUBLE) AS y, {x} AS x, CAST(count(*) AS DOUBLE) AS n FROM {src} WHERE {known} GROUP BY ALL""")
+    part(f"{name}_s", f"""
+WITH u AS (SELECT grp, n, i, x[i] AS v FROM {name}_c CROSS JOIN o_index WHERE i <= len(x)),
+m AS (SELECT grp, i, sum(n * v) / sum(n) AS m, sum(n * v * v) / sum(n) AS q FROM u GROUP BY grp, i),
+a AS (SELECT grp, list(m ORDER BY i) AS m, list(CASE WHEN q - m * m > 1e-18 THEN 1 / sqrt(q - m * m) ELSE 0 END ORDER BY i) AS s FROM m GROUP BY grp),
+b AS (SELECT grp, sum(n) AS n, sum(n * y) / sum(n) AS share FROM {name}_c GROUP BY grp)
+SELECT a.grp, b.n, a.m, a.s, b.share, -2 * b.n * (share * ln(share) + (1 - share) * ln(1 - share)) AS null_dev
+FROM a JOIN b ON a.grp = b.grp WHERE share > 0 AND share < 1""")
+    part(f"{name}_z", f"""
+SELECT c.grp, c.y, c.n, list_prepend(1::DOUBLE, list_transform(c.x, lambda v, i: (v - s.m[i]) * s.s[i])) AS z FROM {name}_c c JOIN {name}_s s ON s.grp = c.grp""")
+    part(f"{name}_0", f"""
+SELECT grp, null_dev, list_prepend(ln(share / (1 - share)), list_transform(m, lambda v: 0::DOUBLE)) AS gamma, 'inf'::DOUBLE AS dev, false AS done,
+  NULL::DOUBLE[] AS inv, false AS ok FROM {name}_s""")
+    for k in range(STEPS):
+        part(f"{name}_{k + 1}", f"""
+WITH p AS (SELECT z.grp, z.y, z.n, z.z, 1 / (1 + exp(-greatest(least(list_inner_product(t.gamma, z.z), 35), -35))) AS mu
+  FROM {name}_z z JOIN {name}_{k} t ON t.grp = z.grp WHERE NOT t.done),
+d AS (SELECT grp, -2 * sum(n * ln(CASE WHEN y > 0.5 THEN mu ELSE 1 - mu END)) AS dev FROM p GROUP BY grp),
+g AS (SELECT grp, list(v ORDER BY i) AS g FROM (SELECT grp, i, sum(n * (y - mu) * z[i]) AS v FROM p CROSS JOIN o_index WHERE i <= len(z) GROUP BY grp, i) GROUP BY grp),
+h AS (SELECT grp, list(v ORDER BY i, j) AS h FROM (SELECT grp, a.i, b.i AS j, sum(n * mu * (1 - mu) * z[a.i] * z[b.i]) AS v
+  FROM p CROSS JOIN o_index a CROSS JOIN o_index b WHERE a.i <= len(z) AND b.i <= len(z) GROUP BY grp, a.i, b.i) GROUP BY grp),
+e AS (SELECT d.grp, d.dev, g.g, {INVERSE} AS inv FROM d JOIN g ON g.grp = d.grp JOIN h ON h.grp = d.grp),
+f AS (SELECT t.*, e.g, e.inv AS now, e.dev AS fresh, e.dev < 1e-6 * t.null_dev AS apart,
+  e.dev < 1e-6 * t.null_dev OR abs(e.dev - t.dev) < 1e-10 * (abs(e.dev) + 0.1) AS stop FROM {name}_{k} t LEFT JOIN e ON e.grp = t.grp)
+SELECT grp, null_dev, CASE WHEN done OR stop THEN gamma
+  ELSE list_transform(gamma, lambda v, i: v + list_inner_product(now[(i - 1) * len(g) + 1 : i * len(g)], g)) END AS gamma,
+  coalesce(fresh, dev) AS dev, done OR coalesce(stop, false) AS done, coalesce(now, inv) AS inv, ok OR coalesce(stop AND NOT apart, false) AS ok FROM f""")
+    part(f"{name}_beta", f"""
+SELECT grp, gamma[1] - list_sum(list_transform(m, lambda v, i: v * s[i] * gamma[i + 1])) AS b0, list_transform(s, lambda v, i: v * gamma[i + 1]) AS b, n, m, s, gamma, inv, dev, null_dev, ok
+FROM (SELECT t.*, u.n, u.m, u.s FROM {name}_{STEPS} t JOIN {name}_s u ON u.grp = t.grp)""")
+
+
+def scored(name: str, src: str, group: str, features: list[str], more: str = "[]::DOUBLE[]", known: str = "true") -> str:
+    x = f"list_concat([{', '.join(f'CAST({f} AS DOUBLE)' for f in features)}], {more})"
+    return f"""
+SELECT u.*, CASE WHEN {known} THEN 1 / (1 + exp(-(b.b0 + list_inner_product(b.b, {x})))) END AS distance, b.ok AS distance_converged
+FROM {src} u LEFT JOIN {name}_beta b ON b.grp = {group}"""
+
+
+# --- nearest matching: one treated unit a step ---------------------------------------------------------------
+def greedy(name: str, src: str, group: str, stratum: str, unit: str, grid: list[dict[str, float]], std: bool = True) -> None:
+    """Part `<name>`: the matched rows with the tolerances and `subclass`."""
+    cal = list(grid[0])
+    sd = ", ".join(f"coalesce(stddev_samp({c}) OVER w, 0) AS sd_{c}" if std else f"1::DOUBLE AS sd_{c}" for c in cal)
+    part(f"{name}_kept", f"""
+SELECT * FROM (
+  SELECT *, {stratum} AS stratum, CAST({unit} AS VARCHAR) AS unit_, {sd},
+    min(distance) FILTER (treat = 1) OVER w AS t_lo, max(distance) FILTER (treat = 1) OVER w AS t_hi,
+    min(distance) FILTER (treat = 0) OVER w AS c_lo, max(distance) FILTER (treat = 0) OVER w AS c_hi
+  FROM {src} WINDOW w AS (PARTITION BY {group}))
+WHERE distance BETWEEN greatest(t_lo, c_lo) AND least(t_hi, c_hi) AND t_lo IS NOT NULL AND c_lo IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in cal)}""")
+    cells = ", ".join(f"({i}, {', '.join(f'{cell[c]}::DOUBLE' for c in cal)})" for i, cell in enumerate(grid))
+    tol = ", ".join(f"tol_{c}" for c in cal)
+    order = lambda t: ", ".join(f"{t}{c}" for c in cal)
+    part(f"{name}_treated", f"""
+SELECT k.*, g, {tol}, stratum || '#' || g AS s, row_number() OVER (PARTITION BY g, stratum ORDER BY -distance, {order('')}, md5('|' || unit_)) AS n
+FROM {name}_kept k CROSS JOIN (VALUES {cells}) v(g, {tol}) WHERE treat = 1""")
+    near = " AND ".join(f"abs(t.{c} - c.{c}) <= t.sd_{c} * t.tol_{c} + 1e-12" for c in cal)
+    part(f"{name}_edges", f"""
+SELECT t.s, t.unit_ AS t, c.unit_ AS c, row_number() OVER (PARTITION BY t.s, t.unit_ ORDER BY abs(t.distance - c.distance), c.distance, {order('c.')}, md5('|' || c.unit_)) AS k
+FROM {name}_treated t JOIN {name}_kept c ON c.stratum = t.stratum WHERE c.treat = 0 AND {near}""")
+    part(f"{name}_walk", f"""
+WITH RECURSIVE w AS (
+  SELECT DISTINCT s, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS t, CAST(NULL AS VARCHAR) AS c FROM {name}_treated
+  UNION ALL
+  SELECT s, n, CASE WHEN c IS NULL THEN used ELSE list_append(used, c) END, t, c FROM (
+    SELECT w.s, w.n + 1 AS n, w.used, t.unit_ AS t, arg_min(e.c, e.k) FILTER (NOT list_contains(w.used, e.c)) AS c
+    FROM w JOIN {name}_treated t ON t.s = w.s AND t.n = w.n + 1 LEFT JOIN {name}_edges e ON e.s = t.s AND e.t = t.unit_
+    GROUP BY w.s, w.n, w.used, t.unit_))
+SELECT s, t, c FROM w WHERE c IS NOT NULL""")
+    gone = ", ".join(["stratum", "unit_", "t_lo", "t_hi", "c_lo", "c_hi", *[f"sd_{c}" for c in cal]])
+    part(name, f"""
+SELECT k.* EXCLUDE ({gone}), {', '.join(f't.tol_{c}' for c in cal)}, t.{unit} AS subclass
+FROM {name}_walk m JOIN {name}_treated t ON t.s = m.s AND t.unit_ = m.t
+JOIN {name}_kept k ON k.stratum = t.stratum AND ((k.treat = 1 AND k.unit_ = m.t) OR (k.treat = 0 AND k.unit_ = m.c))""")
+
+
+def named(src: str, parts: str, growth: str = "") -> str:
+    return f"""
+SELECT * EXCLUDE (members) FROM (SELECT *, count(*) OVER (PARTITION BY match_group) AS members FROM (
+  SELECT *, concat_ws('.', {parts}) AS match_group{growth} FROM {src})) WHERE members > 1"""
+
+
+OTHER_APS = "CASE WHEN venue LIKE 'PR-_' THEN 'Other APS' ELSE venue END"
+FRAME = "concat_ws('|', venue, delay, lag)"
+logit("o_lp", "o_prepared_grid", FRAME, "treat", ["year", "impact_norm"], known="impact_norm IS NOT NULL")
+part("o_scored", scored("o_lp", "o_prepared_grid", FRAME, ["year", "impact_norm"], known="impact_norm IS NOT NULL"))
+greedy("o_matches", "o_scored", FRAME, f"concat_ws('|', {FRAME}, coalesce(CAST(field AS VARCHAR), '~'), quarter, multifield)", "id", PAPER_GRID)
+part("o_matched", named("o_matches", "venue, delay, lag, tol_impact_norm, tol_year, subclass", ", impact_after / impact_before AS growth"))
+query("nearest_match", f"SELECT * REPLACE ({r6('growth')} AS growth, {r6('impact_norm')} AS impact_norm, {r6('distance')} AS distance) FROM o_matched")
+part("o_pairs_all", f"""
+SELECT * FROM o_matched WHERE delay = {DELAYS[0]} AND tol_impact_norm = {PAPER_CELL['impact_norm']} AND tol_year = {PAPER_CELL['year']}""")
+query("match_groups", f"SELECT * REPLACE ({r6('growth')} AS growth, {r6('impact_norm')} AS impact_norm, {r6('distance')} AS distance) FROM o_pairs_all")
+part("o_pairs", f"SELECT * REPLACE ({OTHER_APS} AS venue) FROM o_pairs_all WHERE venue <> 'Geology'")
+
+logit("o_lpool", "o_pooled", "''", "treat", ["year", "impact_norm"], known="impact_norm IS NOT NULL")
+part("o_scored_pooled", scored("o_lpool", "o_pooled", "''", ["year", "impact_norm"], known="impact_norm IS NOT NULL"))
+query("propensity", f"SELECT * REPLACE ({r6('impact_norm')} AS impact_norm, {r6('distance')} AS distance) FROM o_scored_pooled")
+greedy("o_matches_pooled", "o_scored_pooled", "1", "concat_ws('|', venue, coalesce(CAST(field AS VARCHAR), '~'), quarter, multifield)", "id", [{"impact_norm": 0.5, "year": 3.0}], std=False)
+part("o_matched_pooled", named("o_matches_pooled", "venue, subclass"))
+query("nearest_match_pooled", f"""
+SELECT * EXCLUDE (tol_impact_norm, tol_year) REPLACE ({r6('impact_norm')} AS impact_norm, {r6('distance')} AS distance) FROM o_matched_pooled""")
+
+part("o_features_all", "SELECT *, 'first' AS authorship FROM o_features UNION ALL SELECT *, 'last' FROM o_features_l")
+part("o_before", "SELECT *, concat_ws('|', author_id, treat) AS unit FROM o_features_all WHERE partition = 'before'")
+part("o_levels", "SELECT list(DISTINCT field ORDER BY field)[2:] AS levels FROM o_before")
+AUTHOR_FRAME = "concat_ws('|', authorship, venue, event_year)"
+CAREER = ["prod_norm", "lead_prod_norm", "impact_norm", "career_age"]
+LEVELS = "list_transform((SELECT levels FROM o_levels), lambda l: CASE WHEN field = l THEN 1::DOUBLE ELSE 0::DOUBLE END)"
+KNOWN = " AND ".join(f"{c} IS NOT NULL" for c in CAREER)
+logit("o_la", "o_before", AUTHOR_FRAME, "treat", CAREER, LEVELS, KNOWN)
+part("o_scored_authors", scored("o_la", "o_before", AUTHOR_FRAME, CAREER, LEVELS, KNOWN))
+greedy("o_author_matches", "o_scored_authors", AUTHOR_FRAME, AUTHOR_FRAME, "unit", AUTHOR_GRID)
+part("o_author_named", named("o_author_matches", "authorship, venue, event_year, tol_impact_norm, tol_prod_norm, tol_lead_prod_norm, subclass"))
+part("o_author_matched", """
+SELECT o.*, m.match_group, m.tol_impact_norm, m.tol_prod_norm, m.tol_lead_prod_norm FROM o_author_named m
+JOIN o_features_all o ON o.venue = m.venue AND o.event_year = m.event_year AND o.author_id = m.author_id AND o.field = m.field AND o.authorship = m.authorship""")
+query("nearest_match_authors", f"""
+SELECT venue, event_year, author_id, field, authorship, match_group, tol_impact_norm, tol_prod_norm, tol_lead_prod_norm, treat, partition, total_prod,
+  career_age, {FEATS} FROM o_author_matched""")
+part("o_author_cells", f"SELECT * REPLACE ({OTHER_APS} AS venue) FROM o_author_matched WHERE venue <> 'Geology'")
+part("o_author_pairs", f"""
+SELECT * FROM o_author_cells WHERE tol_impact_norm = {AUTHOR_CELL['impact_norm']} AND tol_prod_norm = {AUTHOR_CELL['prod_norm']}""")
+part("o_first_pairs", "SELECT * FROM o_author_pairs WHERE authorship = 'first'")
 
 
 def integral(f: str, lo: str, hi: str) -> str:
@@ -702,14 +839,14 @@ SELECT * FROM k WHERE n > 1"""
 
 
 for metric in ("impact_raw", "frac_prod"):
-    part(f"o_change_{metric}", changes("o_author_pairs", metric, "venue"))
-    part(f"o_arms_{metric}", arms(f"o_change_{metric}", "venue", "match_group", "treat", "change", "0", "1"))
-    part(f"o_tests_{metric}", paired(f"o_arms_{metric}", "venue"))
+    part(f"o_change_{metric}", changes("o_author_pairs", metric, "venue, authorship"))
+    part(f"o_arms_{metric}", arms(f"o_change_{metric}", "venue, authorship", "match_group", "treat", "change", "0", "1"))
+    part(f"o_tests_{metric}", paired(f"o_arms_{metric}", "venue, authorship"))
     part(f"o_cmp_{metric}", f"""
 SELECT d.venue, m AS mean_diff, i AS interval, m + i AS upper, m - i AS lower, round(t.t_p_value, 4) AS t_p_value,
-       'first' AS authorship, '{metric}' AS metric
-FROM (SELECT venue, avg(b - a) AS m, 1.96::DOUBLE * stddev_samp(b - a) / sqrt(count(*)) AS i FROM o_arms_{metric} GROUP BY venue) d
-JOIN o_tests_{metric} t ON t.venue = d.venue""")
+       d.authorship, '{metric}' AS metric
+FROM (SELECT venue, authorship, avg(b - a) AS m, 1.96::DOUBLE * stddev_samp(b - a) / sqrt(count(*)) AS i FROM o_arms_{metric} GROUP BY venue, authorship) d
+JOIN o_tests_{metric} t ON t.venue = d.venue AND t.authorship = d.authorship""")
 part("o_author_cmp", "SELECT * FROM o_cmp_impact_raw UNION ALL SELECT * FROM o_cmp_frac_prod")
 query("paired_difference_authors", f"SELECT venue, {BAND}, t_p_value, authorship, metric FROM o_author_cmp")
 STARS = "CASE WHEN t_p_value > 0.05 THEN '' WHEN t_p_value > 0.01 THEN '*' WHEN t_p_value > 0.001 THEN '**' WHEN t_p_value IS NOT NULL THEN '***' END AS signif"
@@ -717,7 +854,8 @@ EST = ", ".join(f"{r6(c)} AS {c}" for c in ("mean_diff", "upper", "lower"))
 query("significance", f"""
 SELECT venue, {EST}, t_p_value, '(A) Paper impact' AS panel, {STARS} FROM o_paper_cmp WHERE lagtype = 'lagall'
 UNION ALL
-SELECT venue, {EST}, t_p_value, CASE metric WHEN 'impact_raw' THEN '(D) First author impact' ELSE '(B) First author productivity' END, {STARS}
+SELECT venue, {EST}, t_p_value, CASE authorship || metric WHEN 'firstimpact_raw' THEN '(D) First author impact' WHEN 'firstfrac_prod' THEN '(B) First author productivity'
+  WHEN 'lastimpact_raw' THEN '(E) Last author impact' ELSE '(C) Last author productivity' END, {STARS}
 FROM o_author_cmp""")
 query("significance_lag", f"""
 SELECT venue, lagtype, {BAND}, t_p_value, {STARS},
@@ -726,37 +864,35 @@ SELECT venue, lagtype, {BAND}, t_p_value, {STARS},
 query("match_impact_summary", """
 SELECT venue, type, round(avg(impact_before), 1) + 0.0::DOUBLE AS mu, count(*) AS n FROM o_pairs GROUP BY venue, type""")
 query("match_impact_summary_authors", """
-SELECT venue, treat, round(avg(impact_raw), 3) + 0.0::DOUBLE AS mu, count(*) AS n FROM o_author_pairs WHERE partition = 'before' GROUP BY venue, treat""")
+SELECT venue, treat, round(avg(impact_raw), 3) + 0.0::DOUBLE AS mu, count(*) AS n FROM o_first_pairs WHERE partition = 'before' GROUP BY venue, treat""")
 query("balance_table", """
-WITH b AS (SELECT *, count(*) OVER (PARTITION BY match_group) AS n FROM o_author_pairs WHERE partition = 'before')
+WITH b AS (SELECT *, count(*) OVER (PARTITION BY match_group) AS n FROM o_first_pairs WHERE partition = 'before')
 SELECT venue, CASE WHEN treat = 1 THEN 'Treatment' ELSE 'Control' END AS type, round(avg(career_age), 3) + 0.0::DOUBLE AS career_age,
        round(avg(impact_raw), 3) + 0.0::DOUBLE AS impact_raw, round(avg(prod_norm), 3) + 0.0::DOUBLE AS prod_norm
 FROM b WHERE n >= 2 GROUP BY venue, treat""")
 
-part("o_paper_grid", """
-SELECT p.venue, p.delay, p.lag, p.type, p.match_group, p.growth, g.impact, g.year
-FROM o_pairs p, (VALUES (0.05::DOUBLE, 2), (0.1::DOUBLE, 2)) g(impact, year) WHERE g.impact > 0.07 OR p.lag <= 2""")
+part("o_paper_grid", f"""
+SELECT {OTHER_APS} AS venue, delay, lag, type, match_group, growth, tol_impact_norm AS impact, CAST(tol_year AS INT) AS year FROM o_matched WHERE venue <> 'Geology'""")
+CELLS = ", ".join(f"({d}, {c['impact_norm']}::DOUBLE, {int(c['year'])})" for d in DELAYS for c in PAPER_GRID)
 part("o_paper_grid_arms", arms("o_paper_grid", "venue, delay, impact, year", "match_group", "type", "growth", "'Control'", "'Treatment'"))
 part("o_paper_grid_tests", paired("o_paper_grid_arms", "venue, delay, impact, year"))
 part("o_paper_diag", """
 WITH l AS (SELECT CASE WHEN venue LIKE 'PR-_' THEN 'Other APS' ELSE venue END AS venue, original_year, month, lag,
     CASE greatest(lag, 1) """ + " ".join(f"WHEN {k} THEN impact_{k}year" for k in range(1, 13)) + """ END AS before
   FROM treated_cohort WHERE venue <> 'Geology' AND lag BETWEEN 0 AND 12),
-f AS (SELECT venue, (original_year > 2021 - 3)::INT AS a, (month IS NULL)::INT AS b, (lag > 6)::INT AS c, (before < 5)::INT AS d FROM l),
-n AS (SELECT venue, count(*) AS count_total, count(*) - CAST(sum(a + b + c + d) AS BIGINT) AS count_candidates,
-    count(*) - CAST(sum(greatest(a, b, c, d)) AS BIGINT) AS count_candidates_any FROM f GROUP BY venue),
-g AS (SELECT n.*, 3 AS delay, v.impact, v.year FROM n, (VALUES (0.05::DOUBLE, 2), (0.1::DOUBLE, 2)) v(impact, year)),
-m AS (SELECT venue, impact, count(*) FILTER (type = 'Treatment') AS num_matched FROM o_paper_grid GROUP BY venue, impact)
+f AS (SELECT v.*, venue, (original_year > 2021 - v.delay)::INT AS a, (month IS NULL)::INT AS b, (lag > 6)::INT AS c, (before < 5)::INT AS d
+  FROM l CROSS JOIN (VALUES """ + CELLS + """) v(delay, impact, year)),
+g AS (SELECT venue, delay, impact, year, count(*) AS count_total, count(*) - CAST(sum(a + b + c + d) AS BIGINT) AS count_candidates,
+    count(*) - CAST(sum(greatest(a, b, c, d)) AS BIGINT) AS count_candidates_any FROM f GROUP BY venue, delay, impact, year),
+m AS (SELECT venue, delay, impact, year, count(*) FILTER (type = 'Treatment') AS num_matched FROM o_paper_grid GROUP BY venue, delay, impact, year)
 SELECT g.venue, g.delay, g.impact, g.year, count_total, count_candidates, count_candidates_any, num_matched, t_estimate, t_statistic,
        round(t_p_value, 4) + 0.0::DOUBLE AS t_p_value, wilcoxon_statistic, round(wilcoxon_p_value, 4) + 0.0::DOUBLE AS wilcoxon_p_value
-FROM g LEFT JOIN m ON m.venue = g.venue AND m.impact = g.impact
-LEFT JOIN o_paper_grid_tests t ON t.venue = g.venue AND t.impact = g.impact""")
+FROM g LEFT JOIN m ON m.venue = g.venue AND m.impact = g.impact AND m.delay = g.delay AND m.year = g.year
+LEFT JOIN o_paper_grid_tests t ON t.venue = g.venue AND t.impact = g.impact AND t.delay = g.delay AND t.year = g.year""")
 STATS = ", ".join(f"{r6(c)} AS {c}" for c in ("t_estimate", "t_statistic", "wilcoxon_statistic"))
 query("paper_match_diagnostics", f"SELECT * REPLACE ({STATS}) FROM o_paper_diag")
 part("o_author_grid", """
-SELECT p.* EXCLUDE (impact), 'first' AS authorship, g.impact, g.productivity
-FROM o_author_pairs p, (VALUES (0.05::DOUBLE, 0.1::DOUBLE), (0.1::DOUBLE, 0.1::DOUBLE)) g(impact, productivity)
-WHERE g.impact > 0.07 OR p.event_year <= 1998""")
+SELECT * EXCLUDE (impact, tol_impact_norm, tol_prod_norm), tol_impact_norm AS impact, tol_prod_norm AS productivity FROM o_author_cells""")
 AK = "venue, authorship, impact, productivity"
 part("o_author_grid_change", changes("o_author_grid", "impact_raw", AK))
 part("o_author_grid_arms", arms("o_author_grid_change", AK, "match_group", "treat", "change", "0", "1"))
@@ -767,7 +903,8 @@ l AS (SELECT CASE WHEN venue LIKE 'PR-_' THEN 'Other APS' ELSE venue END AS venu
       FROM treated_cohort GROUP BY 1)
 SELECT e.venue, e.authorship, e.impact, e.productivity, num_matched, t_estimate, t_statistic, round(t_p_value, 4) + 0.0::DOUBLE AS t_p_value,
        wilcoxon_statistic, round(wilcoxon_p_value, 4) + 0.0::DOUBLE AS wilcoxon_p_value, count_candidates
-FROM e LEFT JOIN o_author_grid_tests t ON t.venue = e.venue AND t.impact = e.impact AND e.n > 4
+FROM e LEFT JOIN o_author_grid_tests t ON t.venue = e.venue AND t.impact = e.impact AND t.productivity = e.productivity AND t.authorship = e.authorship
+  AND e.n > 4
 LEFT JOIN l ON l.venue = e.venue""")
 query("author_match_diagnostics", f"SELECT * REPLACE ({STATS}) FROM o_author_diag")
 

@@ -21,6 +21,19 @@ from lettermark.sources.tables import read_table, write_table
 
 START, END = 1995, 2002
 
+# Parameters of the matching runs; tolerances in standard deviations. The wide ones are for the sparse test tables.
+DELAYS = (3, 5)
+PAPER_GRID = [{"impact_norm": i, "year": y} for i in (0.05, 0.1, 0.5) for y in (2.0, 3.0)]
+AUTHOR_GRID = [{"impact_norm": i, "prod_norm": p, "lead_prod_norm": 0.4} for i in (0.05, 0.1, 0.5) for p in (0.1, 0.5)]
+# The cell of each grid that the comparisons of impact and of careers read.
+PAPER_CELL, AUTHOR_CELL = PAPER_GRID[4], AUTHOR_GRID[5]
+
+
+def at_cell(df: DataFrame, cell: dict[str, float]) -> DataFrame:
+    for c, tolerance in cell.items():
+        df = df.filter(F.col(f"tol_{c}") == tolerance)
+    return df
+
 
 def r6(df: DataFrame, *columns: str) -> DataFrame:
     """Round result columns so that two engines print the same digits."""
@@ -321,13 +334,18 @@ class Workbench(Frames):
             self.treated_table, self.controls, self.histories_table, position, START, END - 1, 4
         )
 
+    def features_of(self, position: str) -> DataFrame:
+        return authors.career_features(self.histories_table, self.events_of(position), 5, 1, 5)
+
     @step
     def author_features(self):
-        return authors.career_features(self.histories_table, self.events_of("f"), 5, 1, 5)
+        return self.features_of("f")
 
     @step
     def author_feature_table(self):
-        return cut_lineage(self.author_features)
+        """First and last authors, told apart by `authorship`."""
+        names = {"f": "first", "l": "last"}
+        return cut_lineage(cohorts.gather(*[self.features_of(p).withColumn("authorship", F.lit(n)) for p, n in names.items()]))
 
     # matching inputs
     @step
@@ -340,75 +358,61 @@ class Workbench(Frames):
     def prepared_pooled(self):
         return matching.prepare_density_match(self.treated_table, self.controls, self.rolled)
 
+    # matching on estimated propensities
+    @step
+    def matched_papers(self):
+        """Matched papers of every venue, delay, lag and tolerance."""
+        frame, grid = ["venue", "delay", "lag"], [f"tol_{c}" for c in PAPER_GRID[0]]
+        rows = matching.prepare_paper_match(self.treated_table, self.controls, self.rolled, delays=DELAYS, min_treated=1)
+        scored = cut_lineage(models.propensity(cut_lineage(rows), frame, ["year", "impact_norm"]))
+        pairs = matching.nearest_match(scored, frame, ["field", "quarter", "multifield"], PAPER_GRID[0], grid=PAPER_GRID)
+        return cut_lineage(matching.match_groups(pairs, [*frame, *grid, "subclass"], "impact_before", "impact_after"))
+
     @step
     def paper_pairs(self):
-        """One treated and one comparison paper per block of ids: a pairing plain SQL can repeat."""
-        rows = self.prepared.withColumn("subclass", F.floor(F.col("id") / 40))
-        keys = ["venue", "delay", "lag", "subclass", "treat"]
-        rest = [c for c in rows.columns if c not in keys and c != "id"]
-        first = rows.groupBy(*keys).agg(F.min(F.struct("id", *rest)).alias("r")).select(*keys, "r.*")
-        return matching.match_groups(first, ["venue", "delay", "lag", "subclass"], "impact_before", "impact_after")
+        return at_cell(self.matched_papers.filter(F.col("delay") == DELAYS[0]), PAPER_CELL)
 
     @step
     def paper_pairs_table(self):
         return cut_lineage(cohorts.collapse_venues(self.paper_pairs))
 
     @step
-    def author_pairs(self):
+    def matched_authors(self):
+        """Both career windows of matched first and last authors, for every venue, event year and tolerance."""
+        frame, grid = ["authorship", "venue", "event_year"], [f"tol_{c}" for c in AUTHOR_GRID[0]]
         rows = self.author_feature_table.filter(F.col("partition") == "before").withColumn(
-            "subclass", F.floor(F.col("author_id") / 60)
+            "unit", F.concat_ws("|", "author_id", "treat")
         )
-        first = rows.groupBy("venue", "event_year", "subclass", "treat").agg(F.min(F.struct("author_id", "field")).alias("r"))
-        named = matching.match_groups(
-            first.select("venue", "event_year", "subclass", "treat", "r.*"), ["venue", "event_year", "subclass"]
+        scored = models.propensity(
+            rows, frame, ["prod_norm", "lead_prod_norm", "impact_norm", "career_age"], ["field"]
         )
-        return authors.author_match_rows(named, self.author_feature_table)
+        pairs = matching.nearest_match(cut_lineage(scored), frame, [], AUTHOR_GRID[0], unit="unit", grid=AUTHOR_GRID)
+        named = matching.match_groups(pairs, [*frame, *grid, "subclass"])
+        return cut_lineage(authors.author_match_rows(named, self.author_feature_table, ["authorship"], grid))
 
     @step
     def author_pairs_table(self):
-        return cut_lineage(cohorts.collapse_venues(self.author_pairs))
-
-    @step
-    def author_grid(self):
-        cells = F.array(
-            *[F.struct(F.lit("first").alias("authorship"), F.lit(i).alias("impact_tol"), F.lit(p).alias("productivity"))
-              for i, p in ((0.05, 0.1), (0.1, 0.1))]
-        )
-        rows = self.author_pairs_table.withColumn("_c", F.explode(cells)).select("*", "_c.*")
-        rows = rows.filter((F.col("impact_tol") > 0.07) | (F.col("event_year") <= 1998))
-        return rows.drop("impact", "_c").withColumnRenamed("impact_tol", "impact")
-
-    @step
-    def paper_grid(self):
-        cells = F.array(
-            *[F.struct(F.lit(i).alias("impact"), F.lit(y).alias("year_tol")) for i, y in ((0.05, 2), (0.1, 2))]
-        )
-        rows = self.paper_pairs_table.withColumn("_c", F.explode(cells)).select(
-            "venue", "delay", "lag", "type", "match_group", "growth", "_c.*"
-        )
-        return rows.filter((F.col("impact") > 0.07) | (F.col("lag") <= 2)).withColumnRenamed("year_tol", "year")
+        return cut_lineage(cohorts.collapse_venues(at_cell(self.matched_authors, AUTHOR_CELL)))
 
     @step
-    def paper_diagnostics(self):
-        return reports.paper_match_diagnostics(
-            cohorts.collapse_venues(self.treated_table), self.paper_grid, [(3, 0.05, 2), (3, 0.1, 2)], observed_lag=12
-        )
+    def first_author_pairs(self):
+        return self.author_pairs_table.filter(F.col("authorship") == "first")
 
     @step
     def author_diagnostics(self):
-        return reports.author_match_diagnostics(
-            cohorts.collapse_venues(self.treated_table), self.author_grid, "citations"
+        grid = cohorts.collapse_venues(self.matched_authors).drop("impact").withColumnsRenamed(
+            {"tol_impact_norm": "impact", "tol_prod_norm": "productivity"}
         )
+        return reports.author_match_diagnostics(cohorts.collapse_venues(self.treated_table), grid, "citations")
 
-    # matching on estimated propensities
     @step
-    def matched_papers(self):
-        frame = ["venue", "delay", "lag"]
-        scored = models.propensity(cut_lineage(self.prepared), frame, ["year", "impact_norm"])
-        pairs = matching.nearest_match(
-            scored, frame, ["field", "quarter", "multifield"], {"impact_norm": 0.5, "year": 2.0}, std_caliper=False
+    def paper_diagnostics(self):
+        grid = cohorts.collapse_venues(self.matched_papers).select(
+            "venue", "delay", "lag", "type", "match_group", "growth", F.col("tol_impact_norm").alias("impact"),
+            F.col("tol_year").cast("int").alias("year"),
         )
-        return matching.match_groups(pairs, ["venue", "delay", "lag", "subclass"], "impact_before", "impact_after")
+        cells = [(d, c["impact_norm"], int(c["year"])) for d in DELAYS for c in PAPER_GRID]
+        return reports.paper_match_diagnostics(cohorts.collapse_venues(self.treated_table), grid, cells, observed_lag=12)
 
     @step
     def matched_pooled(self):
@@ -418,21 +422,6 @@ class Workbench(Frames):
         )
         return matching.match_groups(pairs, ["venue", "subclass"])
 
-    @step
-    def matched_authors(self):
-        rows = self.author_feature_table.filter(F.col("partition") == "before").withColumn(
-            "unit", F.concat_ws("|", "author_id", "treat")
-        )
-        scored = models.propensity(
-            rows, ["venue", "event_year"], ["prod_norm", "lead_prod_norm", "impact_norm", "career_age"],
-            ["field"],
-        )
-        pairs = matching.nearest_match(
-            scored, ["venue", "event_year"], [], {"impact_norm": 0.3, "prod_norm": 0.3, "lead_prod_norm": 0.4}, unit="unit"
-        )
-        named = matching.match_groups(pairs, ["venue", "event_year", "subclass"])
-        return authors.author_match_rows(named, self.author_feature_table)
-
     @step
     def covariates(self):
         first = authors.first_year(self.histories_table, self.profiles, "f")
@@ -501,16 +490,12 @@ class Workbench(Frames):
 
     @step
     def author_comparison(self):
-        out = []
+        keys, out = ["venue", "authorship"], []
         for metric in ("impact_raw", "frac_prod"):
-            changes = reports.author_changes(self.author_pairs_table, metric)
-            pairs = statistics.paired_arms(changes, ["venue"], "match_group", "treat", "change", 0, 1)
-            tests = statistics.paired_t(pairs, ["venue"]).select("venue", F.round("t_p_value", 4).alias("t_p_value"))
-            out.append(
-                statistics.paired_difference(pairs, ["venue"])
-                .join(tests, "venue", "left")
-                .withColumns({"authorship": F.lit("first"), "metric": F.lit(metric)})
-            )
+            changes = reports.author_changes(self.author_pairs_table, metric, ["authorship"])
+            pairs = statistics.paired_arms(changes, keys, "match_group", "treat", "change", 0, 1)
+            tests = statistics.paired_t(pairs, keys).select(*keys, F.round("t_p_value", 4).alias("t_p_value"))
+            out.append(statistics.paired_difference(pairs, keys).join(tests, keys, "left").withColumn("metric", F.lit(metric)))
         return cohorts.gather(*out)
 
 
@@ -599,14 +584,15 @@ QUERIES = {
         models.propensity(w.prepared_pooled, [], ["year", "impact_norm"]), "impact_norm", "distance"),
     "nearest_match": lambda w: r6(w.matched_papers, "impact_norm", "distance", "growth"),
     "nearest_match_pooled": lambda w: r6(w.matched_pooled, "impact_norm", "distance"),
-    "nearest_match_authors": lambda w: r6(w.matched_authors, "impact_norm", "prod_norm", "lead_prod_norm"),
-    "match_groups": lambda w: r6(w.paper_pairs, "growth", "impact_norm"),
+    "nearest_match_authors": lambda w: r6(
+        w.matched_authors, "frac_prod", "lead_prod", "impact", "impact_raw", "impact_norm", "prod_norm", "lead_prod_norm"),
+    "match_groups": lambda w: r6(w.paper_pairs, "growth", "impact_norm", "distance"),
     "paper_match_diagnostics": lambda w: r6(w.paper_diagnostics, "t_estimate", "t_statistic", "wilcoxon_statistic"),
     "author_match_diagnostics": lambda w: r6(w.author_diagnostics, "t_estimate", "t_statistic", "wilcoxon_statistic"),
-    "balance_table": lambda w: matching.balance_table(w.author_pairs_table),
+    "balance_table": lambda w: matching.balance_table(w.first_author_pairs),
     "match_impact_summary": lambda w: matching.match_impact_summary(w.paper_pairs_table),
     "match_impact_summary_authors": lambda w: matching.match_impact_summary(
-        w.author_pairs_table.filter(F.col("partition") == "before"), "impact_raw", "treat", 3),
+        w.first_author_pairs.filter(F.col("partition") == "before"), "impact_raw", "treat", 3),
     # tests and reports
     "ks_one_sample": lambda w: r6(w.one_sample, "ks_statistic", "ks_p_value", "mu"),
     "ks_two_sample": lambda w: r6(w.two_sample, "ks2_statistic", "ks2_p_value", "mu_letter", "mu_article"),
