@@ -3,13 +3,14 @@
 1. `shingle_sets` gives each document the size, a 128-bit fingerprint and a token bitmap of its set; equal sets become one.
 2. `routed_groups`: sets are banded by size and cut by hash range into more parts than two linked sets of the band can
    differ in, so linked sets share whole parts. Sets that share a part form a group. In a large group every member is
-   first compared with one of them; where that leaves one component nothing is left to do. Of the others the largest
-   are dealt anew by pairs of shared parts (linked sets share at least two) and then, if need be, cut into tiles.
+   first compared with one of them; where that leaves one component nothing is left to do. Others are cut into tiles
+   if they are large, and the largest are dealt anew by pairs of shared parts before (linked sets share at least two).
 3. `surviving_clusters` builds a signature tree over each group (OR-combined bitmaps and size ranges) and walks pairs of
    nodes, leaving those whose largest possible overlap is too small. Groups that differ only in what falls away here
    leave the same clusters, which count once.
-4. `linked_sets` compares whole sets: first every member of a cluster with the first one, then the pairs of members that
-   still lie in different components and that the tree leaves. Nothing is compared across groups.
+4. `linked_sets` compares whole sets: first every member of a cluster with the first one. Clusters with common members
+   are then one; where its sets still lie in several components, the sets outside the largest component are compared
+   with all others, in tiles, by the trees again and by whole sets.
 
 Empty tables give empty results, NULL and wordless texts have an empty set and link with nothing. Rows may repeat ids or
 texts, and ids may be NULL: the component of a row is the smallest id of any row whose set is reachable from its own.
@@ -34,6 +35,10 @@ from lettermark.session import cut_lineage
 BITS_EACH, MOST_BITS, LEAF, FANOUT = 4, 1 << 18, 8, 4
 #: Members of a group that are compared by its tree at once; larger groups are compared with one of their members first.
 FEW = 16
+#: Chunks of a group whose pairs are tiles; a larger group is dealt anew.
+CHUNKS = 32
+#: Pairs of nodes expanded at once, and pairs of a tile beyond which overlaps come from one matrix product.
+BLOCK, MANY = 2048, 2000
 #: Sets whose copies a task recognises, so that it routes them once.
 RECENT = 100_000
 
@@ -100,8 +105,8 @@ class Scheme:
         k = int(np.searchsorted(bounds, n, "right")) - 1
         return k
 
-    def keys(self, one: np.ndarray) -> Iterator[np.ndarray]:
-        """Routing keys of one set for each of its bands, in the order of the parts.
+    def keys(self, one: np.ndarray) -> Iterator[tuple[bool, np.ndarray]]:
+        """Routing keys of one set for each of its bands, in the order of the parts, and whether the band is its own.
 
         Linked sets share three parts at least. Parts without n-grams count only in a set that has more than one of
         them: then linked sets share two parts that count.
@@ -119,7 +124,7 @@ class Scheme:
             filled = at[1:] > at[:-1]
             salt = np.arange(band << 20, (band << 20) + len(sums), dtype=np.uint64)
             salted = mix(sums + mix(salt))
-            yield salted if len(filled) - filled.sum() > 1 else salted[filled]
+            yield band == k, salted if len(filled) - filled.sum() > 1 else salted[filled]
 
 
 def shingle_sets(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -143,9 +148,10 @@ def short(fp: str):
     return F.conv(F.hex(F.substring(fp, 1, 8)), 16, -10).cast("long")
 
 
-def _entries(keys: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
-    key = np.concatenate(keys).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(np.array(nodes, np.int64), [len(k) for k in keys]))], names=["key", "node"])
+def _entries(keys: list[np.ndarray], nodes: list[tuple[int, bool]]) -> pa.RecordBatch:
+    key, sizes = np.concatenate(keys).view(np.int64), [len(k) for k in keys]
+    node, own = (np.repeat(np.array(c), sizes) for c in zip(*nodes, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node, pa.int64()), pa.array(own, pa.bool_())], names=["key", "node", "own"])
 
 
 def _node(fp: bytes) -> int:
@@ -153,42 +159,49 @@ def _node(fp: bytes) -> int:
 
 
 def _group(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """(key, members, hot) from rows (key, node) sorted by both: keys with two to `most` different nodes in one row each,
-    keys with more as hot rows of some of their nodes. No key is held whole."""
-    held_key, held, hot_key = 0, np.zeros(0, np.int64), None
+    """(key, members, hot) from rows (key, node, own) sorted by key and node: keys with two to `most` different nodes in
+    one row each, keys with more as hot rows of some of their nodes. No key is held whole.
 
-    def rows(keys, starts, nodes, hot):
+    A group of which no set is in its own band is left out: its pairs meet in their own band.
+    """
+    held_key, held, held_own, hot_key = 0, np.zeros(0, np.int64), np.zeros(0, bool), None
+
+    def rows(keys, starts, nodes, own, hot):
+        if not len(starts):
+            return
         sizes = np.diff(np.append(starts, len(nodes)))
-        some = np.flatnonzero(hot | (sizes > 1))
+        good = hot | ((sizes > 1) & np.logical_or.reduceat(own, starts))
+        some = np.flatnonzero(good)
         if len(some):
-            keep = np.repeat(hot | (sizes > 1), sizes)
             offsets = np.concatenate(([0], np.cumsum(sizes[some]))).astype(np.int32)
-            members = pa.ListArray.from_arrays(pa.array(offsets), pa.array(nodes[keep]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[starts[some]]), members, pa.array(hot[some])], names=["key", "members", "hot"])
+            members = pa.ListArray.from_arrays(pa.array(offsets), pa.array(nodes[np.repeat(good, sizes)]))
+            lows = np.add.reduceat(own.astype(np.int64), starts)[some]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[starts[some]]), members, pa.array(hot[some]), pa.array(lows > 0)], names=["key", "members", "hot", "own"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
         k = np.concatenate((np.full(len(held), held_key, np.int64), np.asarray(batch.column(0))))
         n = np.concatenate((held, np.asarray(batch.column(1))))
+        o = np.concatenate((held_own, np.asarray(batch.column(2))))
         fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])))
-        k, n = k[fresh], n[fresh]
+        k, n, o = k[fresh], n[fresh], o[fresh]
         starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
         last = int(starts[-1])
         hot = (np.diff(starts) > most) | (k[starts[:-1]] == hot_key if hot_key is not None else False)
-        yield from rows(k[:last], starts[:-1], n[:last], hot)
-        held_key, held = int(k[-1]), n[last:]
+        yield from rows(k[:last], starts[:-1], n[:last], o[:last], hot)
+        held_key, held, held_own = int(k[-1]), n[last:], o[last:]
         if len(held) > most:
             hot_key = held_key
-            yield from rows(k[last:], np.zeros(1, np.int64), held, np.ones(1, dtype=bool))
-            held = held[-1:]
+            yield from rows(k[last:], np.zeros(1, np.int64), held, held_own, np.ones(1, dtype=bool))
+            held, held_own = held[-1:], held_own[-1:]
     if len(held):
-        yield from rows(np.full(len(held), held_key, np.int64), np.zeros(1, np.int64), held, np.array([held_key == hot_key]))
+        yield from rows(np.full(len(held), held_key, np.int64), np.zeros(1, np.int64), held, held_own, np.array([held_key == hot_key]))
 
 
 def _grouped(entries: DataFrame, most: int) -> DataFrame:
     spread = entries.repartition("key").sortWithinPartitions("key", "node")
-    return cut_lineage(spread.mapInArrow(lambda batches: _group(batches, most), "key long, members array<long>, hot boolean"))
+    return cut_lineage(spread.mapInArrow(lambda batches: _group(batches, most), "key long, members array<long>, hot boolean, own boolean"))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -205,6 +218,13 @@ def _open(large: DataFrame, roots: DataFrame) -> DataFrame:
     return cut_lineage(large.join(keys.where("low != high").select("key", "size"), "key"))
 
 
+def _large(groups: DataFrame) -> DataFrame:
+    """The rows (key, node) of hot keys with a set in its own band."""
+    hot = groups.where("hot")
+    own = hot.where("own").select("key").distinct()
+    return cut_lineage(hot.join(own, "key").select("key", F.explode("members").alias("node")).distinct())
+
+
 def routed_groups(docs: DataFrame, kinds: DataFrame, words: int, percent: int, most: int) -> tuple[DataFrame, DataFrame | None]:
     """(groups, links): groups (gid, ta, tb, node, chunk) of sets such that any two linked sets meet in one or are
     connected by the links (a, b) found on the way, if any.
@@ -224,9 +244,9 @@ def routed_groups(docs: DataFrame, kinds: DataFrame, words: int, percent: int, m
                 if len(seen) >= RECENT:
                     seen.clear()
                 seen.add(node)
-                for k in scheme.keys(one):
+                for own, k in scheme.keys(one):
                     keys.append(k)
-                    nodes.append(node)
+                    nodes.append((node, own))
                     total += len(k)
                 if total > 500_000:
                     yield _entries(keys, nodes)
@@ -234,9 +254,9 @@ def routed_groups(docs: DataFrame, kinds: DataFrame, words: int, percent: int, m
             if total:
                 yield _entries(keys, nodes)
 
-    groups = _grouped(docs.select("text").mapInArrow(route, "key long, node long"), FEW)
+    groups = _grouped(docs.select("text").mapInArrow(route, "key long, node long, own boolean"), FEW)
     found, links, tiles = groups.where("NOT hot").select("members"), None, None
-    large = cut_lineage(groups.where("hot").select("key", F.explode("members").alias("node")).distinct())
+    large = _large(groups)
     if not large.isEmpty():
         named = kinds.select("fp", short("fp").alias("node"))
         rows = large.join(named, "node").select("key", "fp")
@@ -247,9 +267,8 @@ def routed_groups(docs: DataFrame, kinds: DataFrame, words: int, percent: int, m
         roots = cut_lineage(components(links).select(short("node").alias("node"), F.hex("root").alias("root")))
         roots = roots.unionAll(roots.select(F.conv(F.substring("root", 1, 16), 16, -10).cast("long").alias("node"), "root").distinct())
         large = _open(large, roots)
-        fits = F.col("size") <= most
-        found = found.unionAll(large.where(fits).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("members")).select("members"))
-        hot = large.where(~fits).groupBy("node").agg(F.collect_list("key").alias("keys"))
+        tiles = large.where(F.col("size") <= CHUNKS * most)
+        hot = cut_lineage(large.where(F.col("size") > CHUNKS * most).groupBy("node").agg(F.collect_list("key").alias("keys")))
 
         def refine(batches):
             scheme, last = Scheme(percent), None
@@ -259,10 +278,10 @@ def routed_groups(docs: DataFrame, kinds: DataFrame, words: int, percent: int, m
                     if last == (last := fp) or fingerprint(one) != fp:
                         continue
                     wanted = np.asarray(wanted.values).view(np.uint64)
-                    for k in scheme.keys(one):
+                    for own, k in scheme.keys(one):
                         for i in np.flatnonzero(np.isin(k[:-1], wanted)).tolist():
                             keys.append(mix(k[i] * np.uint64(3) + k[i + 1 :]))
-                            nodes.append(_node(fp))
+                            nodes.append((_node(fp), own))
                             total += len(keys[-1])
                     if total > 500_000:
                         yield _entries(keys, nodes)
@@ -271,9 +290,10 @@ def routed_groups(docs: DataFrame, kinds: DataFrame, words: int, percent: int, m
                     yield _entries(keys, nodes)
 
         place = kinds.select("doc_id", "row_key", "fp", short("fp").alias("node")).join(hot, "node").select("doc_id", "row_key", "fp", "keys")
-        again = _grouped(_texts(docs, place).mapInArrow(refine, "key long, node long"), most)
-        found = found.unionAll(again.where("NOT hot").select("members"))
-        tiles = _open(again.where("hot").select("key", F.explode("members").alias("node")).distinct(), roots)
+        if not hot.isEmpty():
+            again = _grouped(_texts(docs, place).mapInArrow(refine, "key long, node long, own boolean"), FEW)
+            found = found.unionAll(again.where("NOT hot").select("members"))
+            tiles = tiles.unionAll(_open(_large(again), roots))
     found = found.distinct().withColumn("gid", F.xxhash64("members"))
     zero = F.lit(0).alias
     small = found.select("gid", zero("ta"), zero("tb"), F.explode("members").alias("node"), zero("chunk"))
@@ -323,11 +343,12 @@ class SignatureTree:
         return parent[fits], child[fits]
 
 
-def surviving_pairs(one: SignatureTree, two: SignatureTree, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets that the dual walk cannot rule out."""
+def surviving_pairs(one: SignatureTree, two: SignatureTree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets that the dual walk cannot rule out, some at a time."""
     i, j = len(one.levels) - 1, len(two.levels) - 1
-    p, q = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    while True:
+    todo = [(i, j, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while todo:
+        i, j, p, q = todo.pop()
         (ma, la, ha, xa), (mb, lb, hb, xb) = one.levels[i], two.levels[j]
         fits = (100 * ha[p] >= percent * lb[q]) & (100 * hb[q] >= percent * la[p])
         p, q = p[fits], q[fits]
@@ -335,19 +356,21 @@ def surviving_pairs(one: SignatureTree, two: SignatureTree, percent: int) -> tup
         most = np.minimum(np.minimum(ha[p], hb[q]), common + np.minimum(xa[p], xb[q]))
         fits = (100 + percent) * most >= percent * (la[p] + lb[q])
         p, q = p[fits], q[fits]
-        if i == j == 0 and len(p):
+        if not len(p):
+            continue
+        if i == j == 0:
             # Each bit that only one of two sets has stands for an n-gram that only one of them has.
             alone = np.bitwise_count(ma[p] ^ mb[q]).sum(1).astype(np.int64)
             fits = (100 + percent) * (la[p] + lb[q] - alone) >= 2 * percent * (la[p] + lb[q])
-            p, q = p[fits], q[fits]
-        if i == j == 0 or not len(p):
-            return p, q
-        if i >= j:
-            parent, p = one.children(i, p)
-            q, i = q[parent], i - 1
-        else:
-            parent, q = two.children(j, q)
-            p, j = p[parent], j - 1
+            yield p[fits], q[fits]
+            continue
+        for k in range(0, len(p), BLOCK):
+            if i >= j:
+                parent, child = one.children(i, p[k : k + BLOCK])
+                todo.append((i - 1, j, child, q[k : k + BLOCK][parent]))
+            else:
+                parent, child = two.children(j, q[k : k + BLOCK])
+                todo.append((i, j - 1, p[k : k + BLOCK][parent], child))
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -355,21 +378,59 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def candidate_pairs(sizes: np.ndarray, bitmaps: list[bytes], side: np.ndarray, mixed: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that the trees leave: within all rows, or between the two sides if `mixed`."""
-    order = np.argsort(sizes, kind="stable")
-    maps = folded(bitmaps)
-    if not mixed:
-        tree = SignatureTree(maps[order], sizes[order])
-        p, q = surviving_pairs(tree, tree, percent)
-        p, q = p[p < q], q[p < q]
-        return order[p], order[q]
-    names = np.unique(side)
-    if len(names) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = order[side[order] == names[0]], order[side[order] == names[-1]]
-    p, q = surviving_pairs(SignatureTree(maps[a], sizes[a]), SignatureTree(maps[b], sizes[b]), percent)
-    return a[p], b[q]
+def candidate_pairs(sizes: np.ndarray, bitmaps: list[bytes], root: list, side: np.ndarray, mixed: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different roots that the trees leave: within all rows, or between the two sides if `mixed`."""
+    order, maps = np.argsort(sizes, kind="stable"), folded(bitmaps)
+    names: dict = {}
+    root = np.array([names.setdefault(r, len(names)) for r in root])
+    if mixed:
+        sides = np.unique(side)
+        if len(sides) < 2:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a, b = order[side[order] == sides[0]], order[side[order] == sides[-1]]
+        one, two = SignatureTree(maps[a], sizes[a]), SignatureTree(maps[b], sizes[b])
+    else:
+        a = b = order
+        one = two = SignatureTree(maps[order], sizes[order])
+    found = [np.zeros((2, 0), np.int64)]
+    for p, q in surviving_pairs(one, two, percent):
+        keep = (mixed | (p < q)) & (root[a[p]] != root[b[q]])
+        found.append(np.stack((a[p[keep]], b[q[keep]])))
+    p, q = np.concatenate(found, 1)
+    return p, q
+
+
+def joined(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The least member of the component of each of n rows that the pairs connect."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[p], label[q])
+        before = label.copy()
+        np.minimum.at(label, p, least)
+        np.minimum.at(label, q, least)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def overlaps(grams: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Common n-grams of the pairs of rows; many pairs by matrix products over some n-grams at a time."""
+    if len(p) <= MANY:
+        return np.array([_overlap(grams[i], grams[j]) for i, j in zip(p.tolist(), q.tolist(), strict=True)], np.int64)
+    row = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+    _, code, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    shared = count[code] > 1
+    row, code = row[shared], np.unique(code[shared], return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    total = np.zeros((len(grams), len(grams)), np.float32)
+    width = 4096
+    for low in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+        a, b = np.searchsorted(code, [low, low + width])
+        part = np.zeros((len(grams), width), np.float32)
+        part[row[a:b], code[a:b] - low] = 1
+        total += part @ part.T
+    return total[p, q].astype(np.int64)
 
 
 def _pair_fits(m: int, n: int, a: bytes, b: bytes, percent: int) -> bool:
@@ -432,7 +493,7 @@ def whole_sets(docs: DataFrame, kinds: DataFrame, wanted: DataFrame, words: int)
 
 
 def surviving_clusters(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(cid, members): sets of different components joined by pairs that the trees leave, each list of members once.
+    """(members): sets of different components joined by pairs that the trees leave, each list of members once.
 
     `nodes` (node, fp, n, bits, root) describes the sets.
     """
@@ -446,13 +507,10 @@ def surviving_clusters(groups: DataFrame, nodes: DataFrame, percent: int) -> Dat
             if len(fp) == 2 and not mixed:
                 out = [sorted(fp)] if _pair_fits(*sizes, *bits, percent) else []
             else:
-                forest = Forest(len(fp))
-                for i, j in zip(*(x.tolist() for x in candidate_pairs(np.asarray(tile["n"]), bits, np.asarray(tile["chunk"]), mixed, percent)), strict=True):
-                    if root[i] != root[j]:
-                        forest.join(i, j)
+                p, q = candidate_pairs(np.asarray(tile["n"]), bits, root, np.asarray(tile["chunk"]), mixed, percent)
                 lists: dict[int, set] = {}
-                for i in range(len(fp)):
-                    lists.setdefault(forest.root(i), set()).add(fp[i])
+                for i, k in enumerate(joined(len(fp), p, q).tolist()):
+                    lists.setdefault(k, set()).add(fp[i])
                 out = [sorted(m) for m in lists.values() if len(m) > 1]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.binary()))], names=["members"])
@@ -460,10 +518,10 @@ def surviving_clusters(groups: DataFrame, nodes: DataFrame, percent: int) -> Dat
     met = groups.join(nodes, "node").select("gid", "ta", "tb", "chunk", "fp", "n", "bits", "root")
     met = met.repartition("gid", "ta", "tb").sortWithinPartitions("gid", "ta", "tb")
     lists = met.mapInArrow(prune, "members array<binary>").distinct()
-    return cut_lineage(lists.select(F.unhex(F.md5(F.array_join(F.transform("members", F.hex), ""))).alias("cid"), "members"))
+    return cut_lineage(lists)
 
 
-def linked_sets(docs: DataFrame, sets: DataFrame, words: int = 3, percent: int = 90, most: int = 128) -> DataFrame:
+def linked_sets(docs: DataFrame, sets: DataFrame, words: int = 3, percent: int = 90, most: int = 2048, chunk: int = 512) -> DataFrame:
     """(a, b) fingerprints of linked sets, enough to span every component of the link graph."""
     kinds = sets.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "row_key")).alias("one"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     kinds = cut_lineage(kinds.select("fp", "one.*", "n", "bits"))
@@ -479,25 +537,41 @@ def linked_sets(docs: DataFrame, sets: DataFrame, words: int = 3, percent: int =
     clusters = surviving_clusters(groups, nodes, percent)
     whole = whole_sets(docs, kinds, clusters.select(F.explode("members").alias("fp")), words)
     exact = whole.select("fp", "n", "grams")
-    stars = clusters.select(F.get("members", 0).alias("hub"), F.explode(F.slice("members", 2, F.size("members"))).alias("fp")).distinct()
+    stars = cut_lineage(clusters.select(F.get("members", 0).alias("hub"), F.explode(F.slice("members", 2, F.size("members"))).alias("fp")).distinct())
     more = _compared(stars, exact, percent)
     links = cut_lineage(more if links is None else links.unionAll(more))
 
-    # Clusters whose members still lie in several components: the pairs between these that the tree leaves.
-    named = clusters.select("cid", F.explode("members").alias("fp")).join(cut_lineage(rooted(whole.select("fp", "n", "bits"), links)), "fp")
-    open_ = named.groupBy("cid").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("cid")
+    # Clusters with common members are one; its sets outside the largest component are compared with all others.
+    joint = components(stars).withColumnsRenamed({"node": "fp", "root": "cid"})
+    joint = cut_lineage(joint.unionAll(joint.select("cid", "cid").distinct()))
+    named = cut_lineage(rooted(joint, links))
+    parts = named.groupBy("cid", "root").agg(F.count(F.lit(1)).alias("size"))
+    sums = parts.groupBy("cid").agg(F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("of")).where(F.col("of") > F.col("top.size"))
+    some = F.ceil((F.col("of") - F.col("top.size")) / chunk).cast("int")
+    sums = sums.select("cid", F.col("top.root").alias("top"), some.alias("few"), F.ceil(F.col("top.size") / chunk).cast("int").alias("many"))
+    rest = named.join(sums, "cid")
+    major, hashed = F.col("root") == F.col("top"), F.xxhash64("fp")
+    rest = rest.withColumn("chunk", F.when(major, F.col("few") + F.pmod(hashed, F.col("many"))).otherwise(F.pmod(hashed, F.col("few"))).cast("int"))
+    met = F.when(major, F.col("few")).otherwise(F.col("few") + F.col("many"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
+    rest = rest.select("cid", F.least("chunk", "other").alias("ta"), F.greatest("chunk", "other").alias("tb"), "chunk", "root", "fp").join(whole, "fp")
 
     def across(batches):
-        for tile in keyed(batches, ["cid"]):
+        for tile in keyed(batches, ["cid", "ta", "tb"]):
             sizes, fp, root = np.asarray(tile["n"]), tile["fp"].to_pylist(), tile["root"].to_pylist()
-            pairs = zip(*(x.tolist() for x in candidate_pairs(sizes, tile["bits"].to_pylist(), sizes, False, percent)), strict=True)
-            rows = [sorted((fp[i], fp[j])) for i, j in pairs if root[i] != root[j]]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], names=["hub", "fp"])
-
-    rest = named.join(open_, "cid").select("cid", "fp", "n", "bits", "root").repartition("cid").sortWithinPartitions("cid")
-    pairs = rest.mapInArrow(across, "hub binary, fp binary").distinct()
-    return links.unionAll(_compared(pairs.join(stars, ["hub", "fp"], "left_anti"), exact, percent))
+            mixed = tile["ta"][0].as_py() != tile["tb"][0].as_py()
+            p, q = candidate_pairs(sizes, tile["bits"].to_pylist(), root, np.asarray(tile["chunk"]), mixed, percent)
+            if len(p):
+                shared = overlaps([np.frombuffer(g, np.uint64) for g in tile["grams"].to_pylist()], p, q)
+                fits = 100 * shared >= percent * (sizes[p] + sizes[q] - shared)
+                label = joined(len(fp), p[fits], q[fits])
+                out = np.flatnonzero(label != np.arange(len(fp))).tolist()
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([fp[i] for i in out], pa.binary()), pa.array([fp[k] for k in label[out].tolist()], pa.binary())], names=["a", "b"])
+
+    rest = rest.select("cid", "ta", "tb", "chunk", "root", "fp", "n", "bits", "grams")
+    more = rest.repartition("cid", "ta", "tb").sortWithinPartitions("cid", "ta", "tb").mapInArrow(across, "a binary, b binary")
+    return links.unionAll(more)
 
 
 def ngram_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
