@@ -513,20 +513,21 @@ WHERE o.author_position IN ('f', 'l')""")
 query("first_year", """
 SELECT author_id, min(year) AS first_year FROM o_histories
 WHERE author_position = 'f' AND author_id IN (SELECT author_id FROM author_profiles) GROUP BY author_id""")
-query("author_covariates", f"""
+part("o_covariates", """
 WITH a AS (SELECT p.*, y.first_year, e.grid_id IS NOT NULL AS is_elite FROM author_profiles p
   LEFT JOIN first_year y ON y.author_id = p.author_id LEFT JOIN elite e ON e.grid_id = p.grid_id
   WHERE p.num_authors <= 20 AND p.author_position = 'f' AND p.gender IS NOT NULL),
 d AS (SELECT paper_id AS id, bool_or(is_elite) AS is_elite, arg_min(gender, author_id) AS gender,
              arg_min(first_year, author_id) AS first_year, arg_min(num_authors, author_id) AS n FROM a GROUP BY paper_id),
 j AS (SELECT m.*, d.is_elite, d.gender, d.first_year, d.n FROM o_pooled m JOIN d ON d.id = m.id)
-SELECT id, venue, type, treat, {r6('impact_norm')} AS impact, 'first' AS authorship,
+SELECT id, venue, type, treat, impact_norm AS impact, 'first' AS authorship,
        CASE WHEN gender = 1 THEN 'Female' ELSE 'Male' END AS gender,
        CASE WHEN year - first_year <= 2 THEN 'Junior' WHEN year - first_year > 2 THEN 'Senior' END AS seniority,
        CASE WHEN is_elite THEN 'Elite' ELSE 'NonElite' END AS elite,
        CASE WHEN n <= 0 THEN NULL WHEN n <= 1 THEN '(0,1]' WHEN n <= 5 THEN '(1,5]' WHEN n <= 20 THEN '(5,20]' END AS team,
        year - min(year) OVER () AS year_offset
 FROM j""")
+query("author_covariates", f"SELECT * REPLACE ({r6('impact')} AS impact) FROM o_covariates")
 EVENTS = f"""
 WITH w AS (SELECT author_id, paper_id AS id FROM o_histories WHERE author_position = 'f'),
 t AS (SELECT w.author_id, l.venue, l.letter_year AS event_year, l.letter_year AS center_year, 1 AS treat
@@ -942,6 +943,57 @@ SELECT block, false AS blank, * EXCLUDE (block) REPLACE ({plain('round(impact *
 UNION ALL SELECT CAST(i AS INT), true, NULL, NULL, NULL, {BLANK} FROM range(0, 2) t(i)""")
 
 
+# --- models --------------------------------------------------------------------------------------------------
+part("o_effect_rows", f"""
+SELECT * EXCLUDE (venue), {OTHER_APS} AS venue,
+  CASE WHEN gender = 'Female' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS female,
+  CASE seniority WHEN 'Senior' THEN 1.0::DOUBLE WHEN 'Junior' THEN 0.0::DOUBLE END AS senior,
+  CASE WHEN elite = 'Elite' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS at_elite,
+  CASE WHEN team = '(1,5]' THEN 1.0::DOUBLE WHEN team IS NOT NULL THEN 0.0::DOUBLE END AS team_mid,
+  CASE WHEN team = '(5,20]' THEN 1.0::DOUBLE WHEN team IS NOT NULL THEN 0.0::DOUBLE END AS team_big
+FROM o_covariates WHERE venue <> 'Geology'""")
+EFFECTS = ["female", "senior", "at_elite", "team_mid", "team_big", "impact", "year_offset"]
+EFFECTS_KNOWN = " AND ".join(f"{c} IS NOT NULL" for c in EFFECTS)
+logit("o_lm", "o_effect_rows", "venue", "treat", EFFECTS, known=EFFECTS_KNOWN)
+
+
+def effect(name: str, at: int) -> str:
+    """Rows of one factor: its average effect and the gradient of that by the coefficients."""
+    x = f"[1::DOUBLE, {', '.join(f'CAST({f} AS DOUBLE)' for f in EFFECTS)}]"
+    return f"""
+SELECT '{name}' AS factor, venue, any_value(n) AS n, avg(p1 - p0) AS ame, list(v ORDER BY i) AS grad FROM (
+  SELECT venue, i, count(*) AS n, avg(p1) AS p1, avg(p0) AS p0,
+    avg(p1 * (1 - p1) * CASE WHEN i = {at + 2} THEN 1 ELSE x[i] END - p0 * (1 - p0) * CASE WHEN i = {at + 2} THEN 0 ELSE x[i] END) AS v
+  FROM (SELECT r.venue, {x} AS x, 1 / (1 + exp(-(e - bx + b.b[{at + 1}]))) AS p1, 1 / (1 + exp(-(e - bx))) AS p0
+        FROM (SELECT r.*, b.b0 + list_inner_product(b.b, [{', '.join(f'CAST({f} AS DOUBLE)' for f in EFFECTS)}]) AS e, b.b[{at + 1}] * {EFFECTS[at]} AS bx
+              FROM o_effect_rows r LEFT JOIN o_lm_beta b ON b.grp = r.venue WHERE {EFFECTS_KNOWN}) r LEFT JOIN o_lm_beta b ON b.grp = r.venue)
+  CROSS JOIN o_index WHERE i <= {len(EFFECTS) + 1} GROUP BY venue, i) GROUP BY venue"""
+
+
+part("o_effects", " UNION ALL ".join(effect(n, i) for i, n in enumerate(("gender", "seniority", "elite"))))
+part("o_effect_se", """
+WITH g AS (SELECT f.*, b.inv, b.ok, list_prepend(grad[1], list_transform(b.s, lambda v, i: v * (grad[i + 1] - b.m[i] * grad[1]))) AS z
+  FROM o_effects f LEFT JOIN o_lm_beta b ON b.grp = f.venue)
+SELECT factor, venue, n, CASE WHEN inv IS NOT NULL THEN ame END AS ame, ok AS converged, CASE WHEN inv IS NOT NULL THEN sqrt(greatest(list_sum(list_transform(inv,
+  lambda v, ij: v * z[(ij - 1) // len(z) + 1] * z[(ij - 1) % len(z) + 1])), 0)) END AS se FROM g""")
+query("marginal_effects", f"""
+SELECT factor, venue, {r6('ame')} AS ame, {r6('se')} AS se, {r6('z')} AS z, {r6(z_p('z'))} AS p, {r6('ame - 1.959963984540054::DOUBLE * se')} AS lower,
+  {r6('ame + 1.959963984540054::DOUBLE * se')} AS upper, n, converged
+FROM (SELECT *, CASE WHEN se > 0 THEN ame / se END AS z FROM o_effect_se)""")
+
+part("o_r2_rows", """
+SELECT venue || '|' || measure AS grp, CASE WHEN type = 'letter' THEN 1 ELSE 0 END AS y, period, ln(impact) AS size FROM (
+  SELECT venue, type, period, 'raw_impact' AS measure, CAST(raw_impact AS DOUBLE) AS impact FROM o_cell_norm
+  UNION ALL SELECT venue, type, period, 'norm_impact', norm_impact FROM o_cell_norm) WHERE impact > 0""")
+logit("o_lr", "o_r2_rows", "grp", "y", [*[f"CASE WHEN period = {b} THEN 1 ELSE 0 END" for b in range(2, 7)], "size"])
+query("pseudo_r2", """
+WITH g AS (SELECT grp, bool_and(one) AS one FROM (SELECT grp, min(y) = max(y) AS one FROM o_r2_rows GROUP BY grp) GROUP BY grp),
+r AS (SELECT split_part(g.grp, '|', 1) AS venue, split_part(g.grp, '|', 2) AS measure, b.ok,
+  round((1 - exp((b.dev - b.null_dev) / b.n)) / (1 - exp(-b.null_dev / b.n)), 4) AS r2 FROM g LEFT JOIN o_lr_beta b ON b.grp = g.grp)
+SELECT venue, max(r2) FILTER (measure = 'raw_impact') AS raw_impact, max(r2) FILTER (measure = 'norm_impact') AS norm_impact,
+  bool_and(ok) AS converged FROM r GROUP BY venue""")
+
+
 # --- distribution tests ---------------------------------------------------------------------------------
 def ks1_p(d: str, n: str) -> str:
     exact = (f"{d} * list_sum(list_transform(range(0, CAST(floor({n} * (1 - {d}) + 1e-12) AS BIGINT) + 1), lambda j: "
