@@ -784,6 +784,15 @@ def z_p(z: str) -> str:
             f"/ {integral(dens, '0.0::DOUBLE', '12.0::DOUBLE')} END")
 
 
+# Exact law of the signed-rank sum: the number of subsets of 1..n by their sum, one number added a step.
+part("o_signrank", """
+WITH RECURSIVE r AS (
+  SELECT 0 AS n, 0 AS s, 1::DOUBLE AS c
+  UNION ALL
+  SELECT n, s, sum(c) FROM (SELECT r.n + 1 AS n, r.s + v.b * (r.n + 1) AS s, r.c FROM r CROSS JOIN (VALUES (0), (1)) v(b) WHERE r.n < 49) GROUP BY n, s)
+SELECT n, s, least(1, 2 * least(sum(c) OVER (PARTITION BY n ORDER BY s), sum(c) OVER (PARTITION BY n ORDER BY s DESC)) / pow(2, n)) AS p FROM r""")
+
+
 def paired(src: str, keys: str) -> str:
     """t and signed-rank results of a - b per key."""
     return f"""
@@ -797,8 +806,10 @@ x AS (SELECT *, v - n_nonzero * (n_nonzero + 1) / 4 AS shift,
              sqrt(n_nonzero::DOUBLE * (n_nonzero + 1) * (2 * n_nonzero + 1) / 24 - ties / 48) AS sigma FROM w),
 y AS (SELECT *, CASE WHEN sigma > 0 THEN (shift - sign(shift) * 0.5::DOUBLE) / sigma END AS z FROM x)
 SELECT {", ".join("u." + k for k in keys.split(", "))}, n_pairs, t_estimate, t_statistic, {t_p('t_statistic', '(n_pairs - 1)')} AS t_p_value,
-       n_nonzero, v AS wilcoxon_statistic, {z_p('z')} AS wilcoxon_p_value
-FROM u LEFT JOIN y ON {" AND ".join(f"y.{k} = u.{k}" for k in keys.split(", "))}"""
+       n_nonzero, v AS wilcoxon_statistic,
+       CASE WHEN n_nonzero < 50 AND ties = 0 AND n_nonzero = n_pairs THEN q.p ELSE {z_p('z')} END AS wilcoxon_p_value
+FROM u LEFT JOIN y ON {" AND ".join(f"y.{k} = u.{k}" for k in keys.split(", "))}
+LEFT JOIN o_signrank q ON q.n = y.n_nonzero AND q.s = y.v"""
 
 
 def arms(src: str, keys: str, pair: str, arm: str, value: str, first: str, second: str) -> str:
@@ -1014,20 +1025,37 @@ SELECT {keys}, d AS ks_statistic, {ks1_p('d', 'm')} AS ks_p_value, mu, n FROM g"
 part("o_panel_letters", "SELECT * FROM o_panel WHERE type = 'letter'")
 part("o_ks1", ks1("o_panel_letters", "venue, metric", "id"))
 query("ks_one_sample", f"SELECT venue, metric, {r6('ks_statistic')} AS ks_statistic, {r6('ks_p_value')} AS ks_p_value, {r6('mu')} AS mu, n FROM o_ks1")
-part("o_ks2", """
+part("o_ks2_rows", """
 WITH j AS (SELECT p.venue, p.metric, p.type, p.rank, m.match_group FROM o_panel p JOIN o_pairs m ON m.id = p.id WHERE p.rank IS NOT NULL),
-k AS (SELECT *, count(*) OVER (PARTITION BY venue, metric, match_group) AS n FROM j),
-f AS (SELECT * FROM k WHERE n > 1),
-c AS (SELECT venue, metric, rank, count(*) FILTER (type = 'letter') OVER w AS la, count(*) FILTER (type = 'article') OVER w AS ar,
-        count(*) FILTER (type = 'letter') OVER a AS lt, count(*) FILTER (type = 'article') OVER a AS att
-      FROM f WINDOW w AS (PARTITION BY venue, metric ORDER BY rank RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-                    a AS (PARTITION BY venue, metric)),
-d AS (SELECT venue, metric, max(ar / nullif(att, 0) - la / nullif(lt, 0)) AS d, max(lt)::DOUBLE AS x, max(att)::DOUBLE AS y FROM c GROUP BY venue, metric),
-m AS (SELECT venue, metric, avg(rank) FILTER (type = 'letter') * 100 AS mu_letter, avg(rank) FILTER (type = 'article') * 100 AS mu_article
-      FROM f GROUP BY venue, metric)
-SELECT d.venue, d.metric, CASE WHEN d IS NOT NULL THEN greatest(d, 0) END AS ks2_statistic,
-       CASE WHEN d IS NOT NULL THEN exp(-2 * (x * y / (x + y)) * greatest(d, 0) * greatest(d, 0)) END AS ks2_p_value, mu_letter, mu_article
-FROM d JOIN m ON m.venue = d.venue AND m.metric = d.metric""")
+k AS (SELECT *, count(*) OVER (PARTITION BY venue, metric, match_group) AS n FROM j)
+SELECT * FROM k WHERE n > 1""")
+part("o_ks2_steps", """
+SELECT venue, metric, rank, count(*) FILTER (type = 'letter') OVER w AS la, count(*) FILTER (type = 'article') OVER w AS ar,
+  count(*) FILTER (type = 'letter') OVER a AS lt, count(*) FILTER (type = 'article') OVER a AS att
+FROM o_ks2_rows WINDOW w AS (PARTITION BY venue, metric ORDER BY rank RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  a AS (PARTITION BY venue, metric)""")
+part("o_ks2_gap", """
+SELECT venue, metric, greatest(max(ar / nullif(att, 0) - la / nullif(lt, 0)), 0) AS d, max(lt)::DOUBLE AS x, max(att)::DOUBLE AS y
+FROM o_ks2_steps GROUP BY venue, metric HAVING max(ar / nullif(att, 0) - la / nullif(lt, 0)) IS NOT NULL""")
+part("o_ks2_ends", "SELECT DISTINCT venue, metric, la + ar AS k FROM o_ks2_steps")
+# Exact law of the one-sided gap under all orders of the pooled values, one value a step.
+part("o_ks2_law", """
+WITH RECURSIVE w AS (
+  SELECT venue, metric, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS i, 1::DOUBLE AS f FROM o_ks2_gap WHERE x * y < 10000
+  UNION ALL
+  SELECT q.venue, q.metric, q.k, q.i, sum(q.f) FROM (
+    SELECT w.venue, w.metric, w.k + 1 AS k, w.i + v.b AS i, g.d, g.x, g.y,
+      w.f * CASE v.b WHEN 1 THEN g.x - w.i ELSE g.y - (w.k - w.i) END / (g.x + g.y - w.k) AS f
+    FROM w JOIN o_ks2_gap g ON g.venue = w.venue AND g.metric = w.metric CROSS JOIN (VALUES (0), (1)) v(b) WHERE w.k < g.x + g.y) q
+  LEFT JOIN o_ks2_ends e ON e.venue = q.venue AND e.metric = q.metric AND e.k = q.k
+  WHERE q.f > 0 AND (e.k IS NULL OR (q.k - q.i) / q.y - q.i / q.x < q.d - 1e-9) GROUP BY q.venue, q.metric, q.k, q.i)
+SELECT g.venue, g.metric, 1 - coalesce(sum(w.f), 0) AS p FROM o_ks2_gap g
+LEFT JOIN w ON w.venue = g.venue AND w.metric = g.metric AND w.k = g.x + g.y WHERE g.x * g.y < 10000 GROUP BY g.venue, g.metric""")
+part("o_ks2", """
+WITH m AS (SELECT venue, metric, avg(rank) FILTER (type = 'letter') * 100 AS mu_letter, avg(rank) FILTER (type = 'article') * 100 AS mu_article
+      FROM o_ks2_rows GROUP BY venue, metric)
+SELECT m.venue, m.metric, d AS ks2_statistic, coalesce(p, exp(-2 * (x * y / (x + y)) * d * d)) AS ks2_p_value, mu_letter, mu_article
+FROM m LEFT JOIN o_ks2_gap d ON m.venue = d.venue AND m.metric = d.metric LEFT JOIN o_ks2_law l ON l.venue = m.venue AND l.metric = m.metric""")
 query("ks_two_sample", f"""
 SELECT venue, metric, {r6('ks2_statistic')} AS ks2_statistic, {r6('ks2_p_value')} AS ks2_p_value, {r6('mu_letter')} AS mu_letter,
        {r6('mu_article')} AS mu_article FROM o_ks2""")

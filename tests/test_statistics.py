@@ -5,9 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lettermark.functions.pvalues import ks_one_sided, normal_two_sided, t_two_sided
+from lettermark.functions.pvalues import ks_one_sided, normal_two_sided, signed_rank_two_sided, smirnov_one_sided, t_two_sided
 from lettermark.operators import models
-from lettermark.operators.statistics import ks_one_sample, paired_arms, paired_t, wilcoxon_signed_rank
+from lettermark.operators.statistics import ks_one_sample, ks_two_sample, paired_arms, paired_t, wilcoxon_signed_rank
 
 
 def one(spark, column):
@@ -50,6 +50,51 @@ def test_signed_rank_ties_and_zeros(spark):
     assert t.t_statistic == pytest.approx(np.mean(d) / (np.std(d, ddof=1) / math.sqrt(len(d))))
 
 
+def test_signed_rank_law(spark):
+    # tabulated two-sided values: the 5 % and 1 % points of usual tables
+    for v, n, p in ((0, 5, 0.0625), (2, 6, 0.09375), (8, 10, 0.048828125), (3, 10, 0.009765625), (52, 20, 0.0484)):
+        assert one(spark, signed_rank_two_sided(F.lit(float(v)), F.lit(float(n)))) == pytest.approx(p, abs=5e-5)
+    for n in (1, 4, 9):  # all signs
+        sums = [sum(k for k in range(1, n + 1) if bits >> (k - 1) & 1) for bits in range(1 << n)]
+        for v in range(n * (n + 1) // 2 + 1):
+            want = min(1.0, 2 * min(sum(s <= v for s in sums), sum(s >= v for s in sums)) / 2**n)
+            assert one(spark, signed_rank_two_sided(F.lit(float(v)), F.lit(float(n)))) == pytest.approx(want)
+
+
+def test_signed_rank_is_exact_without_ties_and_zeros(spark):
+    rows = [("exact", i, float(v), 0.0) for i, v in enumerate((1, -2, 3, 4, 5, 6))] + [("ties", i, float(v), 0.0) for i, v in enumerate((1, -1, 3, 4, 5, 6))]
+    rows += [("zero", i, float(v), 0.0) for i, v in enumerate((0, -1, 3, 4, 5, 6))] + [("one", 0, 2.0, 1.0)]
+    pairs = spark.createDataFrame(rows, "g string, p int, a double, b double")
+    got = {r.g: r.wilcoxon_p_value for r in wilcoxon_signed_rank(pairs, ["g"]).collect()}
+    assert got["exact"] == pytest.approx(2 * 3 / 64) and got["one"] == 1.0
+    assert got["ties"] != pytest.approx(got["exact"]) and {r.g for r in wilcoxon_signed_rank(pairs, ["g"], 3).filter("wilcoxon_p_value < 0.09").collect()} <= {"exact", "ties", "zero"}
+
+
+def smirnov_by_hand(a, b):
+    """The statistic and the share of all splits of the pooled values whose gap is no smaller."""
+    import itertools
+
+    def gap(x, y):
+        return max(sum(v <= z for v in y) / len(y) - sum(v <= z for v in x) / len(x) for z in x + y)
+
+    pooled, d = a + b, gap(a, b)
+    splits = list(itertools.combinations(range(len(pooled)), len(a)))
+    hits = sum(gap([pooled[i] for i in s], [pooled[i] for i in range(len(pooled)) if i not in s]) >= d - 1e-9 for s in splits)
+    return max(d, 0.0), hits / len(splits) if d > 0 else 1.0
+
+
+def test_two_sample_law_with_and_without_ties(spark):
+    rng = random.Random(6)
+    cases = {f"c{k}": ([rng.randrange(6 if k % 2 else 1000) / 10 for _ in range(rng.randint(1, 5))], [rng.randrange(6 if k % 2 else 1000) / 10 for _ in range(rng.randint(1, 6))]) for k in range(12)}
+    rows = [(g, "letter", v) for g, (a, _) in cases.items() for v in a] + [(g, "article", v) for g, (_, b) in cases.items() for v in b]
+    df = spark.createDataFrame(rows + [("alone", "letter", 1.0)], "g string, type string, rank double")
+    got = {r.g: (r.ks2_statistic, r.ks2_p_value) for r in ks_two_sample(df, ["g"]).collect()}
+    assert got.pop("alone") == (None, None)
+    for g, (a, b) in cases.items():
+        assert got[g] == pytest.approx(smirnov_by_hand(a, b), abs=1e-9), g
+    assert one(spark, smirnov_one_sided(F.lit(1.0), F.lit(3), F.lit(4), F.sequence(F.lit(1).cast("bigint"), F.lit(7).cast("bigint")))) == pytest.approx(1 / 35)
+
+
 def irls(x, y):
     b = np.zeros(x.shape[1])
     for _ in range(50):
