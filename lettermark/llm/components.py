@@ -1,4 +1,7 @@
-"""Connected components of an edge table by alternating star contractions, one written table per round."""
+"""Connected components of an edge table by alternating star contractions, one written table per round.
+
+Once at most FEW edges are left, one task of that bounded size finishes them.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +15,10 @@ from pyspark.sql import functions as F
 from lettermark.session import cut_lineage
 
 
+#: Edges that one task may hold.
+FEW = 100_000
+
+
 class Forest:
     """Union-find over 0..n-1; the smallest member is the root."""
 
@@ -45,6 +52,13 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[own].tolist(), batch.schema.types[0]), pa.array(nodes[roots[own]].tolist(), batch.schema.types[0])], names=["a", "b"])
 
 
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges as the stars of their components."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        yield from _contract(iter(pa.Table.from_batches(held).combine_chunks().to_batches()))
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -64,6 +78,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut_lineage(edges)
     seen = _mark(edges)
     while seen[0]:
+        if seen[0] <= FEW:
+            edges = cut_lineage(edges.coalesce(1).mapInArrow(_finish, f"a {kind}, b {kind}"))
+            break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         up = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()

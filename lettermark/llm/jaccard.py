@@ -226,8 +226,8 @@ def _large(groups: DataFrame) -> DataFrame:
 
 
 def routed_groups(docs: DataFrame, kinds: DataFrame, words: int, percent: int, most: int) -> tuple[DataFrame, DataFrame | None]:
-    """(groups, links): groups (gid, ta, tb, node, chunk) of sets such that any two linked sets meet in one or are
-    connected by the links (a, b) found on the way, if any.
+    """(groups, linked): groups (gid, ta, tb, node, chunk) of sets such that any two linked sets meet in one or are of
+    one component of `linked` (node, root), the links found on the way, if any.
 
     A group has one tile (0, 0) with all members, or more where it exceeds `most` members even by two shared parts:
     then each pair of its chunks is a tile.
@@ -255,7 +255,7 @@ def routed_groups(docs: DataFrame, kinds: DataFrame, words: int, percent: int, m
                 yield _entries(keys, nodes)
 
     groups = _grouped(docs.select("text").mapInArrow(route, "key long, node long, own boolean"), FEW)
-    found, links, tiles = groups.where("NOT hot").select("members"), None, None
+    found, linked, tiles = groups.where("NOT hot").select("members"), None, None
     large = _large(groups)
     if not large.isEmpty():
         named = kinds.select("fp", short("fp").alias("node"))
@@ -264,7 +264,8 @@ def routed_groups(docs: DataFrame, kinds: DataFrame, words: int, percent: int, m
         near = cut_lineage(_compared(stars, kinds.select("fp", "n", "bits"), percent))
         sets = whole_sets(docs, kinds, near.select(F.col("a").alias("fp")).union(near.select("b")), words)
         links = cut_lineage(_compared(near.toDF("hub", "fp"), sets.select("fp", "n", "grams"), percent))
-        roots = cut_lineage(components(links).select(short("node").alias("node"), F.hex("root").alias("root")))
+        linked = components(links)
+        roots = linked.select(short("node").alias("node"), F.hex("root").alias("root"))
         roots = roots.unionAll(roots.select(F.conv(F.substring("root", 1, 16), 16, -10).cast("long").alias("node"), "root").distinct())
         large = _open(large, roots)
         tiles = large.where(F.col("size") <= CHUNKS * most)
@@ -298,12 +299,12 @@ def routed_groups(docs: DataFrame, kinds: DataFrame, words: int, percent: int, m
     zero = F.lit(0).alias
     small = found.select("gid", zero("ta"), zero("tb"), F.explode("members").alias("node"), zero("chunk"))
     if tiles is None:
-        return small, links
+        return small, linked
     dealt = tiles.withColumn("k", F.ceil(F.col("size") / most).cast("int"))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.select(F.col("key").alias("gid"), F.least("chunk", "other").alias("ta"), F.greatest("chunk", "other").alias("tb"), "node", "chunk")
-    return small.unionAll(dealt), links
+    return small.unionAll(dealt), linked
 
 
 def folded(bitmaps: list[bytes], width: int | None = None) -> np.ndarray:
@@ -525,26 +526,26 @@ def linked_sets(docs: DataFrame, sets: DataFrame, words: int = 3, percent: int =
     """(a, b) fingerprints of linked sets, enough to span every component of the link graph."""
     kinds = sets.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "row_key")).alias("one"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     kinds = cut_lineage(kinds.select("fp", "one.*", "n", "bits"))
-    groups, links = routed_groups(docs, kinds, words, percent, most)
+    groups, linked = routed_groups(docs, kinds, words, percent, most)
 
-    def rooted(rows: DataFrame, links: DataFrame | None) -> DataFrame:
-        """`rows` (fp, ...) with the component that the links give them."""
-        if links is None:
+    def rooted(rows: DataFrame, linked: DataFrame | None) -> DataFrame:
+        """`rows` (fp, ...) with their component."""
+        if linked is None:
             return rows.withColumn("root", F.col("fp"))
-        return rows.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        return rows.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
-    nodes = rooted(kinds.select(short("fp").alias("node"), "fp", "n", "bits"), links)
+    nodes = rooted(kinds.select(short("fp").alias("node"), "fp", "n", "bits"), linked)
     clusters = surviving_clusters(groups, nodes, percent)
     whole = whole_sets(docs, kinds, clusters.select(F.explode("members").alias("fp")), words)
     exact = whole.select("fp", "n", "grams")
     stars = cut_lineage(clusters.select(F.get("members", 0).alias("hub"), F.explode(F.slice("members", 2, F.size("members"))).alias("fp")).distinct())
-    more = _compared(stars, exact, percent)
-    links = cut_lineage(more if links is None else links.unionAll(more))
+    links = _compared(stars, exact, percent)
+    linked = components(links if linked is None else linked.toDF("a", "b").unionAll(links))
 
     # Clusters with common members are one; its sets outside the largest component are compared with all others.
     joint = components(stars).withColumnsRenamed({"node": "fp", "root": "cid"})
     joint = cut_lineage(joint.unionAll(joint.select("cid", "cid").distinct()))
-    named = cut_lineage(rooted(joint, links))
+    named = cut_lineage(rooted(joint, linked))
     parts = named.groupBy("cid", "root").agg(F.count(F.lit(1)).alias("size"))
     sums = parts.groupBy("cid").agg(F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("of")).where(F.col("of") > F.col("top.size"))
     some = F.ceil((F.col("of") - F.col("top.size")) / chunk).cast("int")
@@ -571,7 +572,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, words: int = 3, percent: int =
 
     rest = rest.select("cid", "ta", "tb", "chunk", "root", "fp", "n", "bits", "grams")
     more = rest.repartition("cid", "ta", "tb").sortWithinPartitions("cid", "ta", "tb").mapInArrow(across, "a binary, b binary")
-    return links.unionAll(more)
+    return linked.toDF("a", "b").unionAll(more)
 
 
 def ngram_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
