@@ -16,6 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lettermark.llm import decontamination, embeddings, jaccard, licenses, line_dedup, mixing, pii, quality, token_files, warc
+from lettermark.llm import components as components_module
 from lettermark.llm.components import components
 from lettermark.llm.queries import tokenizer_path
 from lettermark.llm.sql import LICENSE_SCAN, LINE_DEDUP, SOURCE_MIX
@@ -69,7 +70,9 @@ def same_as_sql(got, want):
     return sorted((tuple(map(clean, r)) for r in got.select(*names).collect()), key=repr) == sorted((tuple(map(clean, r)) for r in want.fetchall()), key=repr)
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_of_a_path_and_a_star(spark, monkeypatch, few):
+    monkeypatch.setattr(components_module, "FEW", few)
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = dict(rows_of(components(spark.createDataFrame(edges, "a long, b long"))))
     assert got == {**{i: 0 for i in range(1, 31)}, **{i: 100 for i in range(101, 140)}}
@@ -121,6 +124,39 @@ def test_one_of_each_keeps_clean_rows_and_columns(docs):
     assert kept.where("doc_id = 115").count() == 2
 
 
+@pytest.mark.parametrize("most, chunk", [(2048, 512), (20, 7), (2, 3)])
+def test_ngram_jaccard_of_many_near_copies(spark, monkeypatch, most, chunk):
+    r = random.Random(9)
+    rows, base = [], [f"w{r.randrange(400)}" for _ in range(60)]
+    for i in range(70):
+        edit = list(base)
+        for _ in range(r.randint(0, 2)):
+            edit[r.randrange(60)] = f"v{r.randrange(400)}"
+        rows.append((i, " ".join(edit)))
+    rows += [(100 + i, "a common line of words here " + " ".join(f"u{r.randrange(10**6)}" for _ in range(9))) for i in range(60)]
+    linked = jaccard.linked_sets
+    monkeypatch.setattr(jaccard, "linked_sets", lambda d, s, words, percent: linked(d, s, words, percent, most, chunk))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(jaccard.ngram_components(docs)) == jaccard_by_hand(rows)
+
+
+def test_overlaps_by_products_equal_those_by_sorting(monkeypatch):
+    r = np.random.default_rng(1)
+    grams = [np.unique(r.integers(0, 9_000, r.integers(1, 400))).astype(np.uint64) for _ in range(40)]
+    p, q = (x.ravel() for x in np.meshgrid(np.arange(40), np.arange(40)))
+    one = jaccard.overlaps(grams, p, q)
+    monkeypatch.setattr(jaccard, "MANY", 10)
+    assert (jaccard.overlaps(grams, p, q) == one).all()
+
+
+def test_one_of_each_with_clashing_columns_and_no_rows(spark):
+    rows = [(1, "same text of words", 5, "a", "b"), (1, "same text of words", 5, "a", "b"), (2, "Same text of words", 6, "c", "d"), (3, None, 7, "e", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long, row string, key_ string")
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[3]]
+    assert jaccard.one_of_each(docs.limit(0)).count() == 0 and jaccard.ngram_components(docs.limit(0)).count() == 0
+
+
 def test_decontamination():
     r = random.Random(3)
     for _ in range(60):  # Myers' distance against dynamic programming
