@@ -41,7 +41,7 @@ def statistics_of(column) -> np.ndarray:
     """One row of `STATISTICS` a text; all are finite, and those of an empty text are 0."""
     offsets, data = text_bytes(column)
     out = np.zeros((len(offsets) - 1, len(STATISTICS)))
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, 1 << 18):
         raw, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         n = np.diff(at)
 

@@ -82,7 +82,7 @@ class Encoder:
     def encode(self, column) -> Iterator[np.ndarray]:
         """Ids of each text of an Arrow column; NULL is the empty text."""
         offsets, data = text_bytes(column)
-        for a, b in slices(offsets):
+        for a, b in slices(offsets, 1 << 18):
             raw, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             starts = np.flatnonzero(_cuts(raw, at))
             ends = np.append(starts[1:], len(raw))
