@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lettermark.functions.binning import equal_width_bin
 from lettermark.functions.keys import lookup, null_safe_join
 from lettermark.operators.graph import target_papers
+from lettermark.session import cut_lineage
 
 
 def paper_fields(
@@ -50,8 +51,9 @@ def reference_fields(
 ) -> DataFrame:
     """Level-0 fields of everything the target papers cite, duplicates kept."""
     target = target_papers(papers, venues, start_year).select("paper_id")
-    refs = edges.join(target, "paper_id")
-    tags = _level0(pfos, hierarchy, fos).select(F.col("paper_id").alias("paper_reference_id"), "field")
+    refs = cut_lineage(edges.select("paper_id", "paper_reference_id").join(target, "paper_id"))
+    cited = refs.select(F.col("paper_reference_id").alias("paper_id")).distinct()
+    tags = _level0(pfos.join(cited, "paper_id", "left_semi"), hierarchy, fos).select(F.col("paper_id").alias("paper_reference_id"), "field")
     return refs.join(tags, "paper_reference_id").select("paper_id", "paper_reference_id", "field")
 
 
@@ -70,14 +72,17 @@ def citation_fields(
         .join(citing, "citing_paper_id")
         .filter(F.col("_citing_year") - F.col("_cited_year") <= horizon)
     )
-    tags = _level0(pfos, hierarchy, fos).select(F.col("paper_id").alias("citing_paper_id"), "field").distinct()
-    return cites.join(tags, "citing_paper_id").select("cited_paper_id", "citing_paper_id", "field").distinct()
+    cites = cut_lineage(cites.select("cited_paper_id", "citing_paper_id").distinct())
+    known = cites.select(F.col("citing_paper_id").alias("paper_id")).distinct()
+    tags = _level0(pfos.join(known, "paper_id", "left_semi"), hierarchy, fos).select(F.col("paper_id").alias("citing_paper_id"), "field").distinct()
+    return cites.join(tags, "citing_paper_id").select("cited_paper_id", "citing_paper_id", "field")
 
 
 def simpson_diversity(
     pairs: DataFrame, paper: str, other: str, min_distinct: int = 10, strict: bool = False, out: str = "simpson"
 ) -> DataFrame:
     """Minus the sum of squared field shares, for papers with enough distinct neighbours."""
+    pairs = cut_lineage(pairs.select(paper, other, "field"))  # read for the gate and for the shares
     distinct = F.count_distinct(other)
     gate = pairs.groupBy(F.col(paper).alias("id")).agg(distinct.alias("_n")).filter(
         F.col("_n") > min_distinct if strict else F.col("_n") >= min_distinct
