@@ -31,8 +31,8 @@ from lettermark.llm.arrow import LOWER, NOT_SPACE, hash_spans, keyed, mix, runs,
 from lettermark.llm.components import Forest, components
 from lettermark.session import cut_lineage
 
-#: Bits of a bitmap for each n-gram of its set, the most bits, members of a leaf, children of an inner node.
-BITS_EACH, MOST_BITS, LEAF, FANOUT = 4, 1 << 18, 8, 4
+#: Most bits of a bitmap, members of a leaf, children of an inner node.
+MOST_BITS, LEAF, FANOUT = 1 << 18, 8, 4
 #: Members of a group that are compared by its tree at once; larger groups are compared with one of their members first.
 FEW = 16
 #: Chunks of a group whose pairs are tiles; a larger group is dealt anew.
@@ -72,10 +72,10 @@ def fingerprint(one: np.ndarray) -> bytes:
     return blake2b(one.tobytes(), digest_size=16).digest()
 
 
-def bitmap(one: np.ndarray) -> bytes:
-    """One bit for each n-gram, by its low bits; the width is a power of two that grows with the set."""
+def bitmap(one: np.ndarray, each: int = 4) -> bytes:
+    """One bit for each n-gram, by its low bits; the width is a power of two of at least `each` bits an n-gram."""
     width = 64
-    while width < min(BITS_EACH * len(one), MOST_BITS):
+    while width < min(each * len(one), MOST_BITS):
         width *= 2
     bits = np.zeros(width, dtype=bool)
     bits[(one & np.uint64(width - 1)).astype(np.int64)] = True
@@ -127,7 +127,7 @@ class Scheme:
             yield band == k, salted if len(filled) - filled.sum() > 1 else salted[filled]
 
 
-def shingle_sets(docs: DataFrame, words: int = 3) -> DataFrame:
+def shingle_sets(docs: DataFrame, words: int = 3, each: int = 4) -> DataFrame:
     """(doc_id, row_key, n, fp, bits): size, fingerprint and bitmap of each row's set; row_key hashes the text."""
 
     def measure(batches):
@@ -136,7 +136,7 @@ def shingle_sets(docs: DataFrame, words: int = 3) -> DataFrame:
             for one in sets_of(batch.column(2), words):
                 sizes.append(len(one))
                 prints.append(fingerprint(one) if len(one) else None)
-                bits.append(bitmap(one) if len(one) else None)
+                bits.append(bitmap(one, each) if len(one) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "row_key", "n", "fp", "bits"])
 
     keyed_docs = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
@@ -575,9 +575,12 @@ def linked_sets(docs: DataFrame, sets: DataFrame, words: int = 3, percent: int =
     return linked.toDF("a", "b").unionAll(more)
 
 
-def ngram_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """Per row of `docs` (doc_id, text): doc_id, row_key, n, root, component_id; root is NULL for empty sets."""
-    sets = cut_lineage(shingle_sets(docs, words))
+def ngram_groups(docs: DataFrame, words: int = 3, percent: int = 90, each: int = 4) -> DataFrame:
+    """Per row of `docs` (doc_id, text): doc_id, row_key, n, root, component_id; root is NULL for empty sets.
+
+    `each` bits of a bitmap an n-gram: fewer take less disk, more rule out more pairs before whole sets are compared.
+    """
+    sets = cut_lineage(shingle_sets(docs, words, each))
     roots = cut_lineage(components(linked_sets(docs, sets, words, percent)))
     sets = sets.drop("bits")
     classes = sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -611,7 +614,8 @@ def one_of_each(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame
     Of rows with that id the one whose text hashes least stays, of rows equal in id and text one, whichever. Texts
     without words belong to no group and stay. Rows are told apart by 128 bits of their id and text.
     """
-    groups = ngram_groups(docs, words, percent)
+    # Longer n-grams at a lower threshold share parts more often by chance: small bitmaps, as they travel with each group.
+    groups = ngram_groups(docs, words, percent, each=2)
     first = groups.where("n > 0").groupBy("root").agg(F.min(F.struct("doc_id", "row_key")).alias("one")).select("one.*")
     keep = cut_lineage(first.union(groups.where("n = 0").select("doc_id", "row_key")).distinct())
     name = _fresh("row", docs.columns)
