@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from lettermark.session import cut_lineage, shared_folder
 
-MAGIC, VERSION, PAGE = b"\x1f\x8b\x08", b"WARC/1.1", "urn:page:"
+MAGIC, MARK, VERSION, PAGE = b"\x1f\x8b\x08", b"WARC/1.", b"WARC/1.1", "urn:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-CHUNK = 1 << 20
+#: Bytes read at once inside a range and, at first, behind it; bytes that a decoder takes at once.
+CHUNK, BEHIND, PIECE = 1 << 20, 1 << 16, 1 << 14
 
 
 def base32_sha1(data: bytes) -> str:
@@ -45,62 +46,92 @@ def record(page_id, url: str | None, payload: bytes, refers_to=None) -> bytes:
     return squeeze.compress(head) + squeeze.compress(block) + squeeze.compress(b"\r\n\r\n") + squeeze.flush()
 
 
+class Source:
+    """The bytes of a file for the range that ends at `end`: as long as offsets only grow, each byte is read once.
+
+    Inside the range CHUNK bytes are read at once; behind it, where only the last record goes on, BEHIND at first and
+    then twice as many each time.
+    """
+
+    def __init__(self, file, end: int):
+        self.file, self.end, self.behind = file, end, BEHIND
+        self.at, self.held = 0, b""
+
+    def fill(self, at: int) -> bytes:
+        if at < self.end:
+            most = min(CHUNK, self.end - at)
+        else:
+            most, self.behind = self.behind, min(CHUNK, 2 * self.behind)
+        self.file.seek(at)
+        self.at, self.held = at, self.file.read(most)
+        return self.held
+
+    def piece(self, at: int) -> bytes:
+        """Up to PIECE bytes from `at` on, none behind the end of the file."""
+        if not self.at <= at < self.at + len(self.held):
+            self.fill(at)
+        return self.held[at - self.at : at - self.at + PIECE]
+
+
 class Member:
     """Decodes the gzip member at `at`; `end` is where it ends, or None if it is none."""
 
-    def __init__(self, file, at: int, head_only: bool = False):
-        self.end, self.data = None, b""
-        decoder, parts, file_at = zlib.decompressobj(31), [], at
-        file.seek(at)
+    def __init__(self, source: Source, at: int):
+        self.at, self.end, self.data = at, None, b""
+        decoder, parts = zlib.decompressobj(31), []
         try:
-            while not decoder.eof and (raw := file.read(CHUNK)):
-                parts.append(decoder.decompress(raw, 1 << 16 if head_only else 0))
-                file_at += len(raw)
-                if head_only:
-                    break
-            self.data = b"".join(parts)
-            if decoder.eof:
-                self.end = file_at - len(decoder.unused_data)
+            while not decoder.eof and (raw := source.piece(at)):
+                parts.append(decoder.decompress(raw))
+                at += len(raw)
         except zlib.error:
-            self.data = b""
+            return
+        self.data = b"".join(parts)
+        if decoder.eof:
+            self.end = at - len(decoder.unused_data)
 
 
-def _starts_record(file, at: int) -> bool:
-    return Member(file, at, head_only=True).data.startswith(b"WARC/1.")
+def _starts_record(source: Source, at: int) -> bool:
+    decoder, head = zlib.decompressobj(31), b""
+    try:
+        while len(head) < len(MARK) and not decoder.eof and (raw := source.piece(at)):
+            head += decoder.decompress(raw, len(MARK) - len(head))
+            at += len(raw)
+    except zlib.error:
+        return False
+    return head == MARK
 
 
-def first_record(file, start: int, end: int, size: int) -> int | None:
-    """Offset of the first record that starts in [start, end).
+def first_record(source: Source, start: int, end: int, size: int) -> Member | None:
+    """The first record that starts in [start, end).
 
     A magic number may be part of compressed data: a candidate must decode whole to a WARC record and be followed by
     the next record or the end of the file.
     """
     at = start
     while at < end:
-        file.seek(at)
-        raw = file.read(min(CHUNK, end - at) + len(MAGIC) - 1)
+        raw = source.fill(at)
         here = raw.find(MAGIC)
         while here >= 0 and at + here < end:
-            found = Member(file, at + here) if _starts_record(file, at + here) else None
-            if found is not None and found.end is not None and (found.end == size or _starts_record(file, found.end)):
-                return at + here
+            found = Member(source, at + here) if _starts_record(source, at + here) else None
+            if found is not None and found.end is not None and (found.end == size or _starts_record(source, found.end)):
+                return found
             here = raw.find(MAGIC, here + 1)
-        at += CHUNK
+        at += max(1, len(raw) - len(MAGIC) + 1)
     return None
 
 
 def records(file, start: int, end: int, size: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(offset, WARC headers, block) of every record that starts in [start, end)."""
-    at = first_record(file, start, end, size)
-    while at is not None and at < end:
-        member = Member(file, at)
+    source = Source(file, min(size, end + len(MAGIC) - 1))
+    member = first_record(source, start, end, size)
+    while member is not None:
         if member.end is None:
-            raise ValueError(f"broken record at byte {at}")
+            raise ValueError(f"broken record at byte {member.at}")
         head, _, rest = member.data.partition(b"\r\n\r\n")
         lines = head.decode("utf-8", "replace").split("\r\n")
         names = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        yield at, names, rest[: int(names["content-length"])]
-        at = member.end if member.end < size else None
+        yield member.at, names, rest[: int(names["content-length"])]
+        member = Member(source, member.end) if member.end < min(size, end) else None
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
