@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from lettermark.llm.arrow import keyed
 from lettermark.llm.components import Forest, components
 from lettermark.session import cut_lineage
 
-#: Decimal places at which a cosine meets the threshold, against rounding in the last bits.
+#: A cosine from the matrix product that comes this near to the threshold is taken again by exactly rounded sums.
 SLACK = 1e-12
 
 
@@ -75,6 +76,12 @@ def unit_rows(column) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.array(at, np.int64), rows
 
 
+def exact_cosine(x: np.ndarray, y: np.ndarray) -> float:
+    """Cosine from sums that are rounded once, the same for every order of the components."""
+    xy, xx, yy = (math.fsum(p.tolist()) for p in (x * y, x * x, y * y))
+    return xy / math.sqrt(xx * yy)
+
+
 def _first_shared(codes: np.ndarray, i: np.ndarray, j: np.ndarray, table: int, code: int) -> np.ndarray:
     """Which pairs of rows share no bucket before `code` of `table`; codes are [row, table, probe]."""
     fresh = np.ones(len(i), dtype=bool)
@@ -94,12 +101,15 @@ def _tile(tile: pa.Table, cosine: float, tables: int) -> tuple[np.ndarray, np.nd
     x = np.frombuffer(b"".join(tile["unit"].to_pylist()), np.float64).reshape(n, -1)
     codes = np.array(tile["codes"].to_pylist(), np.int64).reshape(n, tables, -1)
     copies, side = np.asarray(tile["copies"]), np.asarray(tile["chunk"])
+    a, b = np.flatnonzero(side == ta), np.flatnonzero(side == tb)
+    near = x[a] @ x[b].T
     if ta == tb:
-        i, j = np.nonzero(np.triu(x @ x.T >= cosine - SLACK, 1))
-    else:
-        a, b = np.flatnonzero(side == ta), np.flatnonzero(side == tb)
-        i, j = np.nonzero(x[a] @ x[b].T >= cosine - SLACK)
-        i, j = a[i], b[j]
+        near = np.where(np.tri(len(a), dtype=bool), -2.0, near)
+    i, j = np.nonzero(near >= cosine - SLACK)
+    near, i, j = near[i, j], a[i], b[j]
+    sure = near >= cosine + SLACK
+    sure[~sure] = [exact_cosine(x[r], x[s]) >= cosine for r, s in zip(i[~sure], j[~sure], strict=True)]
+    i, j = i[sure], j[sure]
     fresh = _first_shared(codes, i, j, table, code)
     i, j = i[fresh], j[fresh]
     counts = np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)

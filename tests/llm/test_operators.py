@@ -386,6 +386,17 @@ def test_warc_ranges_read_the_archive_about_once():
         assert read <= 1.02 * len(data) + len(range(0, len(data), step)) * behind + 2 * 700_000
 
 
+def test_cosines_at_the_threshold():
+    def linked(cosine_of_pair):
+        x = np.array([[1.0, 0.0], [cosine_of_pair, np.sqrt(1 - cosine_of_pair**2)]])
+        tile = {"t": [0] * 2, "code": [0] * 2, "ta": [0] * 2, "tb": [0] * 2, "chunk": [0] * 2, "copies": [1] * 2, "codes": [[0]] * 2, "unit": [v.tobytes() for v in x]}
+        return len(embeddings._tile(pa.table(tile), 0.93, 1)[0])
+
+    assert linked(0.93 + 5e-13) == linked(0.94) == 2
+    assert linked(0.93 - 5e-13) == linked(0.92) == 0
+    assert embeddings.exact_cosine(np.array([3.0, 4.0]), np.array([6.0, 8.0])) == 1.0
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(6)
     base = r.normal(size=(12, 16))
