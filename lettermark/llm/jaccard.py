@@ -539,7 +539,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, words: int = 3, percent: int =
     whole = whole_sets(docs, kinds, clusters.select(F.explode("members").alias("fp")), words)
     exact = whole.select("fp", "n", "grams")
     stars = cut_lineage(clusters.select(F.get("members", 0).alias("hub"), F.explode(F.slice("members", 2, F.size("members"))).alias("fp")).distinct())
-    links = _compared(stars, exact, percent)
+    links = cut_lineage(_compared(stars, exact, percent))  # a stage with two Python functions needs two workers a core
     linked = components(links if linked is None else linked.toDF("a", "b").unionAll(links))
 
     # Clusters with common members are one; its sets outside the largest component are compared with all others.
@@ -572,7 +572,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, words: int = 3, percent: int =
 
     rest = rest.select("cid", "ta", "tb", "chunk", "root", "fp", "n", "bits", "grams")
     more = rest.repartition("cid", "ta", "tb").sortWithinPartitions("cid", "ta", "tb").mapInArrow(across, "a binary, b binary")
-    return linked.toDF("a", "b").unionAll(more)
+    return linked.toDF("a", "b").unionAll(cut_lineage(more))
 
 
 def ngram_groups(docs: DataFrame, words: int = 3, percent: int = 90, each: int = 4) -> DataFrame:

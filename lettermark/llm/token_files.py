@@ -61,7 +61,10 @@ class Encoder:
     def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.word, self.most = Tokenizer.from_file(path), Tokenizer.from_file(path), most
+        self.whole, self.most = Tokenizer.from_file(path), most
+        self.word = Tokenizer(self.whole.model)  # the same model, held once
+        if self.whole.normalizer is not None:
+            self.word.normalizer = self.whole.normalizer
         self.word.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.added = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values() if t.content]
         self.bits = max(1, (self.whole.get_vocab_size() - 1).bit_length())

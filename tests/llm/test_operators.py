@@ -149,6 +149,19 @@ def test_overlaps_by_products_equal_those_by_sorting(monkeypatch):
     assert (jaccard.overlaps(grams, p, q) == one).all()
 
 
+def test_links_are_written_before_components_read_them(docs, monkeypatch):
+    """Components run Python over the edges; a Python function below would take a second worker for each core."""
+    plans = []
+
+    def spied(edges):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return components(edges)
+
+    monkeypatch.setattr(jaccard, "components", spied)
+    assert jaccard.one_of_each(docs, words=5, percent=80).count()
+    assert len(plans) >= 3 and not any("MapInArrow" in p for p in plans)
+
+
 def test_one_of_each_with_clashing_columns_and_no_rows(spark):
     rows = [(1, "same text of words", 5, "a", "b"), (1, "same text of words", 5, "a", "b"), (2, "Same text of words", 6, "c", "d"), (3, None, 7, "e", "f")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n long, row string, key_ string")
@@ -239,6 +252,12 @@ def test_encoder_keeps_added_tokens():
     assert [ids.tolist() for ids in own.encode(pa.array([end, end]))] == [[50256], [50256]]
 
 
+def test_encoder_holds_one_model():
+    own = token_files.Encoder(tokenizer_path())
+    own.word.model.dropout = 0.5
+    assert own.whole.model.dropout == 0.5
+
+
 def test_quality_rules(spark):
     good = [(i, " ".join(words(40)) + ".", 1) for i in range(300)]
     bad = [(300 + i, " ".join(w + "$$$" for w in words(40)), 0) for i in range(300)]
