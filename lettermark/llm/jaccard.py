@@ -19,6 +19,7 @@ Other columns of the table are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -41,6 +42,8 @@ CHUNKS = 32
 BLOCK, MANY = 2048, 2000
 #: Sets whose copies a task recognises, so that it routes them once.
 RECENT = 100_000
+#: Bits of the bitmap of wanted texts, 1 MB that every executor gets.
+SLOTS = 1 << 23
 
 
 def sets_of(column, words: int) -> Iterator[np.ndarray]:
@@ -86,12 +89,13 @@ class Scheme:
     """Size bands and their parts for the threshold `percent`.
 
     Band k starts at `bounds[k]`; a set links only with sets of its own band and its neighbours. Linked sets of bands
-    k and k, or k and k + 1, differ in at most `differ[k]` n-grams, and there are three parts more than that.
+    k and k, or k and k + 1, differ in at most `differ[k]` n-grams, and there are `spare[k]` parts more than that: three,
+    and twice as many as the band's smallest sets leave without n-grams on average.
     """
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.bounds, self.differ, self.cuts = [1], [], []
+        self.bounds, self.differ, self.spare, self.cuts = [1], [], [], []
 
     def band(self, n: int) -> int:
         p, bounds = self.percent, self.bounds
@@ -101,6 +105,8 @@ class Scheme:
             most = bounds[-1] - 1
             self.differ.append((100 - p) * (most + 100 * most // p) // (100 + p))
             parts = self.differ[-1] + 3
+            self.spare.append(3 + int(2 * parts * math.exp(-low / parts)))
+            parts = self.differ[-1] + self.spare[-1]
             self.cuts.append(np.array([-(-(j << 64) // parts) for j in range(1, parts)], np.uint64))
         k = int(np.searchsorted(bounds, n, "right")) - 1
         return k
@@ -108,8 +114,8 @@ class Scheme:
     def keys(self, one: np.ndarray) -> Iterator[tuple[bool, np.ndarray]]:
         """Routing keys of one set for each of its bands, in the order of the parts, and whether the band is its own.
 
-        Linked sets share three parts at least. Parts without n-grams count only in a set that has more than one of
-        them: then linked sets share two parts that count.
+        Linked sets share the spare parts at least. Parts without n-grams, which chance sets share as well, count only
+        in a set that has more of them than the spare parts but two: then linked sets share two parts that count.
         """
         n = len(one)
         if not n:
@@ -124,7 +130,7 @@ class Scheme:
             filled = at[1:] > at[:-1]
             salt = np.arange(band << 20, (band << 20) + len(sums), dtype=np.uint64)
             salted = mix(sums + mix(salt))
-            yield band == k, salted if len(filled) - filled.sum() > 1 else salted[filled]
+            yield band == k, salted if len(filled) - filled.sum() > self.spare[band] - 2 else salted[filled]
 
 
 def shingle_sets(docs: DataFrame, words: int = 3, each: int = 4) -> DataFrame:
@@ -205,8 +211,17 @@ def _grouped(entries: DataFrame, most: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """`wanted` (doc_id, row_key, fp, ...) with the text of its row, rows of one fp next to each other."""
-    texts = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text").alias("d")
+    """`wanted` (doc_id, row_key, fp, ...) with the text of its row, rows of one fp next to each other.
+
+    A bitmap of `SLOTS` bits keeps most other texts from being dealt out: it lets every wanted row pass, and a few more.
+    """
+    wanted = cut_lineage(wanted)
+    slot, place = F.pmod("row_key", F.lit(SLOTS)), F.bitmap_bit_position("slot")
+    marks = wanted.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(place).alias("marks"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text").withColumn("slot", slot).withColumn("bucket", F.bitmap_bucket_number("slot"))
+    byte = F.conv(F.hex(F.expr("substring(marks, CAST(bitmap_bit_position(slot) DIV 8 + 1 AS INT), 1)")), 16, 10).cast("int")
+    bit = F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1
+    texts = texts.join(F.broadcast(marks), "bucket").where(bit).select("doc_id", "row_key", "text").alias("d")
     columns = [f"w.{c}" for c in wanted.columns if c not in ("doc_id", "row_key")]
     return texts.join(wanted.hint("merge").alias("w"), F.expr("d.row_key = w.row_key AND d.doc_id <=> w.doc_id")).select(*columns, "d.text")
 
@@ -620,8 +635,11 @@ def one_of_each(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame
     keep = cut_lineage(first.union(groups.where("n = 0").select("doc_id", "row_key")).distinct())
     name = _fresh("row", docs.columns)
     text = F.coalesce(F.md5("text"), F.lit("none"))
-    print_ = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(":"), text)))
-    marked = docs.withColumn(name, F.struct("doc_id", F.xxhash64("text").alias("row_key"), print_.alias("print"))).alias("d")
-    match = F.expr(f"d.`{name}`.row_key = k.row_key AND d.`{name}`.doc_id <=> k.doc_id")
-    kept = marked.join(keep.alias("k"), match, "left_semi").withColumn(name, F.col(f"`{name}`.print"))
-    return kept.dropDuplicates([name]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    known = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    print_ = F.unhex(F.md5(F.concat(known, F.lit(":"), text)))
+    # Join and distinct rows share plain columns, so that the texts are dealt out once for both.
+    on = [_fresh(c, docs.columns) for c in ("row_key", "id_text", "id_null")]
+    marks = dict(zip(on, (F.xxhash64("text"), known, F.col("doc_id").isNull()), strict=True))
+    keys = keep.select(F.col("row_key").alias(on[0]), known.alias(on[1]), F.col("doc_id").isNull().alias(on[2]))
+    kept = docs.withColumns({**marks, name: print_}).join(keys, on, "left_semi")
+    return kept.dropDuplicates([*on, name]).select(*[F.col(f"`{c}`") for c in docs.columns])

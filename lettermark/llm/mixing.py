@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lettermark.llm.arrow import NOT_SPACE, runs, slices, text_bytes
 from lettermark.llm.prefix import running_total
@@ -24,12 +25,23 @@ def _count_words(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(size, pa.int64())], names=[*batch.schema.names[:-1], "size"])
 
 
+def _add_sizes(batches, place: int):
+    for batch in batches:
+        counted = next(_count_words([batch.select([place])]))
+        yield pa.RecordBatch.from_arrays([*batch.columns, counted.column(0)], names=[*batch.schema.names, "size"])
+
+
 def word_counts(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns `keep` and `size`, the number of words of `text` (NULL: 0)."""
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*keep, "text").mapInArrow(_count_words, f"{schema}, size long")
 
 
+def _shuffled(doc_id: str = "doc_id") -> Column:
+    """The place of a document in the shuffle of its source."""
+    return F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+
+
 def source_order() -> list[Column]:
     """Sources by code point, NULL last."""
     return [F.col("source").isNull(), F.col("source")]
@@ -56,17 +68,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], percent: int, mos
     return placed.select("source", "source_size", target.alias("target")), budget
 
 
-def fair_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2) -> DataFrame:
-    """Per row of `docs` (doc_id, source, text): doc_id, size, source_size, target, taken, copies, row_key.
-
-    Documents are shuffled by the md5 of their id. The k-th reading of a document finishes at the virtual time
-    (words of its source up to it, earlier readings included) / target; all readings are range-sorted by it and kept
-    while their running total stays within the budget, so a source ends within a document of its target.
-    Wordless and NULL texts have size 0 and are never taken; a NULL source is a source of its own, and NULL ids come
-    first in the shuffle. Rows that repeat an id are read one after the other. An empty table gives no rows.
-    """
+def _readings(docs: DataFrame, weights: tuple[int, ...], percent: int, most: int) -> DataFrame:
+    """Per row of `docs`: doc_id, source, row_key, shuffled, size, source_size, target and copies, as `fair_mix` has them."""
     docs = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "source", "text").alias("row_key"))
-    sizes = cut_lineage(word_counts(docs, "doc_id", "source", "row_key").withColumn("shuffled", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    sizes = cut_lineage(word_counts(docs, "doc_id", "source", "row_key").withColumn("shuffled", _shuffled()))
     targets, budget = source_targets(sizes, weights, percent, most)
     targets = cut_lineage(targets)
     placed = running_total(sizes, [*source_order(), F.col("shuffled"), F.col("doc_id"), F.col("size"), F.col("row_key")], {"upto": F.col("size")})
@@ -92,7 +97,20 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int
             own = {"finish": finish_at(F.lit(k)), "no_source": F.col("source").isNull(), "turn": F.lit(k)}
             here = F.struct(*[own.get(c, F.col(c)).alias(c) for c in mark.asDict()])
             copies = copies + F.when((F.col("size") > 0) & (F.col("target") > 0) & (here <= last), 1).otherwise(0)
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "row_key")
+    return placed.select("doc_id", "source", "row_key", "shuffled", "size", "source_size", "target", copies.alias("copies"))
+
+
+def fair_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2) -> DataFrame:
+    """Per row of `docs` (doc_id, source, text): doc_id, size, source_size, target, taken, copies, row_key.
+
+    Documents are shuffled by the md5 of their id. The k-th reading of a document finishes at the virtual time
+    (words of its source up to it, earlier readings included) / target; all readings are range-sorted by it and kept
+    while their running total stays within the budget, so a source ends within a document of its target.
+    Wordless and NULL texts have size 0 and are never taken; a NULL source is a source of its own, and NULL ids come
+    first in the shuffle. Rows that repeat an id are read one after the other. An empty table gives no rows.
+    """
+    readings = _readings(docs, weights, percent, most)
+    return readings.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "row_key")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2) -> DataFrame:
@@ -100,10 +118,21 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), perce
 
     Rows equal in id, source and text are all read as often as the one of them that is read most.
     """
-    mix = fair_mix(docs, weights, percent, most).where("copies > 0").groupBy(F.col("row_key").alias("key_")).agg(F.max("copies").alias("copies_"))
-    marked = docs.withColumn("key_", F.xxhash64("doc_id", "source", "text")).join(cut_lineage(mix), "key_")
-    repeated = marked.withColumn("turn_", F.explode(F.sequence(F.lit(1), "copies_")))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The readings of one turn are a first part of their source's order: the last of them tells, without a join of the
+    # texts, which rows they are.
+    order = ["shuffled", "doc_id", "size", "row_key"]
+    last = [F.max(F.when(F.col("copies") > k, F.struct(*order))).alias(f"last_{k}") for k in range(most)]
+    ends = cut_lineage(_readings(docs, weights, percent, most).where("copies > 0").groupBy("source").agg(*last))
+    ends = F.broadcast(ends) if _small(ends) else ends
+    columns, rows = docs.columns, docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    place = {c: columns.index(c) for c in ("doc_id", "source", "text")}
+    sized = rows.mapInArrow(lambda batches: _add_sizes(batches, place["text"]), StructType([*rows.schema, StructField("size", LongType())]))
+    key = F.xxhash64(*[f"c{place[c]}" for c in ("doc_id", "source", "text")])
+    here = F.struct(_shuffled(f"c{place['doc_id']}").alias("shuffled"), F.col(f"c{place['doc_id']}").alias("doc_id"), "size", key.alias("row_key"))
+    met = sized.where("size > 0").withColumn("here", here).join(ends, F.expr(f"c{place['source']} <=> source"))
+    copies = sum((F.when(F.col("here") <= F.col(f"last_{k}"), 1).otherwise(0) for k in range(most)), F.lit(0))
+    repeated = met.withColumn("copies", copies).where("copies > 0").withColumn("turn", F.explode(F.sequence(F.lit(1), "copies")))
+    return repeated.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def _small(df: DataFrame, most: int = 100_000) -> bool:

@@ -519,3 +519,54 @@ def test_pipeline_against_plain_python(spark, tmp_path):
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == want
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_empty_parts_count_only_beyond_the_spare_ones(percent):
+    """Sets share parts without n-grams by chance; before, nine in ten sets at 80 percent had keys of such parts."""
+    r, scheme = np.random.default_rng(3), jaccard.Scheme(percent)
+    sets = [np.unique(r.integers(0, 1 << 64, int(n), dtype=np.uint64)) for n in r.integers(60, 2_000, 300)]
+    with_empty = 0
+    for one in sets:
+        fresh = r.integers(0, 1 << 64, len(one) * (100 - percent) // 210, dtype=np.uint64)
+        changed = np.sort(np.concatenate((r.choice(one, len(one) - len(fresh), replace=False), fresh)))
+        assert 100 * len(np.intersect1d(one, changed)) >= percent * len(np.union1d(one, changed))
+        a, b = (np.concatenate([k for _, k in scheme.keys(x)]) for x in (one, changed))
+        assert len(np.intersect1d(a, b)) >= 2
+        band = scheme.band(len(one))
+        salts = [np.arange(k << 20, (k << 20) + len(scheme.cuts[k]) + 1, dtype=np.uint64) for k in (band - 1, band)]
+        with_empty += np.isin(a, jaccard.mix(jaccard.mix(np.concatenate(salts)))).any()
+    assert with_empty < 0.2 * len(sets)
+
+
+def dealt_texts(df):
+    """Exchanges of the plan whose rows hold the text."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning")
+
+
+def test_one_of_each_deals_the_texts_once(docs, spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert dealt_texts(jaccard.one_of_each(docs.withColumn("text", F.col("text")))) == 2  # the texts, and the rows to keep
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_mixed_documents_are_those_of_the_mix_and_no_text_is_dealt(docs):
+    mixed = mixing.mixed_documents(docs)
+    assert dealt_texts(mixed) == 0
+    copies = mixing.fair_mix(docs).groupBy("row_key").agg(F.max("copies").alias("copies"))
+    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "source", "text"))
+    want = keyed.join(copies.where("copies > 0"), "row_key").withColumn("turn", F.explode(F.sequence(F.lit(1), "copies")))
+    assert rows_of(mixed) == rows_of(want.select(*docs.columns)) and mixed.count() > 0
+
+
+def test_only_wanted_texts_are_dealt(spark):
+    docs = spark.range(2_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    docs = docs.union(spark.createDataFrame([(None, None)], "doc_id long, text string"))
+    wanted = docs.where("doc_id % 100 = 7 OR doc_id IS NULL").select("doc_id", F.xxhash64("text").alias("row_key"), F.lit(1).alias("fp"), "text")
+    met = jaccard._texts(docs, wanted.drop("text"))
+    assert rows_of(met.select("text")) == rows_of(wanted.select("text"))
+    assert "BroadcastHashJoin" in met._jdf.queryExecution().executedPlan().toString()
