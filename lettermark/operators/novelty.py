@@ -7,9 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermark.functions.distribution import hash_digits, hashed_position
+from lettermark.functions.distribution import hash_digits
 from lettermark.functions.keys import md5_key
+from lettermark.functions.pairs import counted_pairs
+from lettermark.functions.permutation import side_by_side
 from lettermark.operators.graph import target_papers
+from lettermark.session import cut_lineage
 
 PAIR_BLOCK = 256  # distinct journals on the left side of the pairs one task builds
 
@@ -74,24 +77,16 @@ def shuffle_within(
 
     A row keeps its hash rank under one seed and receives the value at the same rank under another; both
     orders are spread over hash blocks. (`unit`, `row_key`) must identify a row. Rows with a NULL key drop out.
+    The values of a row travel together until the last step, and the rows of a unit come out in one partition, so that
+    counting inside units needs no shuffle of its own.
     """
-    rows = df.dropna(subset=keys)
+    rows = cut_lineage(df.select(*dict.fromkeys([*keys, value, unit, row_key])).dropna(subset=keys))
     if digits is None:
         digits = hash_digits(rows, keys)
-    slots = hashed_position(
-        rows.select(*keys, unit, row_key, md5_key(seed, F.lit("slot"), unit, row_key).alias("_h")), keys, "_h", "_pos", digits
-    ).select(*keys, unit, "_pos")
-    runs = F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("iteration")
-    draws = hashed_position(
-        rows.select(*keys, value, unit, row_key, runs)
-        .withColumn("_h", md5_key(seed, "iteration", unit, row_key))
-        .select(*keys, "iteration", value, "_h"),
-        [*keys, "iteration"],
-        "_h",
-        "_pos",
-        digits,
-    ).select(*keys, "iteration", value, "_pos")
-    return draws.join(slots, [*keys, "_pos"]).select(*keys, "iteration", unit, value)
+    orders = [md5_key(seed, F.lit("slot"), unit, row_key)] + [md5_key(seed, F.lit(i), unit, row_key) for i in range(1, iterations + 1)]
+    dealt = side_by_side(rows, keys, unit, value, orders, digits).repartition(unit)
+    runs = F.posexplode("values").alias("_run", "_value")
+    return dealt.select(*keys, unit, runs).select(*keys, (F.col("_run") + 1).alias("iteration"), unit, F.col("_value").alias(value))
 
 
 def _multiplicity_pairs(rows: DataFrame, keys: list[str], paper: str, journal: str) -> DataFrame:
@@ -133,11 +128,7 @@ def pair_counts(
     refs: DataFrame, keys: list[str], paper: str = "citing_paper_id", journal: str = "reference_journal_id"
 ) -> DataFrame:
     """How often two journals meet in a reference list, per key (year, iteration)."""
-    return (
-        _multiplicity_pairs(refs, keys, paper, journal)
-        .groupBy(*keys, "j1", "j2")
-        .agg(F.sum("weight").alias("n"))
-    )
+    return counted_pairs(refs, keys, paper, journal, PAIR_BLOCK)
 
 
 def merge_pair_counts(*frames: DataFrame, keys: tuple[str, ...] = ("j1", "j2")) -> DataFrame:
