@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lettermark.functions.permutation import group_codes
 
-HELD_ROWS = 500_000  # rows of whole lists that are paired at once
+HELD_ROWS = 250_000  # rows of whole lists that are paired at once
 HELD_PAIRS = 2_000_000  # pairs that are added up at once
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lettermark.functions.keys import null_safe_join
 from lettermark.session import cut_lineage
 
-HELD_ROWS = 400_000  # rows a task sorts at once before it sends them
+HELD_ROWS = 200_000  # rows a task sorts at once before it sends them
 CHUNK = 65_536  # positions that are laid side by side at once
 
 

@@ -22,8 +22,8 @@ def fuzzy_title_links(
     """(original_doi, letter_doi) for comments whose extracted title is within `max_dist` edits of a title.
 
     Distinct lower-cased titles are compared, not papers. A title at distance d <= max_dist shares at least one
-    of max_dist + 1 pieces of the comment title, shifted by at most max_dist characters, so pieces give an
-    equi-join and only its hits are measured. Titles too short to cut are compared by length alone.
+    of max_dist + 1 pieces of the comment title, moved by few characters, so pieces give an equi-join and only its
+    hits are measured. Titles too short to cut are compared by length alone.
     """
     scope = papers.filter(F.col("journal_id") == journal_id)
     usable = lambda c: c.isNotNull() & (c != "")
@@ -58,20 +58,27 @@ def fuzzy_title_links(
             size.alias("want_len"),
         )
     )
-    # every comment length in reach of a title, and there the text at each reachable piece position
-    reach = F.sequence(
-        F.greatest(F.length("title") - max_dist, F.lit(pieces)), F.length("title") + max_dist
-    )
+    # Every comment length in reach of a title, and there the text at each place that a piece can have moved to. Of the
+    # pieces without edits, take the first i with as many edits before it as pieces, i; at most max_dist - i are behind
+    # it. So it has moved by at most i from the start and by at most max_dist - i from the end of the title.
+    length = F.length("title")
+    reach = F.sequence(F.greatest(length - max_dist, F.lit(pieces)), length + max_dist)
+    longer, i = length - F.col("want_len"), F.col("i")
+    low = F.greatest(F.col("_from") + F.greatest(-i, longer - (max_dist - i)), F.lit(0))
+    high = F.least(F.col("_from") + F.least(i, longer + (max_dist - i)), length - F.col("_size"))
+    # dealt out by number: a small table of titles would be left in one task, which makes many pieces of each
+    tasks = int(papers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grams = (
-        titles.withColumn("want_len", F.explode(F.when(F.length("title") + max_dist >= pieces, reach)))
+        titles.repartition(tasks, F.xxhash64("title"))
+        .withColumn("want_len", F.explode(F.when(length + max_dist >= pieces, reach)))
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
-        .withColumn("_from", F.floor(F.col("i") * F.col("want_len") / pieces).cast("int"))
-        .withColumn("_size", F.floor((F.col("i") + 1) * F.col("want_len") / pieces).cast("int") - F.col("_from"))
-        .withColumn("_at", F.explode(F.sequence(F.greatest(F.col("_from") - max_dist, F.lit(0)), F.col("_from") + max_dist)))
+        .withColumn("_from", F.floor(i * F.col("want_len") / pieces).cast("int"))
+        .withColumn("_size", F.floor((i + 1) * F.col("want_len") / pieces).cast("int") - F.col("_from"))
+        .withColumn("_at", F.explode(F.when(low <= high, F.sequence(low, high))))
         .select("title", "want_len", "i", F.expr("substring(title, _at + 1, _size)").alias("piece"))
-        .distinct()
     )
-    near = probe.join(grams, ["want_len", "i", "piece"]).select("wanted", "title")
+    # merged: the planner takes the pieces for as small as the titles and would collect them for a broadcast
+    near = probe.join(grams.hint("merge"), ["want_len", "i", "piece"]).select("wanted", "title")
     tiny = (
         wanted.filter(short)
         .withColumn("n", F.explode(F.sequence(F.greatest(size - max_dist, F.lit(0)), size + max_dist)))
